@@ -5,19 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_u8(px: pd.Series) -> pd.Series:
     return px.map(lambda a: np.asarray(a, dtype=np.uint8).tobytes())
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def unpack_u8(px: pd.Series) -> pd.Series:
     return px.map(lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.int32))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def unpack_f4(px: pd.Series) -> pd.Series:
     return px.map(lambda b: np.frombuffer(b, dtype=np.float32).astype(np.float64))
 
