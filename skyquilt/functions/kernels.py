@@ -171,19 +171,19 @@ def heatmap_peaks(heat: np.ndarray, limit: float) -> list[tuple[int, int]]:
     0.01 (accumulated) to ``limit``; at each level every 4-connected blob gives
     its highest cell, row-major first on ties. A cell is listed once.
     """
-    level = heat.max()
+    level = float(heat.max())
     found: dict[tuple[int, int], None] = {}
     if level < limit:
         return []
-    for rc in np.argwhere(heat == level):
+    for rc in np.argwhere(heat == heat.max()):
         found[(int(rc[0]), int(rc[1]))] = None
     levels = []
-    level = level - heat.dtype.type(0.01)
+    level -= 0.01
     while level > limit:
         levels.append(level)
-        level = level - heat.dtype.type(0.01)
+        level -= 0.01
     for v in [*levels, limit]:
-        lab = label(heat >= v)
+        lab = label(heat >= heat.dtype.type(v))
         n = lab.max()
         if n == 0:
             continue

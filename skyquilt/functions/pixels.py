@@ -23,6 +23,16 @@ def unpack_f4(px: pd.Series) -> pd.Series:
     return px.map(lambda b: np.frombuffer(b, dtype=np.float32).astype(np.float64))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def unpack_f8(px: pd.Series) -> pd.Series:
+    return px.map(lambda b: np.frombuffer(b, dtype=np.float64))
+
+
+@F.pandas_udf(T.BinaryType())
+def u8_to_f4(px: pd.Series) -> pd.Series:
+    return px.map(lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.float32).tobytes())
+
+
 def explode_pixels(tiles, unpack=unpack_u8, name: str = "v"):
     """Tile rows -> one row per pixel: aoi, frame, r, c, value."""
     d = tiles.select("aoi", "frame", "r0", "c0", "w", F.posexplode(unpack("px")).alias("_i", name))
