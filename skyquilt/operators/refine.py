@@ -327,3 +327,8 @@ def scene_prior_filter(dets: DataFrame, priors: DataFrame, limit: float = 0.0, s
     d = dets.join(priors.select("aoi", "frame", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("pred").alias("_p")), ["aoi", "frame"])
     at = prior_at(F.col("_p"), F.col("r").cast("int"), F.col("c").cast("int"), F.col("_h"), F.col("_w"), side)
     return d.where(at >= limit).drop("_h", "_w", "_p")
+
+
+def first_peaks(peak_rows: DataFrame, patch: list[str]) -> DataFrame:
+    """Each position once per patch, with its first sequence number."""
+    return peak_rows.groupBy(*patch, "r", "c").agg(F.min("seq").alias("seq"))

@@ -52,3 +52,8 @@ def first_frame_file(files: DataFrame, folders: list[str], path: str = "path") -
         files.where(F.col(path).endswith(".r1")).withColumn("folder_rank", rank)
         .where("folder_rank is not null").orderBy("folder_rank", path).limit(1)
     )
+
+
+def frame_key(frame, suffix: str):
+    """``frame%06d.<suffix>``."""
+    return F.format_string(f"frame%06d.{suffix}", frame)

@@ -5,9 +5,12 @@ Both forms must give identical rows (FIXTURES.md).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquilt.functions.pixels import pack_u8
 from skyquilt.operators import ordering
 
 
@@ -133,8 +136,6 @@ def mosaic(spark, sf) -> DataFrame:
 
     A frame that lacks tiles at the end of its sequence is left out.
     """
-    from skyquilt.functions.pixels import pack_u8
-
     n = MOSAIC_SIDE * MOSAIC_SIDE
     e = table(spark, sf, "embeddings").select(
         (F.col("vec_id") % 2).cast("string").alias("aoi"),
@@ -167,3 +168,16 @@ where (aoi, frame) in (select (aoi, frame) from mb group by aoi, frame having co
 
 def with_(*views: str) -> str:
     return "with recursive " + ",\n".join(views) + "\n"
+
+
+def scene(spark, sf, times: int = 3) -> DataFrame:
+    """The mosaic with every pixel repeated: 144x144 frames in 24x24 tiles."""
+    @F.pandas_udf("binary")
+    def grow(px: pd.Series) -> pd.Series:
+        one = np.ones((times, times), np.uint8)
+        return px.map(lambda b: np.kron(np.frombuffer(b, np.uint8).reshape(8, 8), one).tobytes())
+
+    m = mosaic(spark, sf).withColumn("px", grow("px"))
+    for c in ("r0", "c0", "h", "w", "height", "width"):
+        m = m.withColumn(c, F.col(c) * times)
+    return m
