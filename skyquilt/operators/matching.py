@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from skyquilt import session
 from skyquilt.functions.geo import haversine_m, sphere_xyz
 from skyquilt.operators.spatial import radius_pairs
 
-FOLD_LIMIT = 4096
+PASS_LIMIT = 1_000_000
 
 
 # ------------------------------------------------------------ nearest match
@@ -80,44 +81,54 @@ def _match_in_rounds(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return done
 
 
-def _match_in_fold(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy matching of bounded groups as one ordered fold per group."""
-    per_det = edges.groupBy(*keys, "det").agg(
-        F.sort_array(F.collect_list(F.struct("dist", "gt"))).alias("near")
-    )
-    seq = per_det.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("det", "near"))).alias("s"))
-    types = dict(edges.dtypes)
-    pair_type = f"array<struct<det:{types['det']},gt:{types['gt']},dist:double>>"
-
-    def step(acc: Column, d: Column) -> Column:
-        open_ = F.filter(
-            d["near"], lambda e: ~F.exists(acc, lambda a: a["gt"] == e["gt"])
-        )
-        take = F.transform(
-            F.slice(open_, 1, 1),
-            lambda e: F.struct(d["det"].alias("det"), e["gt"].alias("gt"), e["dist"].alias("dist")),
-        )
-        return F.concat(acc, take)
-
-    pairs = seq.select(*keys, F.explode(
-        F.aggregate("s", F.array().cast(pair_type), step)
-    ).alias("p"))
-    return pairs.select(*keys, "p.det", "p.gt", "p.dist")
-
-
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Groups one after another, rows of a group in ``order``."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _runs(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive rows of equal keys."""
+    k = pdf[list(keys)]
+    cut = np.flatnonzero((k.ne(k.shift())).any(axis=1).to_numpy())
+    for a, b in zip(cut, [*cut[1:], len(pdf)]):
+        yield tuple(k.iloc[a]), pdf.iloc[a:b]
+
+
+def _match_in_pass(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Greedy matching of bounded groups: one ordered pass over their edges."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used, done = None, set(), None
+        for pdf in batches:
+            took, at = [], 0
+            for key, part in _runs(pdf, keys):
+                if key != group:
+                    group, used, done = key, set(), None
+                for i, (det, gt) in enumerate(zip(part["det"].tolist(), part["gt"].tolist()), at):
+                    if det != done and gt not in used:
+                        used.add(gt)
+                        done = det
+                        took.append(i)
+                at += len(part)
+            yield pdf.iloc[took]
+
+    return _in_order(edges, keys, ["det", "dist", "gt"]).mapInPandas(run, edges.schema)
+
+
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], pass_limit: int = PASS_LIMIT) -> DataFrame:
     """Detections in ``det`` order take their nearest open truth.
 
     ``edges`` holds ``keys, det, gt, dist`` for pairs within reach. Groups of
-    at most ``fold_limit`` edges are folded in one pass; larger ones go through
-    join rounds. Both give the same pairs.
+    at most ``pass_limit`` edges are matched in one ordered pass; larger ones go
+    through join rounds. Both give the same pairs.
     """
     edges = session.cut(edges, "edges")
-    big = edges.groupBy(*keys).count().where(F.col("count") > fold_limit).select(*keys)
+    big = edges.groupBy(*keys).count().where(F.col("count") > pass_limit).select(*keys)
     if not big.limit(1).count():
-        return _match_in_fold(edges, keys)
+        return _match_in_pass(edges, keys)
     big = session.cut(big, "big")
-    small = _match_in_fold(edges.join(big, [*keys], "left_anti"), keys)
+    small = _match_in_pass(edges.join(big, [*keys], "left_anti"), keys)
     large = _match_in_rounds(edges.join(big, [*keys], "left_semi"), keys)
     return small.unionByName(large.select(*small.columns))
 
@@ -143,10 +154,10 @@ def greedy_geo_match(
     truth: DataFrame,
     radius_m: float = 5.0,
     keys: Sequence[str] = ("aoi", "frame"),
-    fold_limit: int = FOLD_LIMIT,
+    pass_limit: int = PASS_LIMIT,
 ) -> DataFrame:
     """Order-dependent one-to-one match within ``radius_m``."""
-    return greedy_pairs(geo_edges(dets, truth, radius_m, keys), keys, fold_limit)
+    return greedy_pairs(geo_edges(dets, truth, radius_m, keys), keys, pass_limit)
 
 
 # ------------------------------------------------------------- point merge
@@ -167,73 +178,62 @@ def _strips(points: DataFrame, keys: Sequence[str], axis: str, d: float, out: st
     return p.join(bins.select(*keys, "_bin", out), [*keys, "_bin"]).drop("_bin")
 
 
-def _merge_stream(d: float, keys: Sequence[str]):
-    """Same fold over a group that arrives in ordered batches; state = clusters."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+class _Clusters:
+    """Running sums of one block's clusters."""
 
-        sums, first = np.zeros((0, 3)), []
-        head = None
+    def __init__(self):
+        self.sums, self.first, self.size, self.last = np.zeros((16, 3)), [], 0, None
+
+    def add(self, x: float, y: float, seq: int, distance: float) -> None:
+        if self.last is not None and seq < self.last:
+            raise RuntimeError("points arrived out of order")
+        self.last = seq
+        if self.size:
+            live = self.sums[: self.size]
+            gap = np.hypot(x - live[:, 0] / live[:, 2], y - live[:, 1] / live[:, 2])
+            i = int(gap.argmin())
+            if gap[i] < distance:
+                live[i] += (x, y, 1.0)
+                return
+        if self.size == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[self.size] = (x, y, 1.0)
+        self.first.append(seq)
+        self.size += 1
+
+    def rows(self, key: tuple) -> list[tuple]:
+        return [(*key, s, a / n, b / n, int(n)) for s, (a, b, n) in zip(self.first, self.sums[: self.size].tolist())]
+
+
+def _merge_pass(distance: float, keys: Sequence[str]):
+    """One ordered pass over blocks; only the clusters of one are in memory."""
+    names = [*keys, "seq", "x", "y", "n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, clusters = None, None
         for pdf in batches:
-            if head is None and len(pdf):
-                head = pdf[list(keys)].iloc[0].to_dict()
-            for x, y, seq in zip(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.seq.to_numpy()):
-                if len(first):
-                    gap = np.hypot(x - sums[:, 0] / sums[:, 2], y - sums[:, 1] / sums[:, 2])
-                    i = int(gap.argmin())
-                    if gap[i] < d:
-                        sums[i] += (x, y, 1.0)
-                        continue
-                sums = np.vstack([sums, (x, y, 1.0)])
-                first.append(seq)
-        if head is not None:
-            out = pd.DataFrame({"seq": first, "x": sums[:, 0] / sums[:, 2], "y": sums[:, 1] / sums[:, 2],
-                                "n": sums[:, 2].astype("int64")})
-            for k, v in head.items():
-                out[k] = v
-            yield out
-
-    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+            out = []
+            for key, part in _runs(pdf, keys):
+                if key != block:
+                    if clusters:
+                        out += clusters.rows(block)
+                    block, clusters = key, _Clusters()
+                for x, y, seq in zip(part.x.tolist(), part.y.tolist(), part.seq.tolist()):
+                    clusters.add(x, y, seq, distance)
+            yield pd.DataFrame(out, columns=names)
+        if clusters:
+            yield pd.DataFrame(clusters.rows(block), columns=names)
+
     return run
 
 
-def _merge_fold(points: DataFrame, keys: Sequence[str], d: float) -> DataFrame:
-    seq = points.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("s")
-    )
-    kind = "array<struct<seq:bigint,sx:double,sy:double,n:bigint>>"
-
-    def gap(c: Column, p: Column) -> Column:
-        dx, dy = p["x"] - c["sx"] / c["n"], p["y"] - c["sy"] / c["n"]
-        return F.sqrt(dx * dx + dy * dy)
-
-    def step(acc: Column, p: Column) -> Column:
-        ranked = F.transform(acc, lambda c, i: F.struct(gap(c, p).alias("g"), i.alias("i")))
-        near = F.array_min(F.filter(ranked, lambda r: r["g"] < d))["i"]
-        fresh = F.array(F.struct(
-            p["seq"].alias("seq"), p["x"].alias("sx"), p["y"].alias("sy"), F.lit(1).cast("long").alias("n")
-        ))
-        grown = F.transform(acc, lambda c, i: F.when(
-            i == near,
-            F.struct(c["seq"].alias("seq"), (c["sx"] + p["x"]).alias("sx"),
-                     (c["sy"] + p["y"]).alias("sy"), (c["n"] + 1).alias("n")),
-        ).otherwise(c))
-        return F.when(near.isNull(), F.concat(acc, fresh)).otherwise(grown)
-
-    out = seq.select(*keys, F.explode(F.aggregate("s", F.array().cast(kind), step)).alias("c"))
-    return out.select(*keys, "c.seq", (F.col("c.sx") / F.col("c.n")).alias("x"),
-                      (F.col("c.sy") / F.col("c.n")).alias("y"), "c.n")
-
-
-def merge_close_points(
-    points: DataFrame, distance: float, keys: Sequence[str] = ("aoi", "frame"), fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def merge_close_points(points: DataFrame, distance: float, keys: Sequence[str] = ("aoi", "frame")) -> DataFrame:
     """Leader clustering in ``seq`` order by running mean; returns cluster means.
 
-    Each key group is first cut at empty gaps into blocks that cannot interact,
-    so one dense frame spreads over many tasks. A block of more than
-    ``fold_limit`` points is streamed through in order with only its clusters
-    in memory, because each step depends on the means before it.
+    Each step depends on the means before it, so points that may interact have
+    to be visited in order. Each key group is first cut at empty gaps into
+    blocks that cannot interact, which spreads a large frame over many tasks;
+    a block is then streamed in order and never held as a whole.
     """
     keys = list(keys)
     p = points.select(*keys, F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"),
@@ -241,18 +241,12 @@ def merge_close_points(
     p = _strips(p, keys, "x", distance, "_sx")
     p = _strips(p, [*keys, "_sx"], "y", distance, "_sy")
     block = [*keys, "_sx", "_sy"]
-    sizes = p.groupBy(*block).agg((F.count(F.lit(1)) > fold_limit).alias("_large"))
-    p = session.cut(p.join(sizes, block), "blocks")
-    small = _merge_fold(p.where("not _large"), block, distance)
-    if p.where("_large").limit(1).count():
-        fields = ", ".join(f"{k} {t}" for k, t in p.select(*block).dtypes)
-        large = (
-            p.where("_large").repartition(*block).sortWithinPartitions(*block, "seq")
-            .groupBy(*block)
-            .applyInPandas(_merge_stream(distance, block), f"seq long, x double, y double, n long, {fields}")
-        )
-        small = small.unionByName(large.select(*small.columns))
-    return small.drop("_sx", "_sy")
+    p = p.select(*block, "seq", "x", "y")
+    fields = ", ".join(f"{k} {t}" for k, t in p.select(*block).dtypes)
+    out = _in_order(p, block, ["seq"]).mapInPandas(
+        _merge_pass(distance, block), f"{fields}, seq long, x double, y double, n long"
+    )
+    return out.drop("_sx", "_sy")
 
 
 # ----------------------------------------------------------------- metrics

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyquilt import session
 from skyquilt.functions.geo import geo_to_pixel, pixel_to_geo
 from skyquilt.operators import matching, spatial, tracks
 
@@ -99,12 +100,15 @@ def multi_aoi_report(
     background window.
     """
     start = first + num_templates
-    gt = visible_truth(truth, first, last, min_move_m, width, height, border).where(F.col("frame") >= start)
-    det = merged_detections(
-        dets.where(F.col("frame").between(start, last)), width, height, border, merge_px
+    # both are read twice below (counts and matching), so they are written once
+    gt = session.cut(
+        visible_truth(truth, first, last, min_move_m, width, height, border).where(F.col("frame") >= start), "truth"
+    )
+    det = session.cut(
+        merged_detections(dets.where(F.col("frame").between(start, last)), width, height, border, merge_px), "merged"
     )
     pairs = matching.greedy_geo_match(
-        det.withColumnRenamed("seq", "det"), gt.withColumn("gt", F.struct("id", "lon", "lat")), match_m
+        det.withColumnRenamed("seq", "det"), gt.withColumn("gt", F.concat_ws("|", "id", "lon", "lat")), match_m
     )
     keys = ["aoi", "frame"]
 
