@@ -150,9 +150,14 @@ def mutual_matches(keypoints: DataFrame, pairs: DataFrame, block: int = 512) ->
     )
     key = ["aoi", "src_frame", "dst_frame"]
     best = found.groupBy(*key, "side", "kp").agg(F.min(F.struct("dist", "other")).alias("b"))
-    fwd = best.where("side = 0").select(*key, F.col("kp").alias("src_kp"), F.col("b.other").alias("dst_kp"), F.col("b.dist").alias("dist"))
-    bwd = best.where("side = 1").select(*key, F.col("b.other").alias("src_kp"), F.col("kp").alias("dst_kp"))
-    return fwd.join(bwd, [*key, "src_kp", "dst_kp"])
+    fwd = F.col("side") == 0
+    found = best.select(
+        *key, F.when(fwd, F.col("kp")).otherwise(F.col("b.other")).alias("src_kp"),
+        F.when(fwd, F.col("b.other")).otherwise(F.col("kp")).alias("dst_kp"), F.col("b.dist").alias("dist"),
+    )
+    # a pair is mutual when both sides name it
+    both = found.groupBy(*key, "src_kp", "dst_kp").agg(F.count(F.lit(1)).alias("_n"), F.min("dist").alias("dist"))
+    return both.where("_n = 2").drop("_n")
 
 
 def good_matches(matches: DataFrame, max_dist: int = 50) -> DataFrame:

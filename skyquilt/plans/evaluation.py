@@ -21,7 +21,11 @@ def offline_counts(
     truth: DataFrame, dets: DataFrame, first: int, last: int, min_move_m: float, radius: float
 ) -> DataFrame:
     """Per-frame tp/fp/fn of pixel detections against moving truth."""
-    moving = tracks.some_step_moves(tracks.frame_range(truth, first, last), min_move_m)
+    # read twice below (match and counts), so the ordered part runs once
+    moving = session.cut(
+        tracks.some_step_moves(tracks.frame_range(truth, first, last), min_move_m).select("frame_number", "id", "x", "y"),
+        "moving",
+    )
     gt = moving.select(
         F.col("frame_number").cast("int").alias("frame"), "x", "y",
         F.struct("id", "x", "y").alias("gt"),
