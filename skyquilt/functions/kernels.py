@@ -99,34 +99,41 @@ def nearest(a: np.ndarray, h: int, w: int) -> np.ndarray:
     return a[np.ix_(r, c)]
 
 
+def merge_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component, for nodes 0..n-1 and edges a-b."""
+    lab = np.arange(n)
+    while len(a):
+        la, lb = lab[a], lab[b]
+        open_ = la != lb
+        if not open_.any():
+            break
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        np.minimum.at(lab, np.maximum(la, lb), np.minimum(la, lb))
+        while True:  # shorten the chains
+            up = lab[lab]
+            if (up == lab).all():
+                break
+            lab = up
+    return lab
+
+
 def label(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
     """Components numbered 1.. by first pixel in row-major order; 0 is outside."""
     h, w = mask.shape
-    big = h * w
-    lab = np.where(mask, np.arange(h * w).reshape(h, w), big)
+    node = np.full((h, w), -1)
+    n = int(np.count_nonzero(mask))
+    node[mask] = np.arange(n)
     steps = [(0, 1), (1, 0)] if connectivity == 4 else [(0, 1), (1, 0), (1, 1), (1, -1)]
-    parent = np.arange(h * w + 1)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    pairs = []
     for dr, dc in steps:
-        a = lab[: h - dr, max(-dc, 0): w - max(dc, 0)]
-        b = lab[dr:, max(dc, 0): w + min(dc, 0)]
-        both = (a < big) & (b < big)
-        for i, j in zip(a[both].tolist(), b[both].tolist()):
-            ri, rj = root(i), root(j)
-            if ri != rj:
-                parent[max(ri, rj)] = min(ri, rj)
+        p = node[: h - dr, max(-dc, 0): w - max(dc, 0)]
+        q = node[dr:, max(dc, 0): w + min(dc, 0)]
+        both = (p >= 0) & (q >= 0)
+        pairs.append((p[both], q[both]))
+    roots = merge_labels(n, np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs]))
     out = np.zeros((h, w), np.int64)
-    flat = np.flatnonzero(mask.ravel())
-    roots = np.array([root(i) for i in flat.tolist()], dtype=np.int64)
-    if len(flat):
-        _, num = np.unique(roots, return_inverse=True)
-        out.ravel()[flat] = num + 1
+    if n:
+        out[mask] = np.unique(roots, return_inverse=True)[1] + 1
     return out
 
 
@@ -171,25 +178,44 @@ def heatmap_peaks(heat: np.ndarray, limit: float) -> list[tuple[int, int]]:
     0.01 (accumulated) to ``limit``; at each level every 4-connected blob gives
     its highest cell, row-major first on ties. A cell is listed once.
     """
-    level = float(heat.max())
-    found: dict[tuple[int, int], None] = {}
-    if level < limit:
+    top = float(heat.max())
+    if top < limit:
         return []
-    for rc in np.argwhere(heat == heat.max()):
-        found[(int(rc[0]), int(rc[1]))] = None
-    levels = []
-    level -= 0.01
+    levels, level = [], top - 0.01
     while level > limit:
         levels.append(level)
         level -= 0.01
-    for v in [*levels, limit]:
-        lab = label(heat >= heat.dtype.type(v))
-        n = lab.max()
-        if n == 0:
-            continue
-        flat, ids = heat.ravel(), lab.ravel()
-        order = np.lexsort((np.arange(flat.size), -flat, ids))
-        first = order[np.searchsorted(ids[order], np.arange(1, n + 1))]
-        for i in first:
-            found[(int(i // heat.shape[1]), int(i % heat.shape[1]))] = None
-    return list(found)
+    levels.append(limit)
+    w, flat = heat.shape[1], heat.ravel()
+    found = dict.fromkeys(np.flatnonzero(flat == heat.max()).tolist())
+    # One sweep from the top: cells join growing blobs, each of which knows its
+    # highest cell and its first cell. Only a blob born at this level can have
+    # a highest cell that is not listed yet.
+    order = np.lexsort((np.arange(flat.size), -flat)).tolist()
+    value = flat.tolist()
+    parent, peak, first, at = {}, {}, {}, 0
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for v in (float(heat.dtype.type(x)) for x in levels):
+        fresh = []
+        while at < len(order) and value[order[at]] >= v:
+            i = order[at]
+            at += 1
+            parent[i] = peak[i] = first[i] = i
+            fresh.append(i)
+            c = i % w
+            for j in ([i - 1] if c else []) + ([i + 1] if c < w - 1 else []) + [i - w, i + w]:
+                if j in parent:
+                    a, b = root(i), root(j)
+                    if a != b:
+                        best = min((-value[peak[a]], peak[a]), (-value[peak[b]], peak[b]))[1]
+                        parent[b] = a
+                        peak[a], first[a] = best, min(first[a], first[b])
+        for r in sorted({root(i) for i in fresh}, key=first.get):
+            found.setdefault(peak[r])
+    return [(i // w, i % w) for i in found]

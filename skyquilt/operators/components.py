@@ -32,7 +32,7 @@ def _tile_labels(t, connectivity: int):
     r, c = np.nonzero(mask)
     ids = lab[r, c] - 1
     index = (r + t.r0).astype(np.int64) * t.width + c + t.c0
-    first = np.full(lab.max(), np.iinfo(np.int64).max)
+    first = np.full(lab.max(initial=0), np.iinfo(np.int64).max)
     np.minimum.at(first, ids, index)
     return r, c, ids, first
 
@@ -43,19 +43,27 @@ def local_components(masks: DataFrame, connectivity: int, keys: Sequence[str] =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for t in pdf.itertuples(index=False):
                 r, c, ids, first = _tile_labels(t, connectivity)
-                for i in range(len(first)):
-                    rr, cc = r[ids == i], c[ids == i]
-                    edge = (rr == 0) | (cc == 0) | (rr == t.h - 1) | (cc == t.w - 1)
-                    rows.append((
-                        *(getattr(t, k) for k in keys), t.ty, t.tx, int(first[i]), len(rr),
-                        int((rr + t.r0).sum()), int((cc + t.c0).sum()),
-                        int(rr.min() + t.r0), int(cc.min() + t.c0), int(rr.max() + t.r0 + 1), int(cc.max() + t.c0 + 1),
-                        [{"r": int(a + t.r0), "c": int(b + t.c0)} for a, b in zip(rr[edge], cc[edge])],
-                    ))
-            yield pd.DataFrame(rows, columns=[*keys, "ty", "tx", "lab", "area", "sr", "sc", "r0", "c0", "r1", "c1", "border"])
+                n = len(first)
+                if not n:
+                    continue
+                edge = np.flatnonzero((r == 0) | (c == 0) | (r == t.h - 1) | (c == t.w - 1))
+                edge = edge[np.argsort(ids[edge], kind="stable")]
+                cuts = np.searchsorted(ids[edge], np.arange(n + 1))
+                r, c = r + t.r0, c + t.c0
+                low, high = np.full((2, n), np.iinfo(np.int32).max), np.full((2, n), -1)
+                for axis, v in enumerate((r, c)):
+                    np.minimum.at(low[axis], ids, v)
+                    np.maximum.at(high[axis], ids, v)
+                at = [{"r": a, "c": b} for a, b in zip(r[edge].tolist(), c[edge].tolist())]
+                yield pd.DataFrame({
+                    **{k: [getattr(t, k)] * n for k in keys}, "ty": t.ty, "tx": t.tx, "lab": first,
+                    "area": np.bincount(ids, minlength=n),
+                    "sr": np.bincount(ids, r, n).astype(np.int64), "sc": np.bincount(ids, c, n).astype(np.int64),
+                    "r0": low[0], "c0": low[1], "r1": high[0] + 1, "c1": high[1] + 1,
+                    "border": [at[cuts[i]:cuts[i + 1]] for i in range(n)],
+                })
 
     return masks.select(*keys, "ty", "tx", "r0", "c0", "h", "w", "width", "px").mapInPandas(
         run, f"{_fields(masks, keys)}, ty int, tx int, lab long, area long, sr long, sc long, "
@@ -80,16 +88,7 @@ def _union_in_group(edges: DataFrame, keys: list[str]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, inv = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
         a, b = inv.reshape(-1, 2).T
-        lab = np.arange(len(nodes))
-        while True:
-            new = lab.copy()
-            np.minimum.at(new, a, lab[b])
-            np.minimum.at(new, b, lab[a])
-            new = new[new]
-            if (new == lab).all():
-                break
-            lab = new
-        out = pd.DataFrame({"lab": nodes, "root": nodes[lab]})
+        out = pd.DataFrame({"lab": nodes, "root": nodes[kernels.merge_labels(len(nodes), a, b)]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out

@@ -25,7 +25,7 @@ def quantiles(
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     upto = ordering.running_sum(counts, keys, [value], chunk, {"_upto": "_c"})
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    d = upto.join(total, keys) if keys else upto.join(F.broadcast(total))  # one row
+    d = upto.join(total, keys) if keys else upto.withColumn("_n", total.scalar())
     picks = []
     for q in percents:
         at = (F.col("_n") - 1) * (q / 100)

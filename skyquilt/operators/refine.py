@@ -224,6 +224,8 @@ def peaks(responses: DataFrame, limit: float = PEAK_LIMIT, col: str = "pred", si
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             found = []
             for v in pdf[col]:
                 n = int(round(len(v) ** 0.5))

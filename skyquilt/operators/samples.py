@@ -87,10 +87,8 @@ def sampled_rows(samples: DataFrame, max_samples: int, seed: int) -> DataFrame:
     order until at least ``max`` rows are loaded. Kept: rows of the files read.
     """
     sizes = samples.groupBy("file_id").agg(F.count(F.lit(1)).alias("size"))
-    files = sizes.agg(F.count(F.lit(1)).alias("files"))
-    sizes = sizes.join(F.broadcast(files)).withColumn(  # one row: a scalar
-        "take", F.least(F.col("size"), F.floor(F.lit(max_samples) / F.col("files")) + 1)
-    )
+    files = sizes.agg(F.count(F.lit(1))).scalar()
+    sizes = sizes.withColumn("take", F.least(F.col("size"), F.floor(F.lit(max_samples) / files) + 1))
     sizes = ordering.running_sum(sizes, [], ["file_id"], ordering.sampled_chunk(sizes, ["file_id"]), {"loaded": "take"})
     sizes = sizes.where(F.col("loaded") - F.col("take") < max_samples).select("file_id", "take")
     return take_per_group(samples, sizes, ["file_id"], seed)
@@ -111,10 +109,10 @@ def take_per_group(samples: DataFrame, quotas: DataFrame, keys: list[str], seed:
 
 def balanced_sample(samples: DataFrame, target_pos: int, target_neg: int, seed: int, epoch: int = 0) -> DataFrame:
     """Per file and class: ``target // files + 1`` seeded rows, capped by its size."""
-    files = samples.select("file_id").distinct().agg(F.count(F.lit(1)).alias("files"))
-    groups = samples.select("file_id", "cls").distinct().join(F.broadcast(files))  # one row: a scalar
+    files = samples.agg(F.count_distinct("file_id")).scalar()
+    groups = samples.select("file_id", "cls").distinct()
     target = F.when(F.col("cls") == 0, F.lit(target_pos)).otherwise(F.lit(target_neg))
-    quotas = groups.select("file_id", "cls", (F.floor(target / F.col("files")) + 1).alias("take"))
+    quotas = groups.select("file_id", "cls", (F.floor(target / files) + 1).alias("take"))
     return take_per_group(samples, quotas, ["file_id", "cls"], seed + epoch)
 
 
@@ -149,8 +147,7 @@ def epoch_batches(samples: DataFrame, batch: int, seed: int, epoch: int = 0, dro
     """Shuffle and number batches of a fixed size; the tail is dropped or kept."""
     d = permuted(samples, seed + epoch).withColumn("batch_id", F.floor(F.col("pos") / batch))
     if drop_last:
-        n = samples.agg(F.count(F.lit(1)).alias("_n"))
-        d = d.join(F.broadcast(n)).where(F.col("batch_id") < F.floor(F.col("_n") / batch)).drop("_n")  # one row
+        d = d.where(F.col("batch_id") < F.floor(samples.agg(F.count(F.lit(1))).scalar() / batch))
     return d
 
 
@@ -158,18 +155,16 @@ def split_by_file(samples: DataFrame, val_share: float) -> DataFrame:
     """Leading files (by name) train, the rest validation; no file in both."""
     files = samples.select("file_id").distinct()
     files = ordering.position(files, [], ["file_id"], ordering.sampled_chunk(files, ["file_id"]))
-    n = files.agg(F.count(F.lit(1)).alias("n"))
-    files = files.join(F.broadcast(n)).withColumn(  # one row: a scalar
-        "part", F.when(F.col("pos") < F.floor(F.col("n") * (1 - val_share)), "train").otherwise("validation")
-    )
+    n = samples.agg(F.count_distinct("file_id")).scalar()
+    files = files.withColumn("part", F.when(F.col("pos") < F.floor(n * (1 - val_share)), "train").otherwise("validation"))
     return samples.join(files.select("file_id", "part"), "file_id")
 
 
 def split_random(samples: DataFrame, val_share: float, seed: int) -> DataFrame:
     """Exact-size seeded split; validation takes ceil(n * share) rows."""
-    n = samples.agg(F.count(F.lit(1)).alias("_n"))
-    d = permuted(samples, seed).join(F.broadcast(n))  # one row
-    return d.withColumn("part", F.when(F.col("pos") < F.ceil(F.col("_n") * val_share), "validation").otherwise("train")).drop("_n")
+    n = samples.agg(F.count(F.lit(1))).scalar()
+    d = permuted(samples, seed)
+    return d.withColumn("part", F.when(F.col("pos") < F.ceil(n * val_share), "validation").otherwise("train"))
 
 
 def split_permutation_prefix(samples: DataFrame, n_train: int, n_val: int, seed: int) -> DataFrame:

@@ -10,6 +10,7 @@ from skyquilt.operators import matching, samples as sm
 from skyquilt.plans import evaluation as ev
 from skyquilt.sources import catalogue, images, tables
 from skyquilt.workload import fixtures as fx
+from skyquilt.workload.evaluation import E3_SQL
 from skyquilt.workload.registry import query
 
 NAMES = """nm as (select regexp_replace(url,'[^a-zA-Z0-9]','_','g') || case page_id%4 when 0 then '.png' when 1 then '.JPG'
@@ -148,12 +149,8 @@ def a11_prior_samples(spark, sf):
                     F.col("z.image").alias("v"), F.col("z.mask").alias("m"))
 
 
-@query("a12_metrics_sink")
+@query("a12_metrics_sink", E3_SQL)
 def a12_metrics_sink(spark, sf):
-    return _a12(spark, sf)
-
-
-def _a12(spark, sf):
     path = session.scratch(spark, "metrics")
     d = ev.offline_counts(fx.tracks(spark, sf), fx.dets(spark, sf), 105, 160, 1.2, 10.0)
     d = session.cut(d.withColumn("aoi", (F.col("frame") % 3).cast("string")), "counts")

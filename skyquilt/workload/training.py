@@ -34,7 +34,7 @@ def b8_zero_centre(spark, sf):
     ch = ch.groupBy(F.floor(F.col("i") / 16).alias("ch")).agg(F.round(F.sum("s") / F.sum("n"), 6).alias("m"))
     mean = ch.agg(F.transform(F.sort_array(F.collect_list(F.struct("ch", "m"))), lambda s: s["m"]).alias("mean"))  # four values
     image = F.array(*[F.lit(i / 64.0) for i in range(64)])
-    d = e.join(F.broadcast(mean))  # one row
+    d = e.withColumn("mean", mean.scalar())
     d = d.select("vec_id", F.posexplode(F.arrays_zip(
         sm.zero_centre(F.col("px"), F.col("mean"), 64, 4).alias("a"), sm.zero_centre(F.col("px"), image, 64, 4).alias("b"))).alias("i", "z"))
     return d.select("vec_id", "i", F.round("z.a", 6).alias("by_channel"), F.round("z.b", 6).alias("by_image"))
