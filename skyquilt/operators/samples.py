@@ -184,7 +184,7 @@ def file_position_split(files: DataFrame, position: str, last_train: int, unused
 def few_samples(samples: DataFrame, k: int, seed: int, limit: int = 5) -> DataFrame:
     """Up to min(k, 5) rows, taken across seeded-shuffled files in order."""
     want = min(k, limit)
-    fkey = F.pmod(F.crc32("file_id"), F.lit(2147483647))
+    fkey = F.conv(F.substring(F.md5("file_id"), 1, 7), 16, 10).cast("long")
     d = samples.select("file_id", "sample_idx", ordering.mix(seed, fkey).alias("_f"), ordering.mix(seed, "sample_idx").alias("_o"))
     return d.orderBy("_f", "file_id", "_o", "sample_idx").limit(want).select("file_id", "sample_idx")
 

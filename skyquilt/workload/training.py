@@ -156,7 +156,7 @@ def g8_permutation_prefix(spark, sf):
     return sm.split_permutation_prefix(fx.samples(spark, sf), 300, 100, 9).select("file_id", "sample_idx", "pos", "part")
 
 
-@query("g9_few_samples")
+@query("g9_few_samples", fx.with_(fx.SAMPLES) + f"select file_id, sample_idx from smp order by (('0x'||substr(md5(file_id),1,7))::bigint*2654435761+4*40503)%4294967296, file_id, {MIXS.format(seed=4)}, sample_idx limit 5")
 def g9_few_samples(spark, sf):
     return sm.few_samples(fx.samples(spark, sf), 8, 4)
 
