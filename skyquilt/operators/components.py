@@ -43,6 +43,7 @@ def local_components(masks: DataFrame, connectivity: int, keys: Sequence[str] =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            parts = []
             for t in pdf.itertuples(index=False):
                 r, c, ids, first = _tile_labels(t, connectivity)
                 n = len(first)
@@ -57,13 +58,15 @@ def local_components(masks: DataFrame, connectivity: int, keys: Sequence[str] =
                     np.minimum.at(low[axis], ids, v)
                     np.maximum.at(high[axis], ids, v)
                 at = [{"r": a, "c": b} for a, b in zip(r[edge].tolist(), c[edge].tolist())]
-                yield pd.DataFrame({
+                parts.append(pd.DataFrame({
                     **{k: [getattr(t, k)] * n for k in keys}, "ty": t.ty, "tx": t.tx, "lab": first,
                     "area": np.bincount(ids, minlength=n),
                     "sr": np.bincount(ids, r, n).astype(np.int64), "sc": np.bincount(ids, c, n).astype(np.int64),
                     "r0": low[0], "c0": low[1], "r1": high[0] + 1, "c1": high[1] + 1,
                     "border": [at[cuts[i]:cuts[i + 1]] for i in range(n)],
-                })
+                }))
+            if parts:
+                yield pd.concat(parts)
 
     return masks.select(*keys, "ty", "tx", "r0", "c0", "h", "w", "width", "px").mapInPandas(
         run, f"{_fields(masks, keys)}, ty int, tx int, lab long, area long, sr long, sc long, "
@@ -167,12 +170,15 @@ def pixel_labels(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            parts = []
             for t in pdf.itertuples(index=False):
                 r, c, ids, first = _tile_labels(t, connectivity)
                 out = pd.DataFrame({"r": (r + t.r0).astype(np.int32), "c": (c + t.c0).astype(np.int32), "lab": first[ids]})
                 for k in keys:
                     out[k] = getattr(t, k)
-                yield out
+                parts.append(out)
+            if parts:
+                yield pd.concat(parts)
 
     local = session.cut(local_components(masks, connectivity, keys), "local")
     px = masks.select(*keys, "r0", "c0", "h", "w", "width", "px").mapInPandas(

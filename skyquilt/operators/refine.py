@@ -287,6 +287,7 @@ def prior_inputs(tiles: DataFrame, side: int = 256) -> DataFrame:
             return to[on], idx[on] - lo, wt[on]
 
         for pdf in batches:
+            parts = []
             for t in pdf.itertuples(index=False):
                 a = np.frombuffer(t.px, np.uint8).reshape(t.h, t.w).astype(np.float64)
                 ti, si, wi = taps(t.height, t.r0, t.r0 + t.h)
@@ -297,7 +298,9 @@ def prior_inputs(tiles: DataFrame, side: int = 256) -> DataFrame:
                 cell = ti[:, None] * side + tj[None, :]
                 flat = np.bincount(cell.ravel(), weights=part.ravel(), minlength=side * side)
                 on = np.unique(cell)
-                yield pd.DataFrame({"aoi": t.aoi, "frame": t.frame, "height": t.height, "width": t.width, "cell": on, "v": flat[on]})
+                parts.append(pd.DataFrame({"aoi": t.aoi, "frame": t.frame, "height": t.height, "width": t.width, "cell": on, "v": flat[on]}))
+            if parts:
+                yield pd.concat(parts)
 
     d = tiles.select("aoi", "frame", "r0", "c0", "h", "w", "height", "width", "px").mapInPandas(
         run, f"aoi {aoi}, frame int, height int, width int, cell int, v double"
