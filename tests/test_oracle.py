@@ -1,11 +1,11 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query against its SQL twin on the correctness tables."""
 
 import oracle
 import pytest
 
 from skyquilt.workload import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
