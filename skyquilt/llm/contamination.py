@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.llm.queries import query, table
+from skyquilt.llm.text import folded
 
 SCHEMA = "doc_id long, text string, item_id long, first long, last long, windows int, edits int"
 #: A benchmark is searched in blocks of so many characters; each block is one broadcast.
 BLOCK_CHARS = 4_000_000
 #: Bytes of text that one step in a task works on (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 @dataclass(frozen=True)
@@ -47,11 +47,6 @@ class Settings:
         return n - self.q + 1 - self.q * self.budget(n)
 
 
-def folded(text: str | None) -> bytes:
-    """Letters and digits in lower case (A-Z), words parted by one space."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
-
-
 def windows(text: bytes, s: Settings) -> list[bytes]:
     """Windows of a folded benchmark text; one below ``shortest`` bytes has none."""
     if len(text) < s.shortest:
