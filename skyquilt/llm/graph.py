@@ -1,0 +1,34 @@
+"""Connected components by rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skyquilt import session
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` for each node of ``edges(a, b)``; the root is the least node of its component.
+
+    Alternates two steps until nothing changes: every node's larger neighbours
+    are linked to its least neighbour, then its smaller ones. Rounds grow with
+    the logarithm of the component's size. Each result is a written table.
+    """
+    now = session.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # here every edge points to a smaller node
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(
+            F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = session.cut(small.select("e.*").filter("a <> b").distinct(), "edges")
+        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if mark == seen:
+            break
+        seen = mark
+    roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
