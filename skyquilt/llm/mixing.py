@@ -15,6 +15,8 @@ from skyquilt.llm.queries import query, table
 
 SEED = "mix-1"
 BROADCAST_BYTES = 8 << 20
+#: Largest mean of one Poisson draw; a higher rate is drawn in pieces.
+PIECE = 256.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -44,10 +46,13 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, epochs:
 
 
 def cumulative(rates: DataFrame) -> DataFrame:
-    """``(source, rate, cdf)``: the Poisson distribution up to ten deviations above the mean.
+    """``(source, pieces, cdf)``: a rate as a sum of equal pieces of PIECE at most, and a piece's Poisson distribution.
 
-    The array grows with the rate, as the copies of one document do.
+    The distribution goes ten deviations above the mean, so it has some hundred
+    entries at any rate; a sum of Poisson numbers is one of the summed mean.
     """
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")
+    rates = rates.select("source", pieces.alias("pieces"), (F.col("rate") / pieces).alias("rate"))
     rate = F.col("rate")
     last = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
     # log of k! as a running sum, then exp per entry: large rates do not underflow
@@ -59,13 +64,14 @@ def cumulative(rates: DataFrame) -> DataFrame:
         "mass", F.array().cast("array<double>"),
         lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + p)))
     return (rates.withColumn("logs", logs).withColumn("mass", mass)
-            .select("source", "rate", F.when(rate > 0, running).otherwise(F.array(F.lit(1.0))).alias("cdf")))
+            .select("source", "pieces", F.when(rate > 0, running).otherwise(F.array(F.lit(1.0))).alias("cdf")))
 
 
 def replicate(docs: DataFrame, targets: DataFrame | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """Every document as often as its count says, in one global random order.
 
-    Returns the columns of ``docs`` and ``copy`` (from 1), ``shuffle_key``; input
+    Returns the columns of ``docs`` and ``copy`` (different for each copy of a row,
+    from 1), ``shuffle_key``; input
     columns of these names are replaced. Documents without an id are hashed by
     their text; rows that agree in id (or, without one, in text) get the same
     count. A null source is a source of its own. Null or empty texts weigh no
@@ -79,10 +85,12 @@ def replicate(docs: DataFrame, targets: DataFrame | None = None, epochs: float =
     identity = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     # the row travels as one struct, so its names cannot meet those used here
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), identity.alias("identity"))
-    counted = rows.join(rates, F.col("of").eqNullSafe(F.col("source"))).select(
-        "row", "identity",
-        F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col("identity")))).alias("copies"))
-    copies = counted.filter("copies > 0").select("row", "identity", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    drawn = rows.join(rates, F.col("of").eqNullSafe(F.col("source"))).select(
+        "row", "identity", "cdf", F.explode(F.sequence(F.lit(1), "pieces")).alias("piece"))
+    number = F.when(F.col("piece") > 1, uniform(F.lit(seed), F.col("identity"), F.col("piece").cast("string"))).otherwise(uniform(F.lit(seed), F.col("identity")))
+    counted = drawn.withColumn("u", number).select("row", "identity", "piece", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("copies"))
+    copies = counted.filter("copies > 0").select("row", "identity", "piece", F.explode(F.sequence(F.lit(1), "copies")).alias("k"))
+    copies = copies.select("row", "identity", ((F.col("piece") - 1) * 1024 + F.col("k")).alias("copy"))
     keyed = copies.select("row", "copy", F.md5(F.concat_ws("|", F.lit(seed), "identity", "copy")).alias("shuffle_key"))
     # keys are uniform, so range partitions are even and no source can be hot
     return keyed.orderBy("shuffle_key", "copy").select("row.*", "copy", "shuffle_key")

@@ -262,7 +262,10 @@ def test_poisson_mixing(spark):
     assert all(abs(n - 20_000) < 1_500 for n in chars.values())
     two = mixing.replicate(docs, spark.createDataFrame([("small", 1.0), ("absent", 0.0)], "source string, weight double"))
     assert {r.source for r in two.select("source").distinct().collect()} == {"small"}
-    got = mixing.replicate(odd(spark), epochs=30.0)
+    many = mixing.replicate(docs.filter("doc_id < 20"), spark.createDataFrame([("small", 1.0)], "source string, weight double"), epochs=60.0)
+    counts = [r["count"] for r in many.groupBy("doc_id").count().collect()]
+    assert len(counts) == 2 and all(abs(n - 600) < 150 for n in counts) and many.select("doc_id", "copy").distinct().count() == sum(counts)
+    got = mixing.replicate(odd(spark), epochs=0.001)
     assert got.columns == [*[c for c in odd(spark).columns if c != "copy"], "copy", "shuffle_key"]
     twice = [r["count"] for r in got.filter("doc_id = 4").groupBy("copy").count().collect()]
     assert set(twice) <= {2}
