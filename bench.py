@@ -18,7 +18,8 @@ HEADLINE = (
     "offline_metrics", "c2_every_step_moves", "c3_some_step_moves", "d1_nn_match", "d9_aoi_range_join",
     "d2_greedy_geo_match", "d3_merge_close_points", "d13_road_distance", "d5_template_pairs", "d7_mutual_matches",
     "e4_temporal_median", "e9_motion_statistics", "i8_opening", "e12_region_properties", "i3_perspective_warp",
-    "i20_block_motion", "i12_patches_21", "g4_balanced_sample", "i21_label_masks",
+    "i20_block_motion", "i12_patches_21", "g4_balanced_sample", "i21_label_masks", "detect_frames", "i15_heatmap_peaks", "i16_refinement",
+    "i10_background_pipeline", "i4_homography_estimate", "i11_components", "multi_aoi_report", "g5_epoch_batches", "k1_template_window",
 )
 
 
@@ -40,6 +41,7 @@ def main() -> None:
         "metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf.rstrip("/")),
     }))
+    session.clear(spark)
     spark.stop()
 
 

@@ -17,15 +17,15 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles ``p<q>`` per key.
 
-    Values are counted first; running counts over value chunks give the ranks.
+    Nulls are left out; a key without values has no row. Values are counted first; running counts over value chunks give the ranks.
     No task ever holds all values of a key. ``chunk`` must be a non-decreasing
     function of the value.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     upto = ordering.running_sum(counts, keys, [value], chunk, {"_upto": "_c"})
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    d = upto.join(total, keys) if keys else upto.withColumn("_n", total.scalar())
+    d = ordering._join_equal(upto, total, keys) if keys else upto.withColumn("_n", total.scalar())
     picks = []
     for q in percents:
         at = (F.col("_n") - 1) * (q / 100)

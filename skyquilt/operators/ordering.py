@@ -10,6 +10,8 @@ rows again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,13 @@ def sampled_chunk(df: DataFrame, order: Sequence[str], parts: int = 32, per_part
     return F.size(F.filter(points, lambda p: p <= key)).cast("long")
 
 
+def _join_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal too, so that no row without a key is lost."""
+    named = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(named, reduce(and_, same), how).drop(*[f"_of_{k}" for k in keys])
+
+
 def position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, out: str = "pos"
 ) -> DataFrame:
@@ -75,8 +84,7 @@ def position(
     )
     inside = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     return (
-        d.withColumn("_rn", inside)
-        .join(sizes, part)
+        _join_equal(d.withColumn("_rn", inside), sizes, part)
         .withColumn(out, (F.col("_rn") - 1 + F.col("_before")).cast("long"))
         .drop("_chunk", "_rn", "_before")
     )
@@ -112,7 +120,7 @@ def neighbours(
         aggs.append(F.min_by("_v", o).alias("_first"))
         picks.append(F.lead("_first").over(across).alias("_next_edge"))
     edges = d.groupBy(*part).agg(*aggs).select(*part, *picks)
-    out = out.join(edges, part, "left")
+    out = _join_equal(out, edges, part, "left")
     if prev:
         out = out.withColumn(prev, F.coalesce(prev, "_prev_edge"))
     if next:
@@ -134,7 +142,7 @@ def running_sum(
         *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums],
     )
     out = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{o}") for o, c in sums.items()])
-    out = out.join(totals, part)
+    out = _join_equal(out, totals, part)
     for o in sums:
         out = out.withColumn(o, F.col(f"_i_{o}") + F.col(f"_b_{o}"))
     return out.drop("_chunk", *[f"_i_{o}" for o in sums], *[f"_b_{o}" for o in sums])

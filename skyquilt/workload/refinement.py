@@ -88,24 +88,24 @@ def c8_patch_fits(spark, sf):
                     refine.window_fits(F.col("y") + 0.3, F.col("x") + 0.6, F.lit(600), F.lit(800)).alias("fits45"))
 
 
-@query("j1_batched_scores", """select vec_id, [round((list_sum(embedding[1:16])+16*0.25e0)/16,3), round(list_sum(embedding[17:64])/48,3)] as pred from embeddings""")
+@query("j1_batched_scores", """select vec_id, [round((list_sum(embedding[1:16])+16*0.25e0)/16,3)+0.0e0, round(list_sum(embedding[17:64])/48,3)+0.0e0] as pred from embeddings""")
 def j1_batched_scores(spark, sf):
     def load():
         return lambda x: np.stack([x[:, 0].mean(axis=(1, 2)) + 0.25, x[:, 1:].mean(axis=(1, 2, 3))], axis=1)
 
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("px"))
     d = refine.score(e, load, (4, 4, 4))
-    return d.select("vec_id", F.transform("pred", lambda v: F.round(v.cast("double"), 3)).alias("pred"))
+    return d.select("vec_id", F.transform("pred", lambda v: F.round(v.cast("double"), 3) + 0.0).alias("pred"))
 
 
-@query("d12_model_broadcast", """select vec_id, [round(list_sum(embedding[1:16])/16-0.5e0,3), round(list_sum(embedding[49:64])/16+1,3)] as pred from embeddings""")
+@query("d12_model_broadcast", """select vec_id, [round(list_sum(embedding[1:16])/16-0.5e0,3)+0.0e0, round(list_sum(embedding[49:64])/16+1,3)+0.0e0] as pred from embeddings""")
 def d12_model_broadcast(spark, sf):
     def load():
         return lambda x: np.stack([x[:, 0].mean(axis=(1, 2)), x[:, 3].mean(axis=(1, 2))], axis=1)
 
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("px"))
     d = refine.score(e, load, (4, 4, 4), mean=np.array([0.5, 0, 0, -1]))
-    return d.select("vec_id", F.transform("pred", lambda v: F.round(v.cast("double"), 3)).alias("pred"))
+    return d.select("vec_id", F.transform("pred", lambda v: F.round(v.cast("double"), 3) + 0.0).alias("pred"))
 
 
 @query("c7_score_acceptance", fx.with_(fx.TRACKS, fx.DETS) + "select seq, x, y from dets where cast(score as float)>cast(0.7e0 as float)")

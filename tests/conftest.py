@@ -14,4 +14,5 @@ def spark():
     s = session.build("tests", "local[8]", 8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    session.clear(s)
     s.stop()

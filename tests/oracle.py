@@ -19,7 +19,7 @@ def connect(sf: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(v + 0.0)
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     return repr(v)

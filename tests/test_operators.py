@@ -310,3 +310,23 @@ def test_missing_template_raises(spark, noise):
 def test_tile_schema_has_the_declared_columns():
     assert tl.COLS == ["aoi", "frame", "ty", "tx", "r0", "c0", "h", "w", "height", "width", "px"]
     assert schemas.TILE.startswith("aoi STRING")
+
+
+def test_positions_and_sums_keep_rows_without_key_or_order(spark):
+    from skyquilt.operators import ordering
+
+    df = spark.createDataFrame([("a", 1), ("a", None), (None, 2), (None, None), ("b", 3)], "k string, v int").withColumn("one", F.lit(1))
+    chunk = F.floor(F.col("v") / 2)
+    got = {(r.k, r.v): r.pos for r in ordering.position(df, ["k"], ["v"], chunk).collect()}
+    assert got == {("a", None): 0, ("a", 1): 1, (None, None): 0, (None, 2): 1, ("b", 3): 0}
+    sums = {(r.k, r.v): r.n for r in ordering.running_sum(df, ["k"], ["v"], chunk, {"n": "one"}).collect()}
+    assert sums == {k: p + 1 for k, p in got.items()}
+
+
+def test_quantiles_leave_nulls_out(spark):
+    from skyquilt.operators import evaluate
+
+    rows = [("a", x / 10) for x in range(1, 6)] + [("a", None)] * 5 + [(None, 1.0), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.p50 for r in evaluate.quantiles(df, ["k"], "v", (50,), F.floor(F.col("v") * 4)).collect()}
+    assert got == {"a": 0.3, None: 1.0}
