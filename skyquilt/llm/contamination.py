@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt import session
+from skyquilt.llm.memory import tidy
 from skyquilt.llm.queries import query, table
 from skyquilt.llm.text import folded
 
@@ -250,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         part = [tuple(r) for r in items.filter(block == k).collect()]
-        found.append(rows.mapInPandas(_searcher(spark.sparkContext.broadcast(Index(part, s)), s), SCHEMA))
+        found.append(rows.mapInPandas(tidy(_searcher(spark.sparkContext.broadcast(Index(part, s)), s)), SCHEMA))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

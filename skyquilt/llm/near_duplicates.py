@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from skyquilt import session
 from skyquilt.llm import shingles
 from skyquilt.llm.graph import components
+from skyquilt.llm.memory import tidy
 from skyquilt.llm.perfect_hash import mix
 from skyquilt.llm.queries import query, table
 
@@ -204,7 +205,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     digest = F.when(F.trim(F.translate("text", "\t\n\u000b\u000c\r", "     ")) != "", F.md5("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = rows.withColumn("digest", digest).filter("digest is not null")
-    made = session.cut(full.mapInPandas(_signatures, "doc_id long, digest string, bands array<long>, marks binary"), "signatures")
+    made = session.cut(full.mapInPandas(tidy(_signatures), "doc_id long, digest string, bands array<long>, marks binary"), "signatures")
     texts = made.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     nodes = session.cut(texts, "nodes")
     members = session.cut(_buckets(nodes), "members")
@@ -213,14 +214,14 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one text per digest: copies meet in the map-side aggregation, so no group of copies is hot
     whole = full.groupBy("digest").agg(F.first("text").alias("text"))
     use = whole.join(keys, "digest").join(nodes.select("digest", "marks"), "digest")
-    sets = session.cut(use.mapInPandas(_sets, "digest string, in array<struct<key: long, n: long>>, marks binary, shingles binary"), "shingles")
+    sets = session.cut(use.mapInPandas(tidy(_sets), "digest string, in array<struct<key: long, n: long>>, marks binary, shingles binary"), "shingles")
     spread = sets.select("digest", "marks", "shingles", F.col("in.key").alias("keys"), F.explode("in").alias("at")).select(
         "digest", "marks", "shingles", "keys", "at.key", F.ceil(F.col("at.n") / BLOCK).cast("int").alias("blocks"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "digest", "marks", "shingles", "keys", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = session.cut(spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                        .mapInPandas(_verify_blocks, "a string, b string, links long"), "links")
+                        .mapInPandas(tidy(_verify_blocks), "a string, b string, links long"), "links")
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("n_links"))
     members = nodes.select("digest", "rep").join(roots, F.col("digest") == F.col("node"), "left").select(

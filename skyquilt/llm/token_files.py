@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.llm import files, perfect_hash
+from skyquilt.llm.memory import tidy
 from skyquilt.llm.queries import query, table
 
 SHARD_CHARS = 8 << 20
@@ -279,7 +280,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None) -> TokenF
     rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
     ranged = rows.repartitionByRange(max(1, -(-int(chars) // SHARD_CHARS)), *order).sortWithinPartitions(*order)
-    ranged.select("doc_id", "text").mapInPandas(_shard_writer(folder, vocabulary), ENTRY).write.parquet(f"{folder}/entries")
+    ranged.select("doc_id", "text").mapInPandas(tidy(_shard_writer(folder, vocabulary)), ENTRY).write.parquet(f"{folder}/entries")
     entries = spark.read.schema(ENTRY).parquet(f"{folder}/entries")
     totals = _shard_totals(entries)
     again = [(int(r.shard), int(r.edge_id), int(r.before)) for r in totals.itertuples() if r.before and not pd.isna(r.edge_id)]
