@@ -28,6 +28,8 @@ STEMS = (4, 5, 6)
 FOLDS = 5
 THRESHOLD = 0.5
 SHAPE = 7
+#: Texts whose features are in memory at once.
+STEP = 512
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _PLAIN = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum() or chr(c).isspace())
 
@@ -66,10 +68,13 @@ class Chain:
     weights: list[np.ndarray]
 
     def probabilities(self, texts) -> np.ndarray:
-        x = features(texts, self.terms)
-        for w in self.weights:
-            x = np.concatenate([x, linear.predict(x, w)[:, None]], 1)
-        return x[:, len(self.terms) + SHAPE:]
+        texts, out = list(texts), [np.zeros((0, len(self.weights)))]
+        for k in range(0, len(texts), STEP):
+            x = features(texts[k:k + STEP], self.terms)
+            for w in self.weights:
+                x = np.concatenate([x, linear.predict(x, w)[:, None]], 1)
+            out.append(x[:, len(self.terms) + SHAPE:])
+        return np.concatenate(out)
 
 
 def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
