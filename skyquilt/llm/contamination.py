@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt import session
-from skyquilt.llm.memory import tidy
+from skyquilt.llm.memory import bound_batches, tidy
 from skyquilt.llm.queries import query, table
 from skyquilt.llm.text import folded
 
@@ -240,6 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     if s.bound(s.length) < 1 or min(s.bound(n) for n in range(s.shortest, s.length + 1)) < 1 or not 8 <= s.q <= 16:
         raise ValueError("the q-gram bound of these settings is below 1, or q is not between 8 and 16")
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = -(-int(total) // BLOCK_CHARS)

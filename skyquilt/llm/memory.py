@@ -7,10 +7,18 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Bytes of texts that Spark hands to a Python worker at once, at most (one row may be larger).
+BATCH_BYTES = 8 << 20
 Run = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, as rows of text differ in length by orders of magnitude."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Hand freed memory of Arrow and of the C library to the system (the latter only where it has ``malloc_trim``)."""
     pa.default_memory_pool().release_unused()

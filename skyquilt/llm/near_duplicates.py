@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skyquilt import session
 from skyquilt.llm import shingles
 from skyquilt.llm.graph import components
-from skyquilt.llm.memory import tidy
+from skyquilt.llm.memory import bound_batches, tidy
 from skyquilt.llm.perfect_hash import mix
 from skyquilt.llm.queries import query, table
 
@@ -202,6 +202,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     but are no copies of each other: they are in ``rows`` with a null digest.
     Repeated rows are copies. No rows: no rows.
     """
+    bound_batches(docs.sparkSession)
     digest = F.when(F.trim(F.translate("text", "\t\n\u000b\u000c\r", "     ")) != "", F.md5("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = rows.withColumn("digest", digest).filter("digest is not null")

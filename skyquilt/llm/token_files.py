@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.llm import files, perfect_hash
-from skyquilt.llm.memory import tidy
+from skyquilt.llm.memory import bound_batches, tidy
 from skyquilt.llm.queries import query, table
 
 SHARD_CHARS = 8 << 20
@@ -272,6 +272,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None) -> TokenF
     not read. Empty tables give a folder without documents.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or session.scratch(spark, "tokens")
     dtype = encoder(vocabulary).dtype
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -7,6 +7,7 @@ those are predictions of models that did not see the document (out of fold).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.llm import linear
+from skyquilt.llm.memory import bound_batches, give_back
 from skyquilt.llm.queries import query, table
 from skyquilt.llm.text import folded
 
@@ -126,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], sample_size: int
     largest counts. Without labels, or with one class only, a category gets its
     smoothed share.
     """
+    bound_batches(docs.sparkSession)
     chosen = (labels.dropna(subset=["doc_id", *names]).groupBy(F.col("doc_id").alias("labelled"))
               .agg(*[F.max(F.col(c).cast("double")).alias(f"label_{k}") for k, c in enumerate(names)])
               .orderBy(F.xxhash64("labelled"), "labelled").limit(sample_size))
@@ -152,12 +155,15 @@ def score(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: flo
     Input columns of these names are replaced. A null text is an empty one;
     texts that are equal get equal scores. No rows: no rows.
     """
+    bound_batches(docs.sparkSession)
     names = [f"p_{c}" for c in chain.names]
     docs = docs.drop(*names, "toxic")
 
     @F.pandas_udf(", ".join(f"{c} double" for c in names))
-    def chained(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(chain.probabilities(texts), columns=names)
+    def chained(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield pd.DataFrame(chain.probabilities(texts), columns=names)
+        give_back()
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), chained(F.col("text").cast("string")).alias("p"))
     return rows.select("row.*", "p.*", (F.col(f"p.p_{category}") >= threshold).alias("toxic"))
