@@ -95,14 +95,23 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS
 
 def _choose_terms(sample: DataFrame, names: list[str]) -> dict[bytes, int]:
     """For each category the words whose presence tells most about it, by the likelihood ratio statistic."""
-    @F.pandas_udf("array<binary>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(stems(set(folded(t).split()))))
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents that hold each term, all and by category, summed over STEP documents at a time."""
+        for part in parts:
+            for k in range(0, len(part), STEP):
+                rows, seen = part.iloc[k:k + STEP], {}
+                for text, flags in zip(rows["text"], rows[names].to_numpy(np.float64), strict=True):
+                    held = np.concatenate([[1.0], flags])
+                    for t in stems(set(folded(text).split())):
+                        seen[t] = seen[t] + held if t in seen else held
+                sums = np.array(list(seen.values())).reshape(len(seen), len(names) + 1)
+                yield pd.DataFrame({"term": list(seen)} | {c: sums[:, i] for i, c in enumerate(["n", *names])})
+        give_back()
 
     n = sample.count()
     positives = sample.agg(*[F.sum(c).alias(c) for c in names]).first()
-    rows = sample.select(*names, F.explode(distinct("text")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).filter(F.col("n") >= MIN_DOCS)
+    rows = (sample.select("text", *names).mapInPandas(counted, ", ".join(["term binary", "n double", *[f"{c} double" for c in names]]))
+            .groupBy("term").agg(*[F.sum(c).alias(c) for c in ["n", *names]]).filter(F.col("n") >= MIN_DOCS))
 
     def term(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
