@@ -112,21 +112,28 @@ def block_motion(tiles: DataFrame, tile: int, block: int = 8, reach: int = 4) ->
             rows = []
             for t in pdf.itertuples(index=False):
                 a, b, ra, ca = _pair(t, tile, reach)
-                a, b = a.astype(np.int64), b.astype(np.int64)
                 r0, c0 = t.ty * tile, t.tx * tile
-                for r in range(r0, min(r0 + tile, t.height), block):
-                    for c in range(c0, min(c0 + tile, t.width), block):
-                        r1, c1 = min(r + block, t.height), min(c + block, t.width)
-                        cur = a[r - ra:r1 - ra, c - ca:c1 - ca]
-                        best = None
-                        for dr, dc in shifts:
-                            if r - dr < 0 or c - dc < 0 or r1 - dr > t.height or c1 - dc > t.width:
-                                continue
-                            sad = int(np.abs(cur - b[r - dr - ra:r1 - dr - ra, c - dc - ca:c1 - dc - ca]).sum())
-                            if best is None or sad < best[0]:
-                                best = (sad, dr, dc)
-                        rows.append((t.aoi, t.frame, r, c, best[1], best[2], best[0]))
-            yield pd.DataFrame(rows, columns=["aoi", "frame", "r", "c", "u", "v", "sad"])
+                r1, c1 = min(r0 + tile, t.height), min(c0 + tile, t.width)
+                now = a[r0 - ra:r1 - ra, c0 - ca:c1 - ca].astype(np.int64)
+                # the previous frame round the tile; what lies outside the frame is never used
+                before = np.zeros((r1 - r0 + 2 * reach, c1 - c0 + 2 * reach), np.int64)
+                top, left = ra - r0 + reach, ca - c0 + reach
+                before[top:top + b.shape[0], left:left + b.shape[1]] = b
+                r, c = np.arange(r0, r1, block), np.arange(c0, c1, block)
+                sad = np.full((len(r), len(c)), np.iinfo(np.int64).max)
+                u, v = np.zeros_like(sad), np.zeros_like(sad)
+                for dr, dc in shifts:
+                    inside = np.logical_and.outer((r - dr >= 0) & (np.minimum(r + block, t.height) - dr <= t.height),
+                                                  (c - dc >= 0) & (np.minimum(c + block, t.width) - dc <= t.width))
+                    gap = np.abs(now - before[reach - dr:reach - dr + now.shape[0], reach - dc:reach - dc + now.shape[1]])
+                    gap = np.add.reduceat(np.add.reduceat(gap, r - r0, 0), c - c0, 1)
+                    better = inside & (gap < sad)
+                    sad[better], u[better], v[better] = gap[better], dr, dc
+                rows.append(pd.DataFrame({
+                    "aoi": t.aoi, "frame": t.frame, "r": np.repeat(r, len(c)), "c": np.tile(c, len(r)),
+                    "u": u.ravel(), "v": v.ravel(), "sad": sad.ravel()}))
+            if rows:
+                yield pd.concat(rows)
 
     aoi = dict(tiles.dtypes)["aoi"]
     return _pair_stack(tiles, tile, reach).mapInPandas(

@@ -18,6 +18,9 @@ SCREEN_HALF, WINDOW_HALF = 10, 22
 ACCEPT_SCORE = 0.7
 PEAK_LIMIT = 0.17
 
+#: Patches that leave a task together.
+PATCHES = 256
+
 
 # ------------------------------------------------------------------ patches
 
@@ -76,12 +79,13 @@ def extract_patches(channel_tiles: DataFrame, points: DataFrame, tile: int, half
                     a, ra, ca = tl.assemble(part, t.ty, t.tx, tile, half, t.height, t.width, np.uint8)
                     layers.append(a)
                 cube = np.stack(layers)
-                rows = []
-                for p in t.points:
-                    r, c = p["r"] - half - ra, p["c"] - half - ca
-                    patch = cube[:, r:r + side, c:c + side].astype(np.float32)
-                    rows.append((t.aoi, t.frame, p["pid"], p["r"], p["c"], p["info"], patch.ravel()))
-                yield pd.DataFrame(rows, columns=["aoi", "frame", "pid", "r", "c", "info", "px"])
+                for k in range(0, len(t.points), PATCHES):
+                    rows = []
+                    for p in t.points[k:k + PATCHES]:
+                        r, c = p["r"] - half - ra, p["c"] - half - ca
+                        patch = cube[:, r:r + side, c:c + side].astype(np.float32)
+                        rows.append((t.aoi, t.frame, p["pid"], p["r"], p["c"], p["info"], patch.ravel()))
+                    yield pd.DataFrame(rows, columns=["aoi", "frame", "pid", "r", "c", "info", "px"])
 
     return fed.mapInPandas(run, f"aoi {aoi}, frame int, pid long, r int, c int, info array<bigint>, px array<float>")
 

@@ -103,38 +103,32 @@ def transform_points(points: DataFrame, homographies: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------- descriptor matches
 
-def hamming(a: Column, b: Column) -> Column:
-    """Bits that differ between two descriptors (arrays of 64-bit words)."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v
-    )
-
-
 def mutual_matches(keypoints: DataFrame, pairs: DataFrame, block: int = 512) -> DataFrame:
     """Cross-checked nearest descriptors per frame pair.
 
-    The match is a nearest-neighbour search by Hamming distance. Source and
-    target keypoints are cut into blocks (by ``kp_id``), so that one task of
-    the search holds two blocks and emits one row per keypoint, never the
-    pairs themselves.
+    The match is a nearest-neighbour search by Hamming distance; descriptors are
+    arrays of 64-bit words. A frame's keypoints are spread over blocks of about
+    ``block`` by a hash of ``kp_id``, so that one task of the search holds two
+    blocks and emits one row per keypoint, never the pairs themselves. A
+    block's descriptors travel as one binary value.
     """
-    blk = F.floor(F.col("kp_id") / block).cast("long")
-    kp = keypoints.withColumn("blk", blk)
+    sizes = keypoints.groupBy("aoi", "frame").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    kp = keypoints.join(sizes, ["aoi", "frame"]).withColumn("blk", F.pmod(F.xxhash64("kp_id"), F.col("blocks")))
+    words = F.transform("kps", lambda k: F.array_join(F.transform(k["desc"], lambda w: F.lpad(F.hex(w), 16, "0")), ""))
     packed = kp.groupBy("aoi", "frame", "blk").agg(
         F.sort_array(F.collect_list(F.struct("kp_id", "desc"))).alias("kps")
-    )
-    src = packed.select("aoi", F.col("frame").alias("src_frame"), F.col("blk").alias("sb"), F.col("kps").alias("s"))
-    dst = packed.select("aoi", F.col("frame").alias("dst_frame"), F.col("blk").alias("db"), F.col("kps").alias("d"))
+    ).withColumn("kps", F.struct(F.col("kps.kp_id").alias("ids"), F.unhex(F.array_join(words, "")).alias("bits")))
+    src = packed.select("aoi", F.col("frame").alias("src_frame"), F.col("kps.ids").alias("s_ids"), F.col("kps.bits").alias("s"))
+    dst = packed.select("aoi", F.col("frame").alias("dst_frame"), F.col("kps.ids").alias("d_ids"), F.col("kps.bits").alias("d"))
     both = pairs.select("aoi", "src_frame", "dst_frame").join(src, ["aoi", "src_frame"]).join(dst, ["aoi", "dst_frame"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                a = np.array([k["desc"] for k in row.s], dtype=np.int64)
-                b = np.array([k["desc"] for k in row.d], dtype=np.int64)
-                ia = np.array([k["kp_id"] for k in row.s], dtype=np.int64)
-                ib = np.array([k["kp_id"] for k in row.d], dtype=np.int64)
-                dist = np.bitwise_count((a[:, None, :] ^ b[None, :, :]).view(np.uint64)).sum(axis=2, dtype=np.int64)
+                ia, ib = np.asarray(row.s_ids, np.int64), np.asarray(row.d_ids, np.int64)
+                a = np.frombuffer(row.s, np.uint64).reshape(len(ia), -1)
+                b = np.frombuffer(row.d, np.uint64).reshape(len(ib), -1)
+                dist = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
                 fwd, bwd = dist.argmin(axis=1), dist.argmin(axis=0)
                 yield pd.DataFrame({
                     "aoi": row.aoi, "src_frame": row.src_frame, "dst_frame": row.dst_frame,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt import session
+from skyquilt.functions.geo import IDENTITY3
 from skyquilt.operators import background as bg, components, motion as mo, refine, sequence as sq, tiles as tl
 
 
@@ -36,13 +37,16 @@ class Settings:
 
 def background_stage(tiles: DataFrame, homographies: DataFrame | None, s: Settings, keep=("opened", "templates")) -> DataFrame:
     """Templates, invalid area, motion and subtraction. ``homographies`` =
-    aoi, src_frame, dst_frame, h for each template pair; None for frames that
-    are registered already."""
+    aoi, src_frame, dst_frame, h for template pairs, the identity where a pair has
+    none; None for frames that are registered already."""
     pairs = sq.template_pairs(tiles.select("aoi", "frame").distinct(), s.templates, s.double_shift)
     if homographies is None:
         warped = bg.identity_templates(tiles, pairs)
     else:
-        warped = tl.warp(tiles, pairs.join(homographies, ["aoi", "src_frame", "dst_frame"]), s.tile)
+        # a pair that could not be registered keeps its place
+        known = pairs.join(homographies.select(*sq.PAIR, "h"), sq.PAIR, "left")
+        known = known.withColumn("h", F.coalesce("h", F.array(*[F.lit(v) for v in IDENTITY3])))
+        warped = tl.warp(tiles, known, s.tile)
     warped = session.cut(warped, "warped")
     bad = bg.invalid_area(tiles, warped, s.tile, s.blank_area, s.blank_grow)
     motion = None
@@ -85,6 +89,7 @@ def detect(
     classifier_mean=None, regressor_mean=None, prior_model=None,
 ) -> DataFrame:
     """Tiled frames -> detections in output pixels: aoi, frame, seq, x (column), y (row)."""
+    tiles = session.cut(tiles, "tiles")  # read by every branch below
     sub = session.cut(background_stage(tiles, homographies, s), "subtracted")
     found = refine_stage(tiles, sub, s, classifier, regressor, classifier_mean, regressor_mean)
     if s.use_prior and prior_model is not None:

@@ -79,7 +79,8 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
     """Drain a stream into a table of the shared folder and read it.
 
     A second call with the same ``folder`` goes on where the first one stopped,
-    with its state. In update mode every trigger appends its changed rows with ``batch_id``.
+    with its state. In update mode every trigger writes its changed rows under its
+    ``batch_id``; a repeated trigger replaces them.
     """
     spark = stream.sparkSession
     folder = folder or session.scratch(spark, "stream")
@@ -88,7 +89,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
     if mode == "append":
         q = writer.format("parquet").option("path", path).start()
     else:
-        q = writer.foreachBatch(lambda df, i: df.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(path)).start()
+        q = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch_id={i}")).start()
     q.awaitTermination()
     fields = stream.schema
     if mode != "append":
