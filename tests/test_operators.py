@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import geo, pixels as px
-from skyquilt.operators import background as bg, components, matching, ordering, refine, roads, sequence as sq, tiles as tl, tracks
+from skyquilt.operators import background as bg, components, matching, motion, ordering, refine, roads, sequence as sq, tiles as tl, tracks
+from skyquilt.plans import detection
 from skyquilt.sources import images, tables
 
 TRACK = "id long, frame_number int, x double, y double, latitude double, longitude double"
@@ -246,6 +247,33 @@ def test_moving_square_is_found(spark):
     assert found == {3: (21, 33, 36), 4: (21, 42, 36)}
 
 
+def test_pair_without_homography_keeps_its_template(spark, noise):
+    t = images.to_tiles(_frames(spark, noise), 16)
+    pairs = sq.template_pairs(t.select("aoi", "frame").distinct(), 3)
+    eye = pairs.select(*sq.PAIR, F.array(*[F.lit(v) for v in geo.IDENTITY3]).alias("h"))
+    s = detection.Settings(tile=16, templates=3, use_motion=False)
+    whole, some = (sorted((r.frame, r.ty, r.tx, [bytes(x) for x in r.templates])
+                          for r in detection.background_stage(t, h, s).collect())
+                   for h in (eye, eye.where("src_frame <> 1")))
+    assert whole == some and all(len(r[3]) == 3 for r in some) and some
+
+
+def test_block_motion_equals_a_direct_search(spark, noise):
+    size, reach, block = (37, 41), 2, 8
+    t = images.to_tiles(_frames(spark, noise[:2]), 16)
+    got = {(r.r, r.c): (r.u, r.v, r.sad) for r in motion.block_motion(t, 16, block, reach).where("frame = 1").collect()}
+    steps = sorted(((a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)), key=lambda d: (d[0] ** 2 + d[1] ** 2, d))
+    want = {}
+    for r in range(0, size[0], block):
+        for c in range(0, size[1], block):
+            r1, c1 = min(r + block, size[0]), min(c + block, size[1])
+            tried = [(int(np.abs(noise[1][r:r1, c:c1] - noise[0][r - u:r1 - u, c - v:c1 - v]).sum()), k, u, v)
+                     for k, (u, v) in enumerate(steps) if r >= u and c >= v and r1 - u <= size[0] and c1 - v <= size[1]]
+            sad, _, u, v = min(tried)
+            want[r, c] = (u, v, sad)
+    assert got == want
+
+
 def test_patch_on_row_zero_is_refused(spark):
     d = spark.createDataFrame([(10, 30), (11, 30), (30, 10)], "r int, c int").withColumn("height", F.lit(60)).withColumn("width", F.lit(60))
     assert [r.r for r in d.where(refine.screen_fits()).collect()] == [11]
