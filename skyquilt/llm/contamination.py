@@ -154,8 +154,10 @@ class Index:
                 start = low[part] - edits
                 cost, first, end = align(buf, np.stack([self.texts[i] for i in w[part]]), start, width)
                 for i in np.flatnonzero(cost <= edits):
-                    doc = int(np.searchsorted(begin, first[i], "right")) - 1
-                    found.append((doc, int(w[part[i]]), int(first[i] - begin[doc]), int(end[i] - begin[doc]), int(cost[i])))
+                    # each separator byte in a region is an edit, so they are at its ends and its middle is text
+                    doc = int(np.searchsorted(begin, (first[i] + end[i]) // 2, "right")) - 1
+                    size = int(begin[doc + 1] - begin[doc]) - s.q
+                    found.append((doc, int(w[part[i]]), max(0, int(first[i] - begin[doc])), min(size, int(end[i] - begin[doc])), int(cost[i])))
         return found
 
 

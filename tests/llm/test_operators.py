@@ -199,6 +199,19 @@ def test_qgram_decontamination(spark, documents):
     assert contamination.matches(docs, bench.limit(0)).count() == contamination.matches(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 3, 5])
+def test_truncated_starts_name_their_own_text(cut):
+    words80 = b"charlie bravo delta echo foxtrot golf hotel india juliet kilo lima mike november"
+    index = contamination.Index([(7, words80.decode())], contamination.Settings())
+    leak, tail = words80[cut:], words80[:-cut]
+    for texts, at in (([leak, b"clean one", b"clean two"], 0), ([b"clean one", leak, b"clean two"], 1), ([b"clean one", b"clean two", leak], 2), ([leak], 0)):
+        assert {(d, a, e) for d, _, a, e, _ in index.search(texts)} == {(at, 0, len(leak))}
+        got = contamination.matched(index, [(k, t.decode()) for k, t in enumerate(texts)])
+        assert got["doc_id"].tolist() == [at] and got["text"].tolist() == [leak.decode()]
+    for d, _, a, e, _ in index.search([b"clean one", tail, b"clean two"]):
+        assert d == 1 and 0 <= a < e <= len(tail)
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(5)
     buf = rng.integers(97, 100, 300).astype(np.uint8)
