@@ -4,7 +4,7 @@ A window of ``length`` bytes and a region at most ``edits`` edits away share at
 least ``length - q + 1 - q * edits`` q-grams, on diagonals that lie within
 ``edits`` of each other. So q-grams shared with benchmark windows are counted in
 overlapping bands of diagonals, bands that meet the bound are kept, and each is
-verified by banded alignment.
+verified by banded alignment. Items too short for edits are searched as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ STEP_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Windows of ``length`` bytes every ``stride`` (a shorter item is one window)."""
+    """Windows of ``length`` bytes every ``stride`` (a shorter item is one window, one below ``shortest`` an exact one)."""
 
     length: int = 80
     stride: int = 40
@@ -49,7 +49,7 @@ class Settings:
 
 
 def windows(text: bytes, s: Settings) -> list[bytes]:
-    """Windows of a folded benchmark text; one below ``shortest`` bytes has none."""
+    """Windows of a folded benchmark text; one below ``shortest`` bytes has none, as it is searched whole."""
     if len(text) < s.shortest:
         return []
     starts = list(range(0, max(1, len(text) - s.length + 1), s.stride))
@@ -72,33 +72,90 @@ def _grams(buf: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which leading 20 bits any of the hashes has."""
+    bits = np.zeros(1 << 20, bool)
+    bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    return bits
+
+
 class Index:
     """q-grams of the windows of one block of a benchmark."""
 
     def __init__(self, items: list[tuple[int, str | None]], s: Settings):
         self.settings, self.items, self.texts = s, [], []
+        whole = []
         for item, text in items:
-            for w in windows(folded(text), s):
+            text = folded(text)
+            if 0 < len(text) < s.shortest:
+                whole.append((item, text))
+            for w in windows(text, s):
                 self.items.append(item)
                 self.texts.append(np.frombuffer(w, np.uint8))
+        self.short = self._short(whole)
+        self.short_bits = _bitmap(np.concatenate([first for *_, first in self.short])) if self.short else None
         grams = [_grams(np.array(w), s.q) for w in self.texts]
         hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
         self.hashes, self.starts, self.counts = np.unique(hashes[order], return_index=True, return_counts=True)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.bits = _bitmap(self.hashes)
         self.bounds = np.array([s.bound(len(w)) for w in self.texts], np.int64)
 
+    def _short(self, whole: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray, list[list[int]], np.ndarray]]:
+        """Length, texts in order, windows of each text and first q-grams of the items below ``shortest`` bytes, by length."""
+        by_length: dict[int, dict[bytes, list[int]]] = {}
+        for item, text in whole:
+            by_length.setdefault(len(text), {}).setdefault(text, []).append(len(self.items))
+            self.items.append(item)
+        out = []
+        for n, found in sorted(by_length.items()):
+            texts = sorted(found)
+            first = [_grams(np.frombuffer(t[:self.settings.q], np.uint8), self.settings.q) for t in texts]
+            out.append((n, np.array(texts, f"S{n}"), [found[t] for t in texts], np.unique(np.concatenate(first))))
+        return out
+
+    def _exact(self, buf: np.ndarray, begin: np.ndarray, grams: np.ndarray) -> list:
+        """First to last exact copy of each short item in each text: any bytes from q on, whole words below that."""
+        found = []
+        gap = (buf == 32) | (buf == 10)
+        starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+        likely = np.flatnonzero(self.short_bits[(grams >> np.uint64(44)).astype(np.int64)])
+        for n, texts, at, first in self.short:
+            if n >= self.settings.q:
+                place = likely[np.isin(grams[likely], first)]
+                place = place[place + n <= len(buf)]
+            else:
+                place = starts[gap[starts + n]]  # q separators follow the last text
+            if not len(place):
+                continue
+            bytes_at = np.ndarray((len(buf) - n + 1,), f"S{n}", buf, 0, (1,))[place]
+            k = np.minimum(np.searchsorted(texts, bytes_at), len(texts) - 1)
+            same = texts[k] == bytes_at
+            place, k = place[same], k[same]
+            doc = np.searchsorted(begin, place, "right") - 1
+            key, low = np.unique(doc * len(texts) + k, return_index=True)
+            high = np.zeros(len(key), np.int64)
+            np.maximum.at(high, np.searchsorted(key, doc * len(texts) + k), place)
+            for pair, a, b in zip(key.tolist(), place[low].tolist(), high.tolist(), strict=True):
+                d, t = divmod(pair, len(texts))
+                found += [(d, w, int(a - begin[d]), int(b - begin[d]) + n, 0) for w in at[t]]
+        return found
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """``(text, window, first byte, last byte, edits)`` of the regions found."""
         s, q = self.settings, self.settings.q
-        if not len(self.hashes):
+        if not len(self.hashes) and not self.short:
             return []
         buf = np.frombuffer((b"\n" * q).join(texts) + b"\n" * q, np.uint8)
         begin = np.cumsum([0] + [len(t) + q for t in texts])
         grams = _grams(buf, q)
+        found = self._exact(buf, begin, grams) if self.short else []
+        return sorted(found + self._near(buf, begin, grams)) if len(self.hashes) else sorted(found)
+
+    def _near(self, buf: np.ndarray, begin: np.ndarray, grams: np.ndarray) -> list:
+        s, q = self.settings, self.settings.q
         place = np.flatnonzero(self.bits[(grams >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.hashes, grams[place])
         at[at == len(self.hashes)] = 0
@@ -233,8 +290,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
 
     One row per document row and item: the span (bytes of the folded text) of
     the regions found, how many windows of the item were found, and the least
-    edits. Null or empty texts match nothing; items that fold to less than
-    ``shortest`` bytes, or whose bound is below 1, have no window. Repeated
+    edits. Null or empty texts match nothing. Items that fold to less than
+    ``shortest`` bytes are found as exact copies, those below ``q`` bytes as whole
+    words; only an item that folds to nothing is not searched. Repeated
     documents give repeated rows; a null id stays null. Repeated items are
     searched once per row. Empty tables give no rows. Ties in a region go to the
     one that ends first.

@@ -212,6 +212,28 @@ def test_truncated_starts_name_their_own_text(cut):
         assert d == 1 and 0 <= a < e <= len(tail)
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "What is it?"), (2, "cat"), (3, "the quick brown fox jumps over it all"), (4, "cat"), (5, "a b"), (6, "!?"), (7, "x" * 39), (8, "zz " * 30), (9, "five bytes")]
+    texts = ["So, what is it", "concat catalogue", "cat", "dog CAT. cat", "the quick brown fox jumps over it  all", "a  b c", "", None, "x" * 38, "x" * 40, "zz " * 31,
+             "the quick brown fox jumped over it all", "no five bytes", "what is", "end a", "b a"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id): (r.first, r["last"]) for r in contamination.matches(docs, bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in items:
+            p, f = folded(p), folded(t)
+            hits = [k for k in range(len(f)) if p and f.startswith(p, k)]
+            if len(p) < 10:
+                hits = [k for k in hits if (b" " + f + b" ")[k:].startswith(b" " + p + b" ")]
+            if hits and i != 8:
+                want[d, i] = (hits[0], hits[-1] + len(p))
+    assert {k: v for k, v in got.items() if k[1] != 8} == want and {k[0] for k in got if k[1] == 8} == {10}
+    only = spark.createDataFrame(items[:1], "item_id long, text string")
+    assert [r.doc_id for r in contamination.matches(docs, only).collect()] == [0]
+    assert sorted(r.doc_id for r in contamination.clean(docs, only).collect()) == list(range(1, len(texts)))
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(5)
     buf = rng.integers(97, 100, 300).astype(np.uint8)
