@@ -45,7 +45,8 @@ class Encoder(dict):
 
     A byte-level splitter never joins what precedes a single space with what
     follows it, so such texts are encoded word by word. A text with other white
-    space before a space is encoded as a whole. A word of Latin letters is one
+    space before a space, or with one of the file's added tokens, is encoded as
+    a whole. A word of Latin letters is one
     piece of that splitter, which the library's model takes directly; a full
     stop or comma after it is a piece of its own.
     """
@@ -55,12 +56,12 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         # native order is little-endian on every platform that Spark runs on
         self.code = {2: "H", 4: "I"}[np.dtype(self.dtype).itemsize]
         self.older: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.runs = re.compile(r"\s ").search
         self.plain = re.compile(f"([A-Za-z{LATIN}]+)").fullmatch
         self.by_word = self._parts_at_spaces()
@@ -98,7 +99,7 @@ class Encoder(dict):
         return made
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or self.runs(text):
+        if not self.by_word or self.runs(text) or any(map(text.__contains__, self.added)):
             return self._whole(text)
         first, *rest = text.split(" ")
         return self._whole(first) + b"".join(map(self.__getitem__, rest))

@@ -87,6 +87,25 @@ def test_words_are_encoded_as_by_the_library(documents):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == want
 
 
+def test_added_tokens_are_encoded_as_by_a_fresh_library(spark):
+    from tokenizers import Tokenizer
+
+    path = token_files.public_vocabulary()
+    fresh, enc = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["end of page <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b, c", "x <|endoftext|>", "<|endoftext|> <|endoftext|> the end.", "<|endoftext", "plain text, no more."]
+    want = {t: fresh.encode(t, add_special_tokens=False).ids for t in texts}
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == want[t]
+    assert want[texts[0]] == [437, 286, 2443, 220, 50256, 1306]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.digests(token_files.write(docs, path)).collect()}
+    start = 0
+    for k, t in enumerate(texts):
+        ids = [*want[t], token_files.END]
+        assert got[k] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_token_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_CHARS", 16)
     docs = odd(spark, *[(9, "same words", None, None, None)] * 5)
