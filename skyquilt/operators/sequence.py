@@ -213,6 +213,8 @@ def _solve4(pts: pd.Series) -> pd.Series:
 
 PAIR = ["aoi", "src_frame", "dst_frame"]
 MATCHES_PER_BLOCK = 1024
+#: Hypotheses drawn for a pair after each round, as long as its inliers ask for more.
+ROUNDS = (64, 256, 640, 1280)
 _MOMENTS = [(i, j) for i in range(9) for j in range(i, 9)]
 
 
@@ -230,9 +232,9 @@ def _errors(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(e), e, np.inf)
 
 
-def _scramble(ids: np.ndarray, hyps: int, seed: int) -> np.ndarray:
-    """Seeded order of matches per hypothesis, (hyps, ids)."""
-    k = np.arange(hyps, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+def _scramble(ids: np.ndarray, low: int, high: int, seed: int) -> np.ndarray:
+    """Seeded order of matches per hypothesis from ``low`` on, (high - low, ids)."""
+    k = np.arange(low, high, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     z = ids.astype(np.uint64)[None, :] * np.uint64(2654435761) ^ k
     z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((z ^ (z >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
@@ -253,14 +255,16 @@ def _per_block(df: DataFrame, fn, fields: str) -> DataFrame:
 
 
 def estimate_homographies(
-    matches: DataFrame, pairs: DataFrame, hypotheses: int = 64, threshold: float = 3.0, seed: int = 7
+    matches: DataFrame, pairs: DataFrame, hypotheses: int = 2000, threshold: float = 3.0, seed: int = 7, confidence: float = 0.995
 ) -> DataFrame:
     """Seeded sample-consensus homography per frame pair.
 
     ``matches``: aoi, src_frame, dst_frame, match_id, x, y (source), u, v (target);
     ``match_id`` counts the matches of a pair. Each hypothesis takes the four
     matches of smallest scrambled id; its matrix is scored against all matches,
-    and the winner is refitted on its inliers. Pairs with fewer than four
+    and the winner is refitted on its inliers. A pair draws in rounds until, at
+    the winner's share of inliers, a sample without outliers has been among them
+    with ``confidence``, or until it has had ``hypotheses``. Pairs with fewer than four
     matches get the identity with ratio 0.
 
     A pair's matches live in blocks of bounded size. Every step returns a few
@@ -279,33 +283,53 @@ def estimate_homographies(
         F.sum("n").alias("n_matches"), F.array(*[F.sum(f"s{c}") / F.sum("n") for c in "xyuv"]).alias("mid")
     )
 
-    def best_four(t):
-        ids, p = _points(t.m)
-        order = _scramble(ids, hypotheses, seed)
-        rows = []
-        for k in range(hypotheses):
-            for i in np.argsort(order[k], kind="stable")[:4]:
-                rows.append((k, int(order[k, i]), *map(float, p[i])))
-        return rows
-
-    drawn = _per_block(blocks, best_four, "hyp int, o long, x double, y double, u double, v double")
-    first4 = Window.partitionBy(*PAIR, "hyp").orderBy("o", "x", "y", "u", "v")
-    hyps = (
-        drawn.withColumn("_k", F.row_number().over(first4)).where("_k <= 4")
-        .groupBy(*PAIR, "hyp").agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("pts"))
-        .where(F.size("pts") == 4).select(*PAIR, "hyp", _solve4("pts").alias("h")).where("h is not null")
-    )
-    hyps = session.cut(hyps.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("hyp", "h"))).alias("hs")), "hyps")
+    def best_four(low, high):
+        def run(t):
+            ids, p = _points(t.m)
+            order = _scramble(ids, low, high, seed)
+            rows = []
+            for k in range(high - low):
+                for i in np.argsort(order[k], kind="stable")[:4]:
+                    rows.append((low + k, int(order[k, i]), *map(float, p[i])))
+            return rows
+
+        return run
 
     def votes(t):
         h = np.array([list(k["h"]) for k in t.hs])
         n = (_errors(h, _points(t.m)[1]) <= threshold).sum(axis=1)
         return [(int(k["hyp"]), int(v)) for k, v in zip(t.hs, n)]
 
-    polled = _per_block(blocks.join(hyps, PAIR).select(*PAIR, "m", "hs"), votes, "hyp int, votes long")
-    polled = polled.groupBy(*PAIR, "hyp").agg(F.sum("votes").alias("votes"))
-    best = polled.groupBy(*PAIR).agg(F.max(F.struct("votes", (-F.col("hyp")).alias("neg"))).alias("b"))
-    best = best.join(hyps, PAIR).select(*PAIR, F.filter("hs", lambda k: k["hyp"] == -F.col("b.neg"))[0]["h"].alias("h0"))
+    def winners(live: DataFrame, low: int, high: int) -> DataFrame:
+        """Votes, number and matrix of the best of hypotheses low to high - 1 for each pair of ``live``."""
+        drawn = _per_block(live, best_four(low, high), "hyp int, o long, x double, y double, u double, v double")
+        first4 = Window.partitionBy(*PAIR, "hyp").orderBy("o", "x", "y", "u", "v")
+        hyps = (
+            drawn.withColumn("_k", F.row_number().over(first4)).where("_k <= 4")
+            .groupBy(*PAIR, "hyp").agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("pts"))
+            .where(F.size("pts") == 4).select(*PAIR, "hyp", _solve4("pts").alias("h")).where("h is not null")
+        )
+        hyps = session.cut(hyps.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("hyp", "h"))).alias("hs")), "hyps")
+        polled = _per_block(live.join(hyps, PAIR).select(*PAIR, "m", "hs"), votes, "hyp int, votes long")
+        polled = polled.groupBy(*PAIR, "hyp").agg(F.sum("votes").alias("votes"))
+        top = polled.groupBy(*PAIR).agg(F.max(F.struct("votes", (-F.col("hyp")).alias("neg"))).alias("b"))
+        h = F.filter("hs", lambda k: k["hyp"] == -F.col("b.neg"))[0]["h"]
+        return top.join(hyps, PAIR).select(*PAIR, F.struct("b.votes", "b.neg", h.alias("h0")).alias("b"))
+
+    # a sample is without outliers with the fourth power of the share of inliers
+    missed = F.pow(1.0 - F.pow(F.col("b.votes") / F.col("n_matches"), F.lit(4.0)), F.col("drawn").cast("double"))
+    best, low, live = None, 0, blocks.join(totals.where("n_matches >= 4").select(*PAIR), PAIR)
+    for high in [*[k for k in ROUNDS if k < hypotheses], hypotheses]:
+        now = winners(live, low, high)
+        if best is not None:
+            now = best.unionByName(now).groupBy(*PAIR).agg(F.max("b").alias("b"))
+        best = session.cut(now, "best")
+        enough = best.join(totals, PAIR).withColumn("drawn", F.lit(high)).where(missed <= 1.0 - confidence)
+        open_ = session.cut(totals.where("n_matches >= 4").join(enough, PAIR, "left_anti").select(*PAIR), "open")
+        low, live = high, blocks.join(open_, PAIR)
+        if open_.isEmpty():
+            break
+    best = best.select(*PAIR, F.col("b.h0").alias("h0"))
 
     def moments(t):
         p = _points(t.m)[1]

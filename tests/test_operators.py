@@ -231,6 +231,26 @@ def test_homography_is_recovered_from_noisy_matches(spark):
     assert got[1].h == geo.IDENTITY3 and got[1].inlier_ratio == 0.0
 
 
+def test_homography_draws_until_the_inliers_are_met(spark):
+    """Pairs of 75 % outliers, and pairs of few matches."""
+    rng = np.random.default_rng(11)
+    h = np.array([[1.01, 0.02, 3], [-0.01, 0.99, -2], [1e-5, 2e-5, 1]])
+    rows, pairs = [], [("a", k, k + 1) for k in range(12)]
+    for k in range(12):
+        n, good = (400, 100) if k < 8 else (8, 6) if k < 11 else (3, 3)
+        inliers = set(rng.permutation(n)[:good].tolist())
+        for i, (x, y) in enumerate(rng.random((n, 2)) * 800):
+            u, v = (h @ (x, y, 1))[:2] / (h @ (x, y, 1))[2]
+            if i not in inliers:
+                u, v = rng.random(2) * 800
+            rows.append(("a", k, k + 1, i, float(x), float(y), float(u), float(v)))
+    m = spark.createDataFrame(rows, "aoi string, src_frame int, dst_frame int, match_id long, x double, y double, u double, v double")
+    got = {r.src_frame: r for r in sq.estimate_homographies(m, spark.createDataFrame(pairs, "aoi string, src_frame int, dst_frame int")).collect()}
+    for k in range(11):
+        assert np.allclose(np.array(got[k].h).reshape(3, 3), h, atol=1e-3) and got[k].n_inliers >= (100 if k < 8 else 6)
+    assert len(got) == 12 and got[11].h == geo.IDENTITY3 and got[11].n_matches == 3
+
+
 def test_moving_square_is_found(spark):
     """A bright square on a textured background: one region at its place."""
     rng = np.random.default_rng(7)
