@@ -58,15 +58,16 @@ def adjacent_frame(frames: DataFrame, value: Column, keys=("aoi",), out: str = "
 
 # ------------------------------------------------------------- homographies
 
-def compose_chain(steps: DataFrame, n: int) -> DataFrame:
+def compose_chain(steps: DataFrame, n: int, full_only: bool = True) -> DataFrame:
     """H(t-k -> t) for k = 1..n from one-step matrices ``(aoi, src_frame, dst_frame, h)``.
 
     ``steps`` must be consecutive in list order. Only positions travel in the
-    window; the fold multiplies newest first.
+    window; the fold multiplies newest first. Frames with fewer than ``n`` steps
+    get none, or with ``full_only`` off those that their steps allow.
     """
     p = ordering.position(steps, ["aoi"], ["dst_frame"], ordering.by_width("dst_frame", FRAME_CHUNK))
     w = ordering.sliding(
-        p, ["aoi"], "pos", n, F.struct("src_frame", "h"), "chain", include_current=True, full_only=True
+        p, ["aoi"], "pos", n, F.struct("src_frame", "h"), "chain", include_current=True, full_only=full_only
     )
     def product(k: Column) -> Column:
         return F.aggregate(
@@ -74,24 +75,49 @@ def compose_chain(steps: DataFrame, n: int) -> DataFrame:
             lambda acc, s: matmul3(acc, s["h"]),
         )
 
-    d = w.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    d = w.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("chain"))))
     return d.select(
         "aoi", F.element_at("chain", -F.col("k"))["src_frame"].alias("src_frame"),
         "dst_frame", product(F.col("k")).alias("h"),
     )
 
 
+def compose_seeded(frames: DataFrame, homographies: DataFrame, n: int) -> DataFrame:
+    """Matrices of all template pairs from those of the ``seeded`` plan.
+
+    Steps chain as in ``compose_chain``. A template older than the first step is
+    taken through the first processed frame, to which it was registered.
+    """
+    p = frame_positions(frames)
+    src = p.select("aoi", F.col("frame").alias("src_frame"), F.col("pos").alias("src_pos"))
+    dst = p.select("aoi", F.col("frame").alias("dst_frame"), F.col("pos").alias("dst_pos"))
+    known = homographies.select(*PAIR, "h").join(src, ["aoi", "src_frame"]).join(dst, ["aoi", "dst_frame"])
+    known = session.cut(known.where(F.col("dst_pos") >= n), "registered")
+    chained = compose_chain(known.where("dst_pos = src_pos + 1").select(*PAIR, "h"), n, full_only=False)
+    seeds = known.where((F.col("dst_pos") == n) & (F.col("src_pos") < n - 1))
+    via = seeds.select("aoi", F.col("src_frame").alias("seed"), "src_pos", F.col("dst_frame").alias("src_frame"), F.col("h").alias("h0"))
+    onward = chained.join(via, ["aoi", "src_frame"]).join(dst, ["aoi", "dst_frame"]).where(F.col("dst_pos") - F.col("src_pos") <= n)
+    onward = onward.select("aoi", F.col("seed").alias("src_frame"), "dst_frame", matmul3(F.col("h"), F.col("h0")).alias("h"))
+    return chained.unionByName(seeds.select(*PAIR, "h")).unionByName(onward)
+
+
 def registration_plan(frames: DataFrame, n: int, mode: str = "direct") -> DataFrame:
     """Frame pairs whose homography must be estimated.
 
     ``direct``: every template to the current frame. ``chained``: only the newest
-    template; the others follow by ``compose_chain``.
+    template; the others follow by ``compose_chain`` once ``n`` steps are there.
+    ``seeded``: the chained pairs and every template of each sequence's first
+    processed frame, from which ``compose_seeded`` gives all template pairs.
     """
     pairs = template_pairs(frames, n)
     if mode == "direct":
         return pairs.select("aoi", "src_frame", "dst_frame")
     if mode == "chained":
         return pairs.where(F.col("slot") == n - 1).select("aoi", "src_frame", "dst_frame")
+    if mode == "seeded":
+        first = frame_positions(frames).where(F.col("pos") == n).select("aoi", F.col("frame").alias("dst_frame"), F.lit(True).alias("first"))
+        pairs = pairs.join(first, ["aoi", "dst_frame"], "left")
+        return pairs.where((F.col("slot") == n - 1) | F.col("first")).select("aoi", "src_frame", "dst_frame")
     raise ValueError(f"unknown registration mode: {mode}")
 
 

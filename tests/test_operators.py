@@ -251,6 +251,28 @@ def test_homography_draws_until_the_inliers_are_met(spark):
     assert len(got) == 12 and got[11].h == geo.IDENTITY3 and got[11].n_matches == 3
 
 
+def test_seeded_chain_gives_every_template_pair(spark, noise):
+    n = 3
+    frames = [("a", 2 * f + 1) for f in range(2 * n + 2)] + [("b", f) for f in range(n + 1)] + [("c", f) for f in range(n)]
+    frames = spark.createDataFrame(frames, "aoi string, frame int")
+    plan = sq.registration_plan(frames, n, "seeded")
+    assert {(r.aoi, r.src_frame, r.dst_frame) for r in plan.where("aoi = 'b'").collect()} == {("b", k, n) for k in range(n)}
+    shift = lambda a, b: [1.0, 0.0, float(b * b - a * a), 0.0, 1.0, float(b - a), 0.0, 0.0, 1.0]
+    made = spark.createDataFrame([(*r, shift(r[1], r[2])) for r in plan.collect()], "aoi string, src_frame int, dst_frame int, h array<double>")
+    got = {(r.aoi, r.src_frame, r.dst_frame): r.h for r in sq.compose_seeded(frames, made, n).collect()}
+    want = {tuple(r) for r in sq.registration_plan(frames, n, "direct").collect()}
+    assert set(got) == want and all(got[k] == shift(k[1], k[2]) for k in want)
+    assert sq.compose_seeded(frames, made, n).count() == len(want)
+
+    t = images.to_tiles(_frames(spark, noise[:n + 1]), 16)  # one frame is processed
+    own = t.select("aoi", "frame").distinct()
+    one, every = (sq.registration_plan(own, n, m).withColumn("h", F.array(*[F.lit(v) for v in (1.0, 0.0, 2.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0)])) for m in ("seeded", "direct"))
+    s = detection.Settings(tile=16, templates=n, use_motion=False)
+    rows = [sorted((r.frame, r.ty, r.tx, [bytes(x) for x in r.templates]) for r in detection.background_stage(t, h, s).collect())
+            for h in (sq.compose_seeded(own, one, n), every)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {n}
+
+
 def test_moving_square_is_found(spark):
     """A bright square on a textured background: one region at its place."""
     rng = np.random.default_rng(7)
