@@ -33,11 +33,11 @@ def u8_to_f4(px: pd.Series) -> pd.Series:
     return px.map(lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.float32).tobytes())
 
 
-def explode_pixels(tiles, unpack=unpack_u8, name: str = "v"):
-    """Tile rows -> one row per pixel: aoi, frame, r, c, value."""
-    d = tiles.select("aoi", "frame", "r0", "c0", "w", F.posexplode(unpack("px")).alias("_i", name))
+def explode_pixels(tiles, unpack=unpack_u8, name: str = "v", keys=("aoi", "frame")):
+    """Tile rows -> one row per pixel: the keys (aoi, frame), r, c, value."""
+    d = tiles.select(*keys, "r0", "c0", "w", F.posexplode(unpack("px")).alias("_i", name))
     return d.select(
-        "aoi", "frame",
+        *keys,
         (F.col("r0") + F.floor(F.col("_i") / F.col("w"))).cast("int").alias("r"),
         (F.col("c0") + F.col("_i") % F.col("w")).cast("int").alias("c"),
         name,

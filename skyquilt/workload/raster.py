@@ -81,7 +81,7 @@ def i9_candidate_centres(spark, sf):
 @query("i6_brightness_compensation")
 def i6_brightness_compensation(spark, sf):
     t = _tiles(spark, sf)
-    return px.explode_pixels(bg.compensated(t, _templates(t), T).where("slot = 2"))
+    return px.explode_pixels(bg.compensated(t, _templates(t), T), keys=("aoi", "frame", "slot"))
 
 
 # ------------------------------------------------------------- components

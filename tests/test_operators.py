@@ -300,6 +300,15 @@ def test_pair_without_homography_keeps_its_template(spark, noise):
     assert whole == some and all(len(r[3]) == 3 for r in some) and some
 
 
+def test_brightness_query_returns_every_template(spark):
+    from skyquilt.workload import catalog
+
+    got = catalog.QUERIES["i6_brightness_compensation"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["aoi", "frame", "slot", "r", "c", "v"]
+    per_frame = {tuple(r) for r in got.groupBy("aoi", "frame").agg(F.sort_array(F.collect_set("slot")).alias("s"), F.count(F.lit(1)).alias("n")).select(F.array_join("s", ","), "n").collect()}
+    assert per_frame == {("0,1,2", 3 * 48 * 48)}
+
+
 def test_block_motion_equals_a_direct_search(spark, noise):
     size, reach, block = (37, 41), 2, 8
     t = images.to_tiles(_frames(spark, noise[:2]), 16)
