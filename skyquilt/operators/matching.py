@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,10 +12,9 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.functions.geo import haversine_m, sphere_xyz
+from skyquilt.operators.graph import components
 from skyquilt.operators.spatial import radius_pairs
 
-PASS_LIMIT = 1_000_000
-
 
 # ------------------------------------------------------------ nearest match
 
@@ -58,29 +58,6 @@ def nn_match(
 
 # ------------------------------------------------------------- greedy match
 
-def _first_claims(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs every order of events must agree on, given the remaining edges.
-
-    A detection's nearest open truth is final when no earlier open detection
-    is within reach of that truth.
-    """
-    best = edges.groupBy(*keys, "det").agg(F.min(F.struct("dist", "gt")).alias("b"))
-    best = best.select(*keys, "det", F.col("b.gt").alias("gt"), F.col("b.dist").alias("dist"))
-    first = edges.groupBy(*keys, "gt").agg(F.min("det").alias("det"))
-    return best.join(first, [*keys, "gt", "det"])
-
-
-def _match_in_rounds(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy matching of groups of any size as a few rounds of joins."""
-    done, left = None, session.cut(edges, "edges")
-    while left.limit(1).count():
-        won = session.cut(_first_claims(left, keys), "won")
-        done = won if done is None else done.unionByName(won)
-        left = left.join(won.select(*keys, "det"), [*keys, "det"], "left_anti")
-        left = session.cut(left.join(won.select(*keys, "gt"), [*keys, "gt"], "left_anti"), "edges")
-    return done
-
-
 def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Groups one after another, rows of a group in ``order``."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -94,43 +71,44 @@ def _runs(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, pd.Da
         yield tuple(k.iloc[a]), pdf.iloc[a:b]
 
 
-def _match_in_pass(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy matching of bounded groups: one ordered pass over their edges."""
+def _claims(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``edges`` with ``part``: pairs of two parts share no detection and no truth, so neither can take from the other.
+
+    Nodes are 64-bit hashes; two that agree by chance only make two parts one.
+    """
+    named = edges.withColumns({"_d": F.xxhash64(*keys, F.lit("det"), "det"), "_g": F.xxhash64(*keys, F.lit("gt"), "gt")})
+    parts = components(named.select(F.col("_d").alias("a"), F.col("_g").alias("b")))
+    return named.join(parts.select(F.col("node").alias("_d"), F.col("root").alias("part")), "_d").drop("_d", "_g")
+
+
+def greedy_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Detections in ``det`` order take their nearest open truth.
+
+    ``edges`` holds ``keys, det, gt, dist`` for pairs within reach. The unit of
+    work is a connected part of the graph of these pairs: one ordered pass over it,
+    with the part's taken truth in memory.
+    """
     keys = list(keys)
+    unit = [*keys, "part"]
+    edges = _claims(session.cut(edges, "edges"), keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, used, done = None, set(), None
         for pdf in batches:
-            took, at = [], 0
-            for key, part in _runs(pdf, keys):
-                if key != group:
-                    group, used, done = key, set(), None
-                for i, (det, gt) in enumerate(zip(part["det"].tolist(), part["gt"].tolist()), at):
-                    if det != done and gt not in used:
-                        used.add(gt)
-                        done = det
-                        took.append(i)
-                at += len(part)
+            took = []
+            change = pdf[unit].ne(pdf[unit].shift()).any(axis=1).to_numpy()
+            for i, (new, det, gt) in enumerate(zip(change.tolist(), pdf["det"].tolist(), pdf["gt"].tolist())):
+                if new:
+                    key = tuple(pdf[unit].iloc[i])
+                    if key != group:
+                        group, used, done = key, set(), None
+                if det != done and gt not in used:
+                    used.add(gt)
+                    done = det
+                    took.append(i)
             yield pdf.iloc[took]
 
-    return _in_order(edges, keys, ["det", "dist", "gt"]).mapInPandas(run, edges.schema)
-
-
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], pass_limit: int = PASS_LIMIT) -> DataFrame:
-    """Detections in ``det`` order take their nearest open truth.
-
-    ``edges`` holds ``keys, det, gt, dist`` for pairs within reach. Groups of
-    at most ``pass_limit`` edges are matched in one ordered pass; larger ones go
-    through join rounds. Both give the same pairs.
-    """
-    edges = session.cut(edges, "edges")
-    big = edges.groupBy(*keys).count().where(F.col("count") > pass_limit).select(*keys)
-    if not big.limit(1).count():
-        return _match_in_pass(edges, keys)
-    big = session.cut(big, "big")
-    small = _match_in_pass(edges.join(big, [*keys], "left_anti"), keys)
-    large = _match_in_rounds(edges.join(big, [*keys], "left_semi"), keys)
-    return small.unionByName(large.select(*small.columns))
+    return _in_order(edges, unit, ["det", "dist", "gt"]).mapInPandas(run, edges.schema).drop("part")
 
 
 def geo_edges(
@@ -154,55 +132,85 @@ def greedy_geo_match(
     truth: DataFrame,
     radius_m: float = 5.0,
     keys: Sequence[str] = ("aoi", "frame"),
-    pass_limit: int = PASS_LIMIT,
 ) -> DataFrame:
     """Order-dependent one-to-one match within ``radius_m``."""
-    return greedy_pairs(geo_edges(dets, truth, radius_m, keys), keys, pass_limit)
+    return greedy_pairs(geo_edges(dets, truth, radius_m, keys), keys)
 
 
 # ------------------------------------------------------------- point merge
 
-def _strips(points: DataFrame, keys: Sequence[str], axis: str, d: float, out: str) -> DataFrame:
-    """Number the runs of points along an axis that an empty gap >= d separates.
+def _cut(cells: DataFrame, block: Sequence[str], axis: str, d: float) -> DataFrame:
+    """``block`` numbered anew, so that an empty gap >= d along an axis parts it."""
+    bin_, w = f"_b{axis}", Window.partitionBy(*block).orderBy(f"_b{axis}")
+    bins = cells.groupBy(*block, bin_).agg(F.min(f"_lo{axis}").alias("_lo"), F.max(f"_hi{axis}").alias("_hi"))
+    new = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > d * (1 + 1e-9), F.lit(True))
+    bins = bins.withColumn("_new", new.cast("int")).withColumn("_n", F.sum("_new").over(w)).select(*block, bin_, "_n")
+    return cells.join(bins, [*block, bin_]).withColumn("_part", F.xxhash64("_part", "_n", F.lit(axis))).drop("_n")
+
+
+def _blocks(points: DataFrame, keys: Sequence[str], d: float) -> DataFrame:
+    """``points`` with ``_part``: points of different parts can never share a cluster.
 
     A cluster mean stays inside the span of its own points, so points on two
-    sides of such a gap can never share a cluster. Works on occupied bins of
-    width d, whose count is bounded by the frame size.
+    sides of an empty gap >= d never meet. Occupied cells of width d, which the
+    frame's size bounds, are cut along both axes in turn until nothing changes.
+    Parts are 64-bit hashes; two that agree by chance are one part.
     """
-    cell = F.floor(F.col(axis) / F.lit(float(d))).cast("long")
-    p = points.withColumn("_bin", cell)
-    w = Window.partitionBy(*keys).orderBy("_bin")
-    bins = p.groupBy(*keys, "_bin").agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
-    new = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > d * (1 + 1e-9), F.lit(True))
-    bins = bins.withColumn("_new", new.cast("int")).withColumn(out, F.sum("_new").over(w))
-    return p.join(bins.select(*keys, "_bin", out), [*keys, "_bin"]).drop("_bin")
+    cell = {f"_b{a}": F.floor(F.col(a) / F.lit(float(d))).cast("long") for a in ("x", "y")}
+    p = points.withColumns(cell)
+    cells = p.groupBy(*keys, "_bx", "_by").agg(*[f(a).alias(f"_{n}{a}") for a in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    cells = cells.withColumn("_part", F.lit(0).cast("long"))
+    block, before = [*keys, "_part"], 0
+    while True:
+        cells = session.cut(_cut(_cut(cells, block, "x", d), block, "y", d), "cells")
+        parts = cells.select(*block).distinct().count()
+        if parts == before:
+            return p.join(cells.select(*keys, "_bx", "_by", "_part"), [*keys, "_bx", "_by"]).drop("_bx", "_by")
+        before = parts
 
 
 class _Clusters:
-    """Running sums of one block's clusters."""
+    """Running sums of one block's clusters, found by the cell of their mean.
+
+    A cell is as wide as the distance, so the clusters within reach of a point lie
+    in the nine cells around it; a cluster changes its cell when its mean does.
+    """
+
+    def __init__(self, distance: float):
+        self.distance, self.sums, self.first, self.last = distance, [], [], None
+        self.cells: dict[tuple[int, int], list[int]] = {}
 
-    def __init__(self):
-        self.sums, self.first, self.size, self.last = np.zeros((16, 3)), [], 0, None
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / self.distance), math.floor(y / self.distance)
 
-    def add(self, x: float, y: float, seq: int, distance: float) -> None:
+    def add(self, x: float, y: float, seq: int) -> None:
         if self.last is not None and seq < self.last:
             raise RuntimeError("points arrived out of order")
         self.last = seq
-        if self.size:
-            live = self.sums[: self.size]
-            gap = np.hypot(x - live[:, 0] / live[:, 2], y - live[:, 1] / live[:, 2])
-            i = int(gap.argmin())
-            if gap[i] < distance:
-                live[i] += (x, y, 1.0)
-                return
-        if self.size == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[self.size] = (x, y, 1.0)
-        self.first.append(seq)
-        self.size += 1
+        r, c = self._cell(x, y)
+        best = (self.distance, -1)
+        for i in (r - 1, r, r + 1):
+            for j in (c - 1, c, c + 1):
+                for k in self.cells.get((i, j), ()):
+                    a, b, n = self.sums[k]
+                    gap = float(np.hypot(x - a / n, y - b / n))
+                    if gap < self.distance and (best[1] < 0 or (gap, k) < best):
+                        best = gap, k
+        k = best[1]
+        if k < 0:
+            self.cells.setdefault((r, c), []).append(len(self.sums))
+            self.sums.append((x, y, 1.0))
+            self.first.append(seq)
+            return
+        a, b, n = self.sums[k]
+        old, new = self._cell(a / n, b / n), self._cell((a + x) / (n + 1), (b + y) / (n + 1))
+        self.sums[k] = a + x, b + y, n + 1
+        if old != new:
+            self.cells[old].remove(k)
+            self.cells.setdefault(new, []).append(k)
 
     def rows(self, key: tuple) -> list[tuple]:
-        return [(*key, s, a / n, b / n, int(n)) for s, (a, b, n) in zip(self.first, self.sums[: self.size].tolist())]
+        return [(*key, s, a / n, b / n, int(n)) for s, (a, b, n) in zip(self.first, self.sums)]
 
 
 def _merge_pass(distance: float, keys: Sequence[str]):
@@ -217,9 +225,9 @@ def _merge_pass(distance: float, keys: Sequence[str]):
                 if key != block:
                     if clusters:
                         out += clusters.rows(block)
-                    block, clusters = key, _Clusters()
+                    block, clusters = key, _Clusters(distance)
                 for x, y, seq in zip(part.x.tolist(), part.y.tolist(), part.seq.tolist()):
-                    clusters.add(x, y, seq, distance)
+                    clusters.add(x, y, seq)
             yield pd.DataFrame(out, columns=names)
         if clusters:
             yield pd.DataFrame(clusters.rows(block), columns=names)
@@ -231,22 +239,21 @@ def merge_close_points(points: DataFrame, distance: float, keys: Sequence[str] =
     """Leader clustering in ``seq`` order by running mean; returns cluster means.
 
     Each step depends on the means before it, so points that may interact have
-    to be visited in order. Each key group is first cut at empty gaps into
-    blocks that cannot interact, which spreads a large frame over many tasks;
-    a block is then streamed in order and never held as a whole.
+    to be visited in order. Each key group is first cut at empty gaps along both
+    axes into blocks that cannot interact, which spreads a large frame over many
+    tasks; a block is then streamed in order, and a point meets only the clusters
+    around it. Points without a coordinate are left out.
     """
     keys = list(keys)
     p = points.select(*keys, F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"),
-                      F.col("y").cast("double").alias("y"))
-    p = _strips(p, keys, "x", distance, "_sx")
-    p = _strips(p, [*keys, "_sx"], "y", distance, "_sy")
-    block = [*keys, "_sx", "_sy"]
-    p = p.select(*block, "seq", "x", "y")
+                      F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    block = [*keys, "_part"]
+    p = _blocks(p, keys, distance).select(*block, "seq", "x", "y")
     fields = ", ".join(f"{k} {t}" for k, t in p.select(*block).dtypes)
     out = _in_order(p, block, ["seq"]).mapInPandas(
         _merge_pass(distance, block), f"{fields}, seq long, x double, y double, n long"
     )
-    return out.drop("_sx", "_sy")
+    return out.drop("_part")
 
 
 # ----------------------------------------------------------------- metrics

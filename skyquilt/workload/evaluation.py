@@ -251,22 +251,21 @@ from dets d join tr t on t.frame_number=d.frame
 where abs(d.lat-t.latitude)<3e-4 and {hav_sql('d.lat','d.lon','t.latitude','t.longitude')}<=14)""",
     "step as materialized (select frame, seq, row_number() over (partition by frame order by seq) as i from (select distinct frame, seq from edge) z)",
     """walk as (
-select frame, cast(0 as bigint) as i, cast([] as bigint[]) as used from (select distinct frame from step) f
+select frame, cast(0 as bigint) as i, cast([] as bigint[]) as used, cast([] as struct(det bigint, gt bigint)[]) as took from (select distinct frame from step) f
 union all
 select w.frame, w.i+1,
-  case when p.gt is null then w.used else list_append(w.used, p.gt) end
+  case when p.gt is null then w.used else list_append(w.used, p.gt) end,
+  case when p.gt is null then w.took else list_append(w.took, {'det': cast(s.seq as bigint), 'gt': cast(p.gt as bigint)}) end
 from walk w join step s on s.frame=w.frame and s.i=w.i+1
 left join lateral (select e.gt from edge e where e.frame=s.frame and e.seq=s.seq and not list_contains(w.used, e.gt)
   order by e.dist, e.gt limit 1) p on true)""",
-) + "select frame, cast(max(len(used)) as bigint) as tp from walk group by frame"
+) + "select frame, p.det, p.gt from (select frame, unnest(arg_max(took, i)) as p from walk group by frame) z"
 
 
 @query("d2_greedy_geo_match", D2_SQL)
 def d2_greedy_geo_match(spark, sf):
     d, t = _greedy_inputs(spark, sf)
-    p = matching.greedy_geo_match(d, t, 14.0, ["frame"])
-    return matching.geo_edges(d, t, 14.0, ["frame"]).select("frame").distinct().join(
-        p.groupBy("frame").agg(F.count(F.lit(1)).alias("tp")), "frame", "left").fillna(0, ["tp"])
+    return matching.greedy_geo_match(d, t, 14.0, ["frame"]).select("frame", F.col("det").cast("long").alias("det"), F.col("gt").cast("long").alias("gt"))
 
 
 D3_SQL = fx.with_(

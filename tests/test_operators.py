@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquilt import schemas
-from skyquilt.functions import geo, pixels as px
-from skyquilt.operators import background as bg, components, matching, motion, ordering, refine, roads, sequence as sq, tiles as tl, tracks
+from skyquilt.functions import geo, kernels, pixels as px
+from skyquilt.operators import background as bg, components, graph, matching, motion, ordering, refine, roads, sequence as sq, tiles as tl, tracks
 from skyquilt.plans import detection
 from skyquilt.sources import images, tables
 
@@ -79,19 +79,44 @@ def _greedy(edges):
     return sorted(pairs)
 
 
-def test_greedy_rounds_equal_the_ordered_pass(spark):
+@pytest.mark.parametrize("dense", [False, True])
+def test_greedy_parts_equal_a_direct_loop(spark, dense):
     rng = np.random.default_rng(5)
     rows, want = [], {}
     for frame in range(6):
-        e = [(d, g, float(rng.random())) for d in range(25) for g in range(20) if rng.random() < 0.3]
+        e = [(d, g, float(rng.integers(0, 9))) for d in range(60) for g in range(50) if (True if dense and frame == 0 else rng.random() < 0.02)]
         want[frame] = _greedy(e)
         rows += [(frame, *x) for x in e]
-    edges = spark.createDataFrame(rows, "frame int, det int, gt int, dist double")
-    for limit in (10**6, 100, 0):
-        got = {}
-        for r in matching.greedy_pairs(edges, ["frame"], limit).collect():
-            got.setdefault(r.frame, []).append((r.det, r.gt))
-        assert {k: sorted(v) for k, v in got.items()} == want
+    edges = spark.createDataFrame(rows, "frame int, det int, gt int, dist double").repartition(5)
+    got = {}
+    for r in matching.greedy_pairs(edges, ["frame"]).collect():
+        got.setdefault(r.frame, []).append((r.det, r.gt))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    parts = matching._claims(edges, ["frame"]).select("frame", "part").distinct().groupBy("frame").count().collect()
+    assert all((r["count"] == 1) == (dense and r.frame == 0) for r in parts)
+    assert matching.greedy_pairs(edges.limit(0), ["frame"]).collect() == []
+
+
+@pytest.mark.parametrize("step", [1_000_000, 60])
+def test_graph_components_of_any_shape(spark, step):
+    rng = np.random.default_rng(step)
+    links = [(i, i + 1) for i in range(100, 180)] + [(500, i) for i in range(501, 600)] + [(999 - i, 999) for i in range(60)] + [(7, 7), (7, 7)]
+    links += [(int(a), int(b)) for a, b in rng.integers(2_000, 2_200, (90, 2))]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    order = rng.permutation(len(links))
+    df = spark.createDataFrame([links[i] for i in order], "a long, b long").repartition(6)
+    got = graph.components(df, step).collect()
+    assert sorted(map(tuple, got)) == sorted((i, find(i)) for i in list(parent))
+    assert graph.components(df.limit(0), step).collect() == []
 
 
 def test_merge_uses_the_running_mean_and_ignores_row_order(spark):
@@ -101,6 +126,27 @@ def test_merge_uses_the_running_mean_and_ignores_row_order(spark):
     assert got == [(0, 3.667, 3), (3, 90.0, 1)]
 
 
+def test_merge_cuts_blocks_until_stable_and_equals_all_clusters(spark):
+    """A dense block, and two ends of a bar that only a second cut along x parts; equal gaps go to the older cluster."""
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 60, (900, 2)).tolist()
+    bar = [(200 + 3 * i, 0) for i in range(30)] + [(200 + 2 * i, 50) for i in range(5)] + [(280 + 2 * i, 50) for i in range(5)]
+    pts = [(0, "a", i, float(x), float(y)) for i, (x, y) in enumerate(dense + bar)]
+    d = spark.createDataFrame(pts, "frame int, aoi string, seq long, x double, y double").repartition(4)
+    got = sorted((r.seq, round(r.x, 6), round(r.y, 6), r.n) for r in matching.merge_close_points(d, 7.0).collect())
+    cl = []
+    for _, _, i, x, y in pts:
+        gaps = [float(np.hypot(x - c[1] / c[3], y - c[2] / c[3])) for c in cl]
+        k = int(np.argmin(gaps)) if gaps else -1
+        if k >= 0 and gaps[k] < 7.0:
+            cl[k][1:] = [cl[k][1] + x, cl[k][2] + y, cl[k][3] + 1]
+        else:
+            cl.append([i, x, y, 1])
+    assert got == sorted((i, round(a / n, 6), round(b / n, 6), n) for i, a, b, n in cl)
+    blocks = matching._blocks(d, ["aoi", "frame"], 7.0)
+    assert blocks.select("_part").distinct().count() == 4
+
+
 def test_merge_matches_a_direct_loop(spark):
     rng = np.random.default_rng(9)
     pts = [(f, "a", i, float(x), float(y)) for f in range(3) for i, (x, y) in enumerate(rng.integers(0, 120, (150, 2)))]
@@ -183,18 +229,31 @@ def test_component_across_four_tiles_and_diagonals(spark):
     m[2:6, 3:5] = 1
     m[6, 5] = 1
     t = images.to_tiles(_frames(spark, [m]), 4)
-    for limit in (10**6, 0):
-        four = sorted((r.region_id, r.area, r.r0, r.c0, r.r1, r.c1) for r in components.regions(t, 4, union_limit=limit).collect())
-        eight = [(r.region_id, r.area) for r in components.regions(t, 8, union_limit=limit).collect()]
+    for fan in (2, 4):
+        four = sorted((r.region_id, r.area, r.r0, r.c0, r.r1, r.c1) for r in components.regions(t, 4, fan=fan).collect())
+        eight = [(r.region_id, r.area) for r in components.regions(t, 8, fan=fan).collect()]
         assert four == [(19, 8, 2, 3, 6, 5), (53, 1, 6, 5, 7, 6)]
         assert eight == [(19, 9)]
 
 
-def test_component_rounds_equal_one_group_on_noise(spark):
-    m = (np.random.default_rng(4).random((40, 40)) > 0.42).astype(int)
-    t = images.to_tiles(_frames(spark, [m]), 8)
-    a, b = (sorted(map(tuple, components.regions(t, 4, union_limit=u).collect())) for u in (10**6, 0))
-    assert a == b
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_component_levels_equal_one_label_of_the_frame(spark, connectivity):
+    rng = np.random.default_rng(4)
+    snake = np.zeros((61, 45), int)  # one component through every tile of the frame
+    snake[::4] = 1
+    snake[np.isin(np.arange(61) % 8, (1, 2, 3)), -1] = 1
+    snake[np.arange(61) % 8 > 4, 0] = 1
+    masks = [(rng.random((61, 45)) > p).astype(int) for p in (0.3, 0.42, 0.6, 0.97)] + [snake, np.zeros((61, 45), int), np.ones((61, 45), int)]
+    t = images.to_tiles(_frames(spark, masks), 5)
+    for fan in (2, 3, 16):
+        got = {}
+        for r in components.pixel_labels(t, connectivity, fan=fan).collect():
+            got[r.frame, r.r, r.c] = r.label
+        for f, m in enumerate(masks):
+            lab = kernels.label(m != 0, connectivity)
+            first = {k: int(np.flatnonzero(lab.ravel() == k)[0]) for k in range(1, lab.max() + 1)}
+            assert {(r, c): v for (g, r, c), v in got.items() if g == f} == {(r, c): first[lab[r, c]] for r, c in zip(*np.nonzero(m))}
+    assert kernels.label(snake != 0, 4).max() == 1
 
 
 def test_blank_frame_is_invalid_everywhere(spark):
