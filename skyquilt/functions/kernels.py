@@ -137,11 +137,11 @@ def label(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
     return out
 
 
-def warp_tile(strips, inv, r0, c0, h, w, height, width, fill, centre: float = 0.0) -> np.ndarray:
-    """Bilinear samples of a source frame (given as pieces) on one target tile.
+def warp_coords(inv, r0: int, c0: int, h: int, w: int, centre: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Source (x, y) of each pixel of a target tile; -10 for those at or beyond the horizon.
 
-    ``inv`` maps a target (x, y) to the source; samples outside count as ``fill``.
-    ``centre`` = 0.5 when coordinates address pixel corners instead of centres.
+    ``inv`` maps a target (x, y) to the source. ``centre`` = 0.5 when coordinates
+    address pixel corners instead of centres.
     """
     cc, rr = np.meshgrid(np.arange(c0, c0 + w) + centre, np.arange(r0, r0 + h) + centre)
     den = inv[2, 0] * cc + inv[2, 1] * rr + inv[2, 2]
@@ -149,26 +149,44 @@ def warp_tile(strips, inv, r0, c0, h, w, height, width, fill, centre: float = 0.
         x = (inv[0, 0] * cc + inv[0, 1] * rr + inv[0, 2]) / den - centre
         y = (inv[1, 0] * cc + inv[1, 1] * rr + inv[1, 2]) / den - centre
     far = ~np.isfinite(x) | ~np.isfinite(y) | (np.abs(x) > 1e7) | (np.abs(y) > 1e7)
-    x, y = np.where(far, -10.0, np.round(x, 9)), np.where(far, -10.0, np.round(y, 9))
-    xi, yi = np.floor(x).astype(int), np.floor(y).astype(int)
-    if len(strips) == 0:
-        return np.full((h, w), fill, np.uint8)
-    top, left = min(s["pr"] for s in strips), min(s["pc"] for s in strips)
-    bottom, right = max(s["pr"] + s["ph"] for s in strips), max(s["pc"] + s["pw"] for s in strips)
-    src = np.full((bottom - top, right - left), fill, np.uint8)
+    return np.where(far, -10.0, np.round(x, 9)), np.where(far, -10.0, np.round(y, 9))
+
+
+def corners_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the four source pixels around each sample, on a first axis of four."""
+    r, c = np.floor(y).astype(int), np.floor(x).astype(int)
+    return np.stack([r, r, r + 1, r + 1]), np.stack([c, c + 1, c, c + 1])
+
+
+def tiles_hit(x: np.ndarray, y: np.ndarray, tile: int, height: int, width: int) -> np.ndarray:
+    """(row, column) of the source tiles that hold a pixel around a sample."""
+    r, c = corners_of(x, y)
+    ok = (r >= 0) & (r < height) & (c >= 0) & (c < width)
+    across = (width - 1) // tile + 1
+    return np.stack(np.divmod(np.unique(r[ok] // tile * across + c[ok] // tile), across), axis=1)
+
+
+def blend(four: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bilinear value of the four pixels around each sample, rounded half up."""
+    v, fx, fy = four.astype(np.float64), x - np.floor(x), y - np.floor(y)
+    return np.floor((v[0] * (1 - fx) + v[1] * fx) * (1 - fy) + (v[2] * (1 - fx) + v[3] * fx) * fy + 0.5).astype(np.uint8)
+
+
+def warp_tile(strips, inv, r0, c0, h, w, height, width, fill, centre: float = 0.0) -> np.ndarray:
+    """Bilinear samples of a source frame (given as pieces) on one target tile; samples outside count as ``fill``."""
+    x, y = warp_coords(inv, r0, c0, h, w, centre)
+    r, c = corners_of(x, y)
+    four = np.full(r.shape, fill, np.uint8)
     for s in strips:
-        src[s["pr"] - top:s["pr"] - top + s["ph"], s["pc"] - left:s["pc"] - left + s["pw"]] = np.frombuffer(
-            s["px"], np.uint8
-        ).reshape(s["ph"], s["pw"])
-
-    def at(yy, xx):
-        ok = (yy >= 0) & (yy < height) & (xx >= 0) & (xx < width) & (yy >= top) & (yy < bottom) & (xx >= left) & (xx < right)
-        v = src[np.clip(yy - top, 0, src.shape[0] - 1), np.clip(xx - left, 0, src.shape[1] - 1)]
-        return np.where(ok, v, fill).astype(np.float64)
-
-    fx, fy = x - xi, y - yi
-    v = (at(yi, xi) * (1 - fx) + at(yi, xi + 1) * fx) * (1 - fy) + (at(yi + 1, xi) * (1 - fx) + at(yi + 1, xi + 1) * fx) * fy
-    return np.floor(v + 0.5).astype(np.uint8)
+        pick_corners(s, r, c, four)
+    return blend(four, x, y)
+
+
+def pick_corners(piece, r: np.ndarray, c: np.ndarray, four: np.ndarray) -> np.ndarray:
+    """Set the corners that lie in one source piece; returns which they are."""
+    ok = (r >= piece["pr"]) & (r < piece["pr"] + piece["ph"]) & (c >= piece["pc"]) & (c < piece["pc"] + piece["pw"])
+    four[ok] = np.frombuffer(piece["px"], np.uint8).reshape(piece["ph"], piece["pw"])[r[ok] - piece["pr"], c[ok] - piece["pc"]]
+    return ok
 
 
 def heatmap_peaks(heat: np.ndarray, limit: float) -> list[tuple[int, int]]:

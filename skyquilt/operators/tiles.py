@@ -6,6 +6,7 @@ Each operator sends to a target tile only the strips of pixels it needs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +23,6 @@ COLS = [c.split()[0] for c in schemas.TILE.split(", ")]
 _DTYPES = {"u1": np.uint8, "f4": np.float32, "f8": np.float64, "i8": np.int64}
 
 
-def _array(row, dtype) -> np.ndarray:
-    return np.frombuffer(row.px, dtype).reshape(row.h, row.w)
-
-
 def pieces(tiles: DataFrame, tile: int, halo: int, dtype: str = "u1", keys: tuple[str, ...] = ("aoi", "frame")) -> DataFrame:
     """Strips of every tile for every target tile of side ``tile`` plus ``halo``.
 
@@ -163,43 +160,49 @@ def frame_max_scaled(tiles: DataFrame, floor: float = 1e-6) -> DataFrame:
 
 # ------------------------------------------------------------------ warping
 
-def _footprint(h: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    p = np.concatenate([corners, np.ones((len(corners), 1))], axis=1) @ h.T
-    return p
-
-
-def source_tiles_needed(h: np.ndarray, ty: int, tx: int, tile: int, height: int, width: int) -> list[tuple[int, int]]:
-    """Source tiles a target tile samples under the inverse homography ``h``.
+def source_tiles_needed(inv: np.ndarray, ty: int, tx: int, tile: int, height: int, width: int) -> list[tuple[int, int]]:
+    """Source tiles that hold a pixel around a sample of a target tile.
 
-    The corners give the range while the horizon (w = 0) stays outside the
-    tile; otherwise every source tile may be hit and all are returned.
+    The target tile is parted in four while the horizon (w = 0) crosses a part or
+    its corners span more than two source tiles along an axis; parts of a few
+    pixels are sampled. So only tiles that are hit are named, also at the horizon.
     """
-    last_y, last_x = (height - 1) // tile, (width - 1) // tile
-    r0, c0 = ty * tile, tx * tile
-    r1, c1 = min(r0 + tile, height) - 1, min(c0 + tile, width) - 1
-    q = _footprint(h, np.array([[c0, r0], [c1, r0], [c0, r1], [c1, r1]], dtype=np.float64))
-    if (q[:, 2] > 1e-9).all() or (q[:, 2] < -1e-9).all():
-        x, y = q[:, 0] / q[:, 2], q[:, 1] / q[:, 2]
-        y_from, y_to = int(max(np.floor(y.min()), 0)) // tile, int(min(np.floor(y.max()) + 1, height - 1)) // tile
-        x_from, x_to = int(max(np.floor(x.min()), 0)) // tile, int(min(np.floor(x.max()) + 1, width - 1)) // tile
-        if y.max() < -1 or x.max() < -1 or y.min() > height or x.min() > width:
-            return []
-    else:
-        y_from, y_to, x_from, x_to = 0, last_y, 0, last_x
-    return [(y, x) for y in range(y_from, y_to + 1) for x in range(x_from, x_to + 1)]
+    r1, c1 = min((ty + 1) * tile, height), min((tx + 1) * tile, width)
+    stack, hit = [(ty * tile, tx * tile, r1, c1)], set()
+    while stack:
+        ra, ca, rb, cb = stack.pop()
+        q = np.array([[ca, ra, 1], [cb - 1, ra, 1], [ca, rb - 1, 1], [cb - 1, rb - 1, 1]], np.float64) @ inv.T
+        if (q[:, 2] > 1e-9).all() or (q[:, 2] < -1e-9).all():
+            x, y = q[:, 0] / q[:, 2], q[:, 1] / q[:, 2]
+            if y.max() < -1.5 or x.max() < -1.5 or y.min() > height or x.min() > width:
+                continue
+            rows = max(math.floor(y.min() - 1e-6), 0) // tile, min(math.floor(y.max() + 1e-6) + 1, height - 1) // tile
+            cols = max(math.floor(x.min() - 1e-6), 0) // tile, min(math.floor(x.max() + 1e-6) + 1, width - 1) // tile
+            if rows[1] - rows[0] < 2 and cols[1] - cols[0] < 2:
+                hit.update((r, c) for r in range(rows[0], rows[1] + 1) for c in range(cols[0], cols[1] + 1))
+                continue
+        if (rb - ra) * (cb - ca) <= 1024:
+            hit.update(map(tuple, kernels.tiles_hit(*kernels.warp_coords(inv, ra, ca, rb - ra, cb - ca), tile, height, width).tolist()))
+            continue
+        rm, cm = (ra + rb + 1) // 2, (ca + cb + 1) // 2
+        stack += [(a, c, b, d) for a, b in ((ra, rm), (rm, rb)) for c, d in ((ca, cm), (cm, cb)) if a < b and c < d]
+    return sorted(hit)
 
 
 def warp(tiles: DataFrame, pairs: DataFrame, tile: int, fill: int = 255) -> DataFrame:
     """Registered templates: (aoi, dst_frame, slot, ty, tx, ..., px).
 
-    ``pairs``: aoi, dst_frame, slot, src_frame, h (source -> target). Source
-    tiles are joined only to the target tiles that sample them. Source and
-    target frames share their size; ``tiles`` have side ``tile``.
+    ``pairs``: aoi, dst_frame, slot, src_frame, h (source -> target). A source
+    tile meets one target tile at a time and gives the pixels it holds around that
+    tile's samples; a target tile then gathers these, four for each of its pixels
+    at most, however many source tiles they come from. Source and target frames
+    share their size; ``tiles`` have side ``tile``.
     """
     aoi = dict(tiles.dtypes)["aoi"]
     shape = tiles.groupBy("aoi", "frame").agg(F.first("height").alias("height"), F.first("width").alias("width"))
     plan = pairs.join(shape.withColumnRenamed("frame", "src_frame"), ["aoi", "src_frame"])
-    key_fields = f"aoi {aoi}, dst_frame int, slot int, src_frame int, h array<double>, ty int, tx int, height int, width int"
+    target = ["aoi", "dst_frame", "slot", "src_frame", "ty", "tx"]
+    fields = f"aoi {aoi}, dst_frame int, slot int, src_frame int, ty int, tx int, h array<double>, height int, width int, "
 
     def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -209,32 +212,48 @@ def warp(tiles: DataFrame, pairs: DataFrame, tile: int, fill: int = 255) -> Data
                 for ty in range((p.height - 1) // tile + 1):
                     for tx in range((p.width - 1) // tile + 1):
                         got = source_tiles_needed(inv, ty, tx, tile, p.height, p.width)
-                        rows += [(p.aoi, p.dst_frame, p.slot, p.src_frame, p.h, ty, tx, p.height, p.width, y, x) for y, x in got or [(-1, -1)]]
-                yield pd.DataFrame(rows, columns=["aoi", "dst_frame", "slot", "src_frame", "h", "ty", "tx", "height", "width", "sy", "sx"])
+                        rows += [(p.aoi, p.dst_frame, p.slot, p.src_frame, ty, tx, p.h, p.height, p.width, y, x) for y, x in got or [(-1, -1)]]
+                yield pd.DataFrame(rows, columns=[*target, "h", "height", "width", "sy", "sx"])
 
-    wanted = plan.select("aoi", "dst_frame", "slot", "src_frame", "h", "height", "width").mapInPandas(
-        needs, key_fields + ", sy int, sx int"
-    )
-    src = tiles.select("aoi", F.col("frame").alias("src_frame"), F.col("ty").alias("sy"), F.col("tx").alias("sx"),
-                       F.struct(F.col("r0").alias("pr"), F.col("c0").alias("pc"), F.col("h").alias("ph"), F.col("w").alias("pw"), "px").alias("piece"))
-    fed = wanted.join(src, ["aoi", "src_frame", "sy", "sx"], "left").groupBy(
-        "aoi", "dst_frame", "slot", "src_frame", "h", "ty", "tx", "height", "width"
-    ).agg(F.collect_list("piece").alias("strips"))
+    def samples(t):
+        inv = np.linalg.inv(np.array(t.h).reshape(3, 3))
+        r0, c0 = t.ty * tile, t.tx * tile
+        return r0, c0, *kernels.warp_coords(inv, r0, c0, min(tile, t.height - r0), min(tile, t.width - c0))
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            part = []
+            for t in pdf.itertuples(index=False):
+                if t.px is None:
+                    part.append(None)
+                    continue
+                _, _, x, y = samples(t)
+                r, c = kernels.corners_of(x, y)
+                four = np.zeros(r.shape, np.uint8)
+                ok = kernels.pick_corners({"pr": t.sy * tile, "pc": t.sx * tile, "ph": t.ph, "pw": t.pw, "px": t.px}, r, c, four)
+                part.append({"which": np.packbits(ok).tobytes(), "v": four[ok].tobytes()})
+            yield pdf.drop(columns=["sy", "sx", "ph", "pw", "px"]).assign(part=part)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for t in pdf.itertuples(index=False):
-                inv = np.linalg.inv(np.array(t.h).reshape(3, 3))
-                r0, c0 = t.ty * tile, t.tx * tile
-                hh, ww = min(tile, t.height - r0), min(tile, t.width - c0)
-                out = kernels.warp_tile(t.strips, inv, r0, c0, hh, ww, t.height, t.width, fill)
-                rows.append((t.aoi, t.dst_frame, t.slot, t.src_frame, t.ty, t.tx, r0, c0, hh, ww, t.height, t.width, out.tobytes()))
+                r0, c0, x, y = samples(t)
+                four = np.full((4, *x.shape), fill, np.uint8)
+                for p in t.parts:
+                    ok = np.unpackbits(np.frombuffer(p["which"], np.uint8), count=four.size).view(bool).reshape(four.shape)
+                    four[ok] = np.frombuffer(p["v"], np.uint8)
+                out = kernels.blend(four, x, y)
+                rows.append((t.aoi, t.dst_frame, t.slot, t.src_frame, t.ty, t.tx, r0, c0, *x.shape, t.height, t.width, out.tobytes()))
             yield pd.DataFrame(rows, columns=["aoi", "dst_frame", "slot", "src_frame", *COLS[2:]])
 
-    return fed.mapInPandas(
-        run, f"aoi {aoi}, dst_frame int, slot int, src_frame int, " + schemas.TILE.split(", ", 2)[2]
-    )
+    wanted = plan.select("aoi", "dst_frame", "slot", "src_frame", "h", "height", "width").mapInPandas(needs, fields + "sy int, sx int")
+    src = tiles.select("aoi", F.col("frame").alias("src_frame"), F.col("ty").alias("sy"), F.col("tx").alias("sx"),
+                       F.col("h").alias("ph"), F.col("w").alias("pw"), "px")
+    met = wanted.join(src, ["aoi", "src_frame", "sy", "sx"], "left").select(*target, "h", "height", "width", "sy", "sx", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ph", "pw")], "px")
+    fed = met.mapInPandas(corners, fields + "part struct<which:binary,v:binary>").groupBy(*target).agg(
+        F.first("h").alias("h"), F.first("height").alias("height"), F.first("width").alias("width"), F.collect_list("part").alias("parts"))
+    return fed.mapInPandas(run, f"aoi {aoi}, dst_frame int, slot int, src_frame int, " + schemas.TILE.split(", ", 2)[2])
 
 
 def crop(tiles: DataFrame, windows: DataFrame, tile: int) -> DataFrame:

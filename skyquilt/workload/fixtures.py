@@ -134,7 +134,7 @@ MOSAIC_SIDE = 6  # tiles of 8x8 per row and column: 48x48 frames
 def mosaic(spark, sf) -> DataFrame:
     """48x48 frames in two sequences, as 8x8 tiles; each embedding is one tile.
 
-    A frame that lacks tiles at the end of its sequence is left out.
+    A frame that lacks tiles at the end of its sequence is padded with even ones.
     """
     n = MOSAIC_SIDE * MOSAIC_SIDE
     e = table(spark, sf, "embeddings").select(
@@ -142,9 +142,10 @@ def mosaic(spark, sf) -> DataFrame:
         F.floor(F.col("vec_id") / 2).cast("int").alias("k"), "embedding",
     )
     e = e.withColumn("frame", F.floor(F.col("k") / n).cast("int")).withColumn("b", F.col("k") % n)
-    full = e.groupBy("aoi", "frame").count().where(F.col("count") == n).select("aoi", "frame")
+    grid = e.select("aoi", "frame").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     px = F.transform("embedding", lambda v: F.floor((v.cast("double") + 0.6) * 200).cast("int"))
-    return e.join(full, ["aoi", "frame"], "left_semi").select(
+    px = F.coalesce(px, F.array_repeat(F.lit(120), 64))
+    return grid.join(e, ["aoi", "frame", "b"], "left").select(
         "aoi", "frame",
         F.floor(F.col("b") / MOSAIC_SIDE).cast("int").alias("ty"),
         (F.col("b") % MOSAIC_SIDE).cast("int").alias("tx"),
@@ -156,14 +157,16 @@ def mosaic(spark, sf) -> DataFrame:
     )
 
 
-MOSAIC = """mb as (
+MOSAIC = """mt as (
 select cast(vec_id%2 as varchar) as aoi, cast((vec_id//2)//36 as int) as frame, (vec_id//2)%36 as b,
   list_transform(embedding, lambda v: cast(floor((cast(v as double)+0.6e0)*200) as int)) as px
 from embeddings),
+mb as (select g.aoi, g.frame, g.b, coalesce(mt.px, list_transform(range(64), lambda i: 120)) as px
+from (select aoi, frame, unnest(range(36)) as b from (select distinct aoi, frame from mt) f) g
+left join mt on mt.aoi=g.aoi and mt.frame=g.frame and mt.b=g.b),
 mos as materialized (
 select aoi, frame, cast(b//6*8+i//8 as int) as r, cast(b%6*8+i%8 as int) as c, px[i+1] as v
-from mb, (select unnest(range(64)) as i) g
-where (aoi, frame) in (select (aoi, frame) from mb group by aoi, frame having count(*)=36))"""
+from mb, (select unnest(range(64)) as i) g)"""
 
 
 def with_(*views: str) -> str:

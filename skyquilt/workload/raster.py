@@ -193,11 +193,13 @@ def _inv_literal():
 
 
 I3 = f"""iv as (select {_inv_literal()} as iv),
-pt as (select aoi, frame, r, c, round((iv[1]*c+iv[2]*r+iv[3])/{_W},9) as x, round((iv[4]*c+iv[5]*r+iv[6])/{_W},9) as y from mos, iv),
-pc as (select *, floor(x) as xi, floor(y) as yi, x-floor(x) as fx, y-floor(y) as fy from pt)
-select p.aoi, cast(p.frame+1 as int) as frame, p.r, p.c, cast(floor((coalesce(a.v,255)*(1-fx)+coalesce(b.v,255)*fx)*(1-fy)+(coalesce(d.v,255)*(1-fx)+coalesce(e.v,255)*fx)*fy+0.5e0) as int) as v
-from pc p left join mos a on a.aoi=p.aoi and a.frame=p.frame and a.r=yi and a.c=xi left join mos b on b.aoi=p.aoi and b.frame=p.frame and b.r=yi and b.c=xi+1
-left join mos d on d.aoi=p.aoi and d.frame=p.frame and d.r=yi+1 and d.c=xi left join mos e on e.aoi=p.aoi and e.frame=p.frame and e.r=yi+1 and e.c=xi+1"""
+pt as materialized (select aoi, frame, r, c, round((iv[1]*c+iv[2]*r+iv[3])/{_W},9) as x, round((iv[4]*c+iv[5]*r+iv[6])/{_W},9) as y from mos, iv),
+pc as materialized (select aoi, frame, r, c, cast(floor(x) as int) as xi, cast(floor(y) as int) as yi, x-floor(x) as fx, y-floor(y) as fy from pt),
+tap as (select p.*, k, coalesce(m.v, 255) as v from (select *, unnest(range(4)) as k from pc) p
+left join mos m on m.aoi=p.aoi and m.frame=p.frame and m.r=yi+k//2 and m.c=xi+k%2),
+four as (select aoi, frame, r, c, any_value(fx) as fx, any_value(fy) as fy, max(v) filter (where k=0) as v0, max(v) filter (where k=1) as v1,
+ max(v) filter (where k=2) as v2, max(v) filter (where k=3) as v3 from tap group by aoi, frame, r, c)
+select aoi, cast(frame+1 as int) as frame, r, c, cast(floor((v0*(1-fx)+v1*fx)*(1-fy)+(v2*(1-fx)+v3*fx)*fy+0.5e0) as int) as v from four"""
 
 
 @query("i3_perspective_warp", fx.with_(fx.MOSAIC) .rstrip() + ",\n" + I3)

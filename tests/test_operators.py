@@ -272,6 +272,23 @@ def test_identity_warp_returns_the_frame(spark, noise):
     assert all((got[i] == a).all() for i, a in enumerate(noise))
 
 
+@pytest.mark.parametrize("h", [
+    [1.0, 0.1, 3.0, 0.05, 1.1, -2.0, 0.02, 0.03, 1.0], [0.05, 0.0, 1.0, 0.0, 0.05, 1.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.05, -0.05, 0.4]])
+def test_warp_at_the_horizon_equals_one_warp_of_the_frame(spark, noise, h):
+    """Strong perspective, a source 20 times as wide as the target, and a horizon through the middle of tiles."""
+    t = images.to_tiles(_frames(spark, noise[:1]), 16)
+    pairs = t.select("aoi", F.col("frame").alias("src_frame")).distinct().select(
+        "aoi", "src_frame", F.lit(9).alias("dst_frame"), F.lit(0).alias("slot"), F.array(*[F.lit(v) for v in h]).alias("h"))
+    got = _dense(px.explode_pixels(tl.warp(t, pairs, 16).withColumnRenamed("dst_frame", "frame")), (37, 41))[9]
+    inv = np.linalg.inv(np.array(h).reshape(3, 3))
+    whole = {"pr": 0, "pc": 0, "ph": 37, "pw": 41, "px": noise[0].astype(np.uint8).tobytes()}
+    assert (got == kernels.warp_tile([whole], inv, 0, 0, 37, 41, 37, 41, 255)).all()
+    for ty in range(3):
+        for tx in range(3):
+            x, y = kernels.warp_coords(inv, 16 * ty, 16 * tx, min(16, 37 - 16 * ty), min(16, 41 - 16 * tx))
+            assert set(map(tuple, kernels.tiles_hit(x, y, 16, 37, 41).tolist())) <= set(tl.source_tiles_needed(inv, ty, tx, 16, 37, 41))
+
+
 def test_homography_is_recovered_from_noisy_matches(spark):
     rng = np.random.default_rng(2)
     h = np.array([[1.01, 0.02, 3], [-0.01, 0.99, -2], [1e-5, 2e-5, 1]])
