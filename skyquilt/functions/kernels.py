@@ -50,28 +50,28 @@ def blur(a: np.ndarray, weights: np.ndarray, origin: tuple[int, int], shape: tup
     return along(along(a.astype(np.float64), 0), 1)
 
 
-def _shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
-    out = np.full(a.shape, fill, a.dtype)
-    h, w = a.shape
-    rs, re = max(dr, 0), min(h + dr, h)
-    cs, ce = max(dc, 0), min(w + dc, w)
-    if rs < re and cs < ce:
-        out[rs - dr:re - dr, cs - dc:ce - dc] = a[rs:re, cs:ce]
-    return out
-
-
 def rank_filter(a: np.ndarray, low: int, high: int, take_max: bool) -> np.ndarray:
-    """Min or max over the square of offsets low..high; outside pixels are ignored."""
+    """Min or max over the square of offsets low..high; outside pixels are ignored.
+
+    Each axis is cut into blocks as long as the window. A window is the end of one
+    block and the beginning of the next, so running extremes from both ends of the
+    blocks give it at a cost that does not depend on its length.
+    """
     fill = 0 if take_max else (1 if a.dtype == np.bool_ else np.iinfo(a.dtype).max)
-    pick = np.maximum if take_max else np.minimum
-    out = a
+    pick, size, out = np.maximum if take_max else np.minimum, high - low + 1, a
     for axis in (0, 1):
-        acc = None
-        for o in range(low, high + 1):
-            s = _shifted(out, o if axis == 0 else 0, o if axis == 1 else 0, fill)
-            acc = s if acc is None else pick(acc, s)
-        out = acc
-    return out
+        x = np.moveaxis(out, axis, -1)
+        n = x.shape[-1]
+        # offset 0 of a row sits at place p, so that all windows lie inside
+        p, whole = max(0, -low), -(-(max(0, -low) + n + max(0, high)) // size) * size
+        wide = np.full((*x.shape[:-1], whole), fill, a.dtype)
+        wide[..., p:p + n] = x
+        blocks = wide.reshape(*x.shape[:-1], -1, size)
+        ahead = pick.accumulate(blocks, axis=-1).reshape(wide.shape)
+        back = pick.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(wide.shape)
+        at = np.arange(p, p + n)
+        out = np.moveaxis(pick(back[..., at + low], ahead[..., at + high]), -1, axis)
+    return np.ascontiguousarray(out)
 
 
 def open_2x2(a: np.ndarray) -> np.ndarray:
@@ -189,51 +189,93 @@ def pick_corners(piece, r: np.ndarray, c: np.ndarray, four: np.ndarray) -> np.nd
     return ok
 
 
-def heatmap_peaks(heat: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Peak cells of a response map, in the order they are found.
+def _levels(top: float, limit: float, dtype) -> np.ndarray:
+    """Levels from just under the maximum down to ``limit`` in accumulated steps of 0.01."""
+    levels, level = [], top - 0.01
+    while level > limit:
+        levels.append(level)
+        level -= 0.01
+    return np.array([*levels, limit], np.float64).astype(dtype)
+
+
+def heatmap_peaks(maps: np.ndarray, limit: float) -> list[list[tuple[int, int]]]:
+    """Peak cells of each map of a batch (maps, rows, columns), in the order they are found.
 
     All cells at the maximum come first. Then the level goes down in steps of
     0.01 (accumulated) to ``limit``; at each level every 4-connected blob gives
     its highest cell, row-major first on ties. A cell is listed once.
+
+    A blob gives a new cell at the level where it appears: it is then a zone of
+    cells first met at one level, with no neighbour that was met before. So one
+    labelling of these zones, of all maps at once, stands for all levels.
     """
-    top = float(heat.max())
-    if top < limit:
-        return []
-    levels, level = [], top - 0.01
-    while level > limit:
-        levels.append(level)
-        level -= 0.01
-    levels.append(limit)
-    w, flat = heat.shape[1], heat.ravel()
-    found = dict.fromkeys(np.flatnonzero(flat == heat.max()).tolist())
-    # One sweep from the top: cells join growing blobs, each of which knows its
-    # highest cell and its first cell. Only a blob born at this level can have
-    # a highest cell that is not listed yet.
-    order = np.lexsort((np.arange(flat.size), -flat)).tolist()
-    value = flat.tolist()
-    parent, peak, first, at = {}, {}, {}, 0
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for v in (float(heat.dtype.type(x)) for x in levels):
-        fresh = []
-        while at < len(order) and value[order[at]] >= v:
-            i = order[at]
-            at += 1
-            parent[i] = peak[i] = first[i] = i
-            fresh.append(i)
-            c = i % w
-            for j in ([i - 1] if c else []) + ([i + 1] if c < w - 1 else []) + [i - w, i + w]:
-                if j in parent:
-                    a, b = root(i), root(j)
-                    if a != b:
-                        best = min((-value[peak[a]], peak[a]), (-value[peak[b]], peak[b]))[1]
-                        parent[b] = a
-                        peak[a], first[a] = best, min(first[a], first[b])
-        for r in sorted({root(i) for i in fresh}, key=first.get):
-            found.setdefault(peak[r])
-    return [(i // w, i % w) for i in found]
+    b, h, w = maps.shape
+    met = np.empty(maps.shape, np.int64)  # number of the level at which a cell is met
+    ends = np.zeros(b, np.int64)
+    for i, one in enumerate(maps):
+        levels = _levels(float(one.max()), limit, maps.dtype) if one.size and one.max() >= limit else np.zeros(0, maps.dtype)
+        met[i] = len(levels) - np.searchsorted(levels[::-1], one, side="right")
+        ends[i] = len(levels)
+    node = np.arange(maps.size).reshape(maps.shape)
+    pairs = [(node[:, :-1].ravel(), node[:, 1:].ravel()), (node[:, :, :-1].ravel(), node[:, :, 1:].ravel())]
+    x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    level = met.ravel()
+    even = level[x] == level[y]
+    zone = merge_labels(maps.size, x[even], y[even])  # named by its first cell
+    low = np.where(level[x] > level[y], x, y)[~even]
+    old = np.zeros(maps.size, bool)
+    old[zone[low]] = True
+    of, value = np.repeat(np.arange(b), h * w), maps.ravel()
+    born = np.flatnonzero((level < ends[of]) & ~old[zone])
+    # the highest cell of each zone, then zones by map, level and first cell
+    born = born[np.lexsort((born, -value[born], zone[born]))]
+    born = born[np.concatenate([[True], zone[born][1:] != zone[born][:-1]])] if len(born) else born
+    born = born[np.lexsort((zone[born], level[born], of[born]))]
+    found = []
+    for i, one in enumerate(maps):
+        top = np.flatnonzero(one.ravel() == one.max()) if ends[i] else np.zeros(0, np.int64)
+        own = born[np.searchsorted(of[born], i):np.searchsorted(of[born], i, side="right")] - i * h * w
+        found.append([divmod(c, w) for c in dict.fromkeys([*top.tolist(), *own.tolist()])])
+    return found
+
+
+class SlidingMedian:
+    """Median of the last ``n`` arrays of bytes, of a histogram per cell that gains and loses one array a step.
+
+    The two middle values keep their place and move by the few bins that a step
+    shifts them, so a step costs the same for any ``n``.
+    """
+
+    def __init__(self, n: int, size: int):
+        self.n, self.hist = n, np.zeros((size, 256), np.int16)
+        self.at = np.zeros((2, size), np.int64)  # bins of the middle values
+        self.below = np.zeros((2, size), np.int64)  # members in smaller bins
+        self.cell = np.arange(size)
+        self.held: list[np.ndarray] = []
+
+    def push(self, a: np.ndarray) -> None:
+        if len(self.held) == self.n:
+            out = self.held.pop(0)
+            self.hist[self.cell, out] -= 1
+            self.below -= out < self.at
+        self.held.append(a)
+        self.hist[self.cell, a] += 1
+        self.below += a < self.at
+
+    def value(self) -> np.ndarray:
+        """Median of ``n`` arrays as float64 (even ``n`` averages); fewer arrays are an error."""
+        if len(self.held) < self.n:
+            raise ValueError("the window is not full")
+        for k, rank in enumerate(((self.n - 1) // 2, self.n // 2)):
+            at, below = self.at[k], self.below[k]
+            move = np.flatnonzero(below > rank)
+            while len(move):
+                at[move] -= 1
+                below[move] -= self.hist[move, at[move]]
+                move = move[below[move] > rank]
+            move = np.flatnonzero(below + self.hist[self.cell, at] <= rank)
+            while len(move):
+                below[move] += self.hist[move, at[move]]
+                at[move] += 1
+                move = move[below[move] + self.hist[move, at[move]] <= rank]
+        return self.at.sum(axis=0) / 2

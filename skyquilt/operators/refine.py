@@ -16,6 +16,8 @@ from skyquilt.operators import background as bg, tiles as tl
 CHANNELS = 4
 SCREEN_HALF, WINDOW_HALF = 10, 22
 ACCEPT_SCORE = 0.7
+#: Maps whose peaks are found at once.
+PEAK_MAPS = 64
 PEAK_LIMIT = 0.17
 
 #: Patches that leave a task together.
@@ -230,14 +232,13 @@ def peaks(responses: DataFrame, limit: float = PEAK_LIMIT, col: str = "pred", si
         for pdf in batches:
             if not len(pdf):
                 continue
-            found = []
+            maps = []
             for v in pdf[col]:
                 n = int(round(len(v) ** 0.5))
                 heat = np.asarray(v, np.float32).reshape(n, n)
-                if n != side:
-                    heat = kernels.bilinear(heat, side, side).astype(np.float32)
-                found.append([{"k": i, "pr": r, "pc": c} for i, (r, c) in enumerate(kernels.heatmap_peaks(heat, limit))])
-            yield pdf[keep].assign(found=found)
+                maps.append(heat if n == side else kernels.bilinear(heat, side, side).astype(np.float32))
+            cells = [c for at in range(0, len(maps), PEAK_MAPS) for c in kernels.heatmap_peaks(np.stack(maps[at:at + PEAK_MAPS]), limit)]
+            yield pdf[keep].assign(found=[[{"k": i, "pr": r, "pc": c} for i, (r, c) in enumerate(found)] for found in cells])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.select(*keep).schema)
     d = responses.mapInPandas(run, f"{fields}, found array<struct<k:int,pr:int,pc:int>>")
@@ -253,14 +254,13 @@ def inside_box(peak_rows: DataFrame) -> DataFrame:
 def window_detections(responses: DataFrame, limit: float = PEAK_LIMIT) -> DataFrame:
     """Peaks of all windows in frame coordinates, inside their region's box.
 
-    ``seq`` keeps region, window and peak order in one number (region ids below
-    2**30, 1024 windows per axis, 4096 peaks).
+    ``seq`` is the place in the order of region, window and peak.
     """
     d = peaks(responses.select("aoi", "frame", "info", "pred"), limit)
     names = ["region_id", "wi", "wj", "r0", "c0", "r1", "c1", "min_r", "min_c"]
     d = d.select("aoi", "frame", "k", "pr", "pc", *[F.col("info")[i].alias(n) for i, n in enumerate(names)])
-    seq = ((F.col("region_id") * 1024 + F.col("wi")) * 1024 + F.col("wj")) * 4096 + F.col("k")
-    d = d.select("aoi", "frame", seq.alias("seq"), (F.col("pr") + F.col("min_r")).cast("int").alias("r"),
+    d = ordering.position(d, ["aoi", "frame"], ["region_id", "wi", "wj", "k"], ordering.by_width("region_id", 1 << 20), "seq")
+    d = d.select("aoi", "frame", "seq", (F.col("pr") + F.col("min_r")).cast("int").alias("r"),
                  (F.col("pc") + F.col("min_c")).cast("int").alias("c"), "r0", "c0", "r1", "c1")
     return inside_box(d).select("aoi", "frame", "seq", "r", "c")
 
@@ -313,29 +313,38 @@ def prior_inputs(tiles: DataFrame, side: int = 256) -> DataFrame:
     return d.select("aoi", "frame", "height", "width", F.transform("s", lambda e: (e["v"] / 255.0).cast("float")).alias("px"))
 
 
-def prior_at(prior: Column, r: Column, c: Column, height: Column, width: Column, side: int) -> Column:
-    """Value at one pixel of the prior resized to the frame (bilinear), without
-    building the full-size map."""
-    def tap(v, n):
-        x = (v + 0.5) * side / n - 0.5
-        i = F.floor(x)
-        last = F.lit(side - 1)
-        return F.greatest(F.lit(0), F.least(i, last)), F.greatest(F.lit(0), F.least(i + 1, last)), x - i
+def prior_cells(priors: DataFrame) -> DataFrame:
+    """Priors (aoi, frame, height, width, pred) as a row for each cell: aoi, frame, cell, v."""
+    return priors.select("aoi", "frame", F.posexplode("pred").alias("cell", "v")).withColumn("v", F.col("v").cast("double"))
 
-    r0, r1, fr = tap(r, height)
-    c0, c1, fc = tap(c, width)
 
-    def at(i, j):
-        return F.element_at(prior, (i * side + j + 1).cast("int")).cast("double")
+def prior_values(points: DataFrame, priors: DataFrame, side: int) -> DataFrame:
+    """Distinct points (aoi, frame, r, c) with ``prior``: the prior resized to the frame (bilinear) at that pixel.
 
-    return (at(r0, c0) * (1 - fc) + at(r0, c1) * fc) * (1 - fr) + (at(r1, c0) * (1 - fc) + at(r1, c1) * fc) * fr
+    Each point meets four cells by an equi-join; the full-size map is not built
+    and no row holds a whole prior. Points of frames without a prior are left out.
+    """
+    at = ["aoi", "frame", "r", "c"]
+    p = points.select("aoi", "frame", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
+    p = p.join(priors.select("aoi", "frame", "height", "width"), ["aoi", "frame"])
+    last = F.lit(side - 1)
+    for v, n in (("r", "height"), ("c", "width")):
+        x = (F.col(v) + 0.5) * side / F.col(n) - 0.5
+        p = p.withColumns({f"_{v}": F.floor(x), f"_f{v}": x - F.floor(x)})
+    cells = [F.least(F.greatest(F.col("_r") + i, F.lit(0)), last) * side + F.least(F.greatest(F.col("_c") + j, F.lit(0)), last) for i in (0, 1) for j in (0, 1)]
+    taps = p.select(*at, "_fr", "_fc", F.posexplode(F.array(*cells)).alias("k", "cell")).join(
+        prior_cells(priors), ["aoi", "frame", "cell"])
+    four = taps.groupBy(*at).agg(F.first("_fr").alias("_fr"), F.first("_fc").alias("_fc"), *[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_{k}") for k in range(4)])
+    fr, fc, v = F.col("_fr"), F.col("_fc"), [F.col(f"_{k}") for k in range(4)]
+    return four.select(*at, ((v[0] * (1 - fc) + v[1] * fc) * (1 - fr) + (v[2] * (1 - fc) + v[3] * fc) * fr).alias("prior"))
 
 
 def scene_prior_filter(dets: DataFrame, priors: DataFrame, limit: float = 0.0, side: int = 256) -> DataFrame:
     """Keep detections whose prior is at least ``limit``; priors: aoi, frame, height, width, pred."""
-    d = dets.join(priors.select("aoi", "frame", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("pred").alias("_p")), ["aoi", "frame"])
-    at = prior_at(F.col("_p"), F.col("r").cast("int"), F.col("c").cast("int"), F.col("_h"), F.col("_w"), side)
-    return d.where(at >= limit).drop("_h", "_w", "_p")
+    keep = prior_values(dets, priors, side).filter(F.col("prior") >= limit)
+    keep = keep.select("aoi", "frame", F.col("r").alias("_r"), F.col("c").alias("_c"))
+    named = dets.withColumns({"_r": F.col("r").cast("int"), "_c": F.col("c").cast("int")})
+    return named.join(keep, ["aoi", "frame", "_r", "_c"], "left_semi").drop("_r", "_c")
 
 
 def first_peaks(peak_rows: DataFrame, patch: list[str]) -> DataFrame:

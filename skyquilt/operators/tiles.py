@@ -115,27 +115,28 @@ def temporal_median(tiles: DataFrame, n: int, chunk: int = 64) -> DataFrame:
     """Median of the previous ``n`` registered tiles (float64; even n averages).
 
     Each tile position is one sequence, cut into time chunks with ``n`` rows of
-    overlap; frames without ``n`` predecessors give no row.
+    overlap; frames without ``n`` predecessors give no row. Only keys are ranked;
+    the pixels join the chunks once.
     """
     place = ["aoi", "ty", "tx"]
-    d = ordering.position(tiles, place, ["frame"], ordering.by_width("frame", 4096))
+    ranked = ordering.position(tiles.select(*place, "frame"), place, ["frame"], ordering.by_width("frame", 4096))
     span = max(chunk, n)
-    d = d.withColumn("own", ordering.by_width("pos", span)).withColumn(
+    ranked = ranked.withColumn("own", ordering.by_width("pos", span)).withColumn(
         "part", F.explode(F.array_distinct(F.array("own", ordering.by_width(F.col("pos") + n, span))))
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        stack = [np.frombuffer(b, np.uint8) for b in pdf.px]
-        rows = []
-        for i, t in enumerate(pdf.itertuples(index=False)):
+        rows, window = [], None
+        for t in pdf.sort_values("pos").itertuples(index=False):
+            if window is None:
+                window = kernels.SlidingMedian(n, t.h * t.w)
             if t.own == t.part and t.pos >= n:
-                med = np.median(np.stack(stack[i - n:i]), axis=0)
-                rows.append((t.aoi, t.frame, t.ty, t.tx, t.r0, t.c0, t.h, t.w, t.height, t.width, med.tobytes()))
+                rows.append((t.aoi, t.frame, t.ty, t.tx, t.r0, t.c0, t.h, t.w, t.height, t.width, window.value().tobytes()))
+            window.push(np.frombuffer(t.px, np.uint8))
         return pd.DataFrame(rows, columns=COLS)
 
     types = dict(tiles.dtypes)
-    return d.groupBy(*place, "part").applyInPandas(run, schemas.TILE.replace("aoi STRING", f"aoi {types['aoi']}"))
+    return tiles.join(ranked, [*place, "frame"]).groupBy(*place, "part").applyInPandas(run, schemas.TILE.replace("aoi STRING", f"aoi {types['aoi']}"))
 
 
 def frame_max_scaled(tiles: DataFrame, floor: float = 1e-6) -> DataFrame:

@@ -145,7 +145,25 @@ def i14_window_plan(spark, sf):
     return refine.plan_windows(r).select("frame", "region_id", "wi", "wj", "min_r", "min_c")
 
 
-@query("i15_heatmap_peaks")
+I15_SQL = f"""with recursive m as (select vec_id, i, cast(embedding[i+1] + cast(0.1 as float) as float) as v from embeddings, (select cast(unnest(range(64)) as int) as i) g),
+top as (select vec_id, cast(max(v) as double) as t from m group by vec_id),
+lv as (select vec_id, 0 as k, t-0.01e0 as lev from top where t >= {refine.PEAK_LIMIT!r}e0
+ union all select vec_id, k+1, lev-0.01e0 from lv where lev > {refine.PEAK_LIMIT!r}e0),
+le as (select vec_id, k, cast(greatest(lev, {refine.PEAK_LIMIT!r}e0) as float) as lev from lv),
+met as materialized (select m.vec_id, m.i, any_value(m.v) as v, min(le.k) as k from m join le on le.vec_id=m.vec_id and m.v>=le.lev group by 1, 2),
+nb as materialized (select a.vec_id, a.i, b.i as j, a.k as ki, b.k as kj from met a join met b on a.vec_id=b.vec_id
+ and (b.i in (a.i-8, a.i+8) or (b.i=a.i-1 and a.i%8>0) or (b.i=a.i+1 and a.i%8<7))),
+walk as (select vec_id, i, i as j from met union select w.vec_id, w.i, n.j from walk w join nb n on n.vec_id=w.vec_id and n.i=w.j and n.ki=n.kj),
+zone as materialized (select vec_id, i, min(j) as z from walk group by 1, 2),
+old as (select distinct n.vec_id, z.z from nb n join zone z on z.vec_id=n.vec_id and z.i=n.i where n.kj<n.ki),
+born as (select m.vec_id, z.z, any_value(m.k) as k, arg_min(m.i, (-m.v, m.i)) as i from met m join zone z using (vec_id, i) anti join old using (vec_id, z) group by 1, 2),
+cells as (select vec_id, 0 as phase, 0 as k, i as z, i from m join top using (vec_id) where v=t and t >= {refine.PEAK_LIMIT!r}e0
+ union all select vec_id, 1, k, z, i from born),
+once as (select vec_id, i, min((phase, k, z)) as o from cells group by 1, 2)
+select vec_id, cast(row_number() over (partition by vec_id order by o)-1 as int) as k, cast(i//8 as int) as pr, cast(i%8 as int) as pc from once"""
+
+
+@query("i15_heatmap_peaks", I15_SQL)
 def i15_heatmap_peaks(spark, sf):
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.1).cast("float")).alias("pred"))
     return refine.peaks(e, side=8)
@@ -229,10 +247,8 @@ def c6_scene_prior(spark, sf):
 @query("d11_prior_lookup", fx.with_(fx.MOSAIC, "p as (select label as lb, frame, px from (select label, cast(row_number() over (partition by label order by vec_id)-1 as int) as frame, list_transform(embedding, lambda v: cast(floor((cast(v as double)+0.6e0)*200) as int)) as px from embeddings) z)")
        + f"select m.aoi, m.frame, m.r, m.c, round({PRIOR},6) as prior from (select aoi, frame, r, c, r as i, c as j from mos) m join p on cast(p.lb as varchar)=m.aoi and p.frame=m.frame")
 def d11_prior_lookup(spark, sf):
-    pr = fx.frames(spark, sf).select(F.col("aoi").cast("string").alias("aoi"), "frame", F.col("px").alias("p"))
-    d = px.explode_pixels(fx.mosaic(spark, sf)).join(pr, ["aoi", "frame"])
-    at = refine.prior_at(F.col("p"), F.col("r"), F.col("c"), F.lit(48), F.lit(48), 8)
-    return d.select("aoi", "frame", "r", "c", F.round(at, 6).alias("prior"))
+    pr = fx.frames(spark, sf).select(F.col("aoi").cast("string").alias("aoi"), "frame", F.lit(48).alias("height"), F.lit(48).alias("width"), F.col("px").alias("pred"))
+    return refine.prior_values(px.explode_pixels(fx.mosaic(spark, sf)), pr, 8).withColumn("prior", F.round("prior", 6))
 
 
 @query("i23_scene_prior_map", fx.with_(fx.MOSAIC) + "select aoi, frame, cast(r//3 as int) as i, cast(c//3 as int) as j, round(v/255.0e0,5) as p from mos where r%3=1 and c%3=1")

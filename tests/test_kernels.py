@@ -74,18 +74,49 @@ def _peaks_by_loop(heat, limit):
     return out
 
 
-def test_peaks_match_direct_search():
-    for seed in range(12):
-        heat = (np.random.default_rng(seed).random((9, 9)) ** 3).astype(np.float32)
-        assert k.heatmap_peaks(heat, 0.17) == _peaks_by_loop(heat, 0.17)
+def test_peaks_of_a_batch_match_direct_search():
+    rng = np.random.default_rng(1)
+    maps = (rng.random((40, 9, 9)) ** 3).astype(np.float32)
+    maps[20:30] = np.round(maps[20:30], 1)  # equal cells and flat zones
+    maps[30] = 0.5
+    maps[31] = 0.1
+    assert k.heatmap_peaks(maps, 0.17) == [_peaks_by_loop(m, 0.17) for m in maps]
+    tall = rng.random((3, 4, 7)).astype(np.float32)
+    assert k.heatmap_peaks(tall, 0.3) == [_peaks_by_loop(m, 0.3) for m in tall]
+    assert k.heatmap_peaks(maps[:0], 0.17) == []
 
 
 def test_peaks_edge_cases():
     low = np.full((5, 5), 0.1, np.float32)
-    assert k.heatmap_peaks(low, 0.17) == []
     two = low.copy()
     two[1, 3] = two[4, 0] = 0.9
-    assert k.heatmap_peaks(two, 0.17) == [(1, 3), (4, 0)]
+    assert k.heatmap_peaks(np.stack([low, two]), 0.17) == [[], [(1, 3), (4, 0)]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 25])
+def test_sliding_median_equals_the_restacked_window(n):
+    rng = np.random.default_rng(n)
+    frames = [rng.integers(0, 256, 50).astype(np.uint8) for _ in range(40)] + [np.full(50, v, np.uint8) for v in (0, 255, 0, 255, 7)]
+    m = k.SlidingMedian(n, 50)
+    with pytest.raises(ValueError):
+        m.value()
+    for i, f in enumerate(frames):
+        m.push(f)
+        if i + 1 >= n:
+            assert (m.value() == np.median(np.stack(frames[i + 1 - n:i + 1]), axis=0)).all()
+
+
+@pytest.mark.parametrize("low,high", [(-40, 40), (-3, 9), (2, 5), (-9, -2), (0, 0)])
+def test_rank_filter_of_any_window_equals_a_direct_search(low, high):
+    a = np.random.default_rng(3).integers(0, 256, (23, 31)).astype(np.uint8)
+    for take_max in (True, False):
+        want = np.full(a.shape, 0 if take_max else 255, np.uint8)
+        for r in range(23):
+            for c in range(31):
+                rows = a[max(0, r + low):max(0, r + high + 1), max(0, c + low):max(0, c + high + 1)]
+                if rows.size:
+                    want[r, c] = rows.max() if take_max else rows.min()
+        assert (k.rank_filter(a, low, high, take_max) == want).all()
 
 
 def test_disc_rows_shrink_and_cover_the_axis():
