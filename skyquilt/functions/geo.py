@@ -102,4 +102,24 @@ def matmul3(a: Column, b: Column) -> Column:
     )
 
 
+def bound(fn, *values: Column) -> Column:
+    """``fn`` of values that are computed once, however often it names them (a plan would repeat their expressions)."""
+    one = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(one), lambda s: fn(*[s[f"v{i}"] for i in range(len(values))]))[0]
+
+
+def inverse3(a: Column) -> Column:
+    """Row-major 3x3 inverse by cofactors; null where the determinant is 0."""
+    def minor(m: Column, r: int, c: int) -> Column:
+        i, j = [k for k in range(3) if k != r], [k for k in range(3) if k != c]
+        d = m[3 * i[0] + j[0]] * m[3 * i[1] + j[1]] - m[3 * i[0] + j[1]] * m[3 * i[1] + j[0]]
+        return d if (r + c) % 2 == 0 else -d
+
+    def inverse(m: Column) -> Column:
+        det = m[0] * minor(m, 0, 0) + m[1] * minor(m, 0, 1) + m[2] * minor(m, 0, 2)
+        return bound(lambda m, d: F.when(d != 0, F.array(*[minor(m, j, i) / d for i in range(3) for j in range(3)])), m, det)
+
+    return bound(inverse, a)
+
+
 IDENTITY3 = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skyquilt.operators import ordering
@@ -100,3 +100,16 @@ def run_totals(timings: DataFrame) -> DataFrame:
     d = per.rollup("aoi").agg(F.grouping("aoi").alias("_g"), F.sum("frames").alias("frames"), F.sum("total_s").alias("total_s"))
     d = d.withColumn("aoi", F.when(F.col("_g") == 1, "overall").otherwise(F.col("aoi"))).drop("_g")
     return d.withColumn("mean_s", F.when(F.col("frames") > 0, F.col("total_s") / F.col("frames")).otherwise(0.0))
+
+
+def observed_totals(timings: DataFrame, write) -> tuple[DataFrame, dict]:
+    """``timings`` written by ``write(df)``, and the run's totals counted while it is written.
+
+    The counts are an observation on the writing plan, so the overall figures need
+    no second scan: frames, total_s, mean_s (0 for no frame).
+    """
+    seen = Observation("run")
+    kept = timings.observe(seen, F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_s"))
+    out = write(kept)
+    got = seen.get
+    return out, {**got, "mean_s": got["total_s"] / got["frames"] if got["frames"] else 0.0}

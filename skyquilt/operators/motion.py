@@ -172,12 +172,44 @@ def motion_map(magnitude: DataFrame, tile: int, sigma: float = 3.0) -> DataFrame
     return tl.frame_max_scaled(magnitude)
 
 
+def flow_magnitude(tiles: DataFrame, flow: DataFrame) -> DataFrame:
+    """Length of an outside flow field as float32 magnitude tiles.
+
+    ``flow``: aoi, frame, r, c, u, v, a row for each pixel; it meets its tile by the
+    tile's index, which follows from the frame's tile side. Pixels without a row do
+    not move; frames without one have no magnitude.
+    """
+    side = tiles.groupBy("aoi", "frame").agg(F.max("h").alias("_th"), F.max("w").alias("_tw"))
+    at = flow.join(side, ["aoi", "frame"]).select(
+        "aoi", "frame", F.floor(F.col("r") / F.col("_th")).cast("int").alias("ty"), F.floor(F.col("c") / F.col("_tw")).cast("int").alias("tx"),
+        F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.hypot(F.col("u").cast("double"), F.col("v").cast("double")).alias("m")).alias("e"))
+    per_tile = at.groupBy("aoi", "frame", "ty", "tx").agg(F.collect_list("e").alias("e")).select(
+        "aoi", "frame", "ty", "tx", F.col("e.r").alias("_r"), F.col("e.c").alias("_c"), F.col("e.m").alias("_m"))
+    moving = tiles.drop("px").join(flow.select("aoi", "frame").distinct(), ["aoi", "frame"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            px = []
+            for t in pdf.itertuples(index=False):
+                a = np.zeros((t.h, t.w), np.float32)
+                if t.m is not None:
+                    a[np.asarray(t.r) - t.r0, np.asarray(t.c) - t.c0] = t.m
+                px.append(a.tobytes())
+            yield pdf.drop(columns=["r", "c", "m"]).assign(px=px)
+
+    fed = moving.join(per_tile, ["aoi", "frame", "ty", "tx"], "left")
+    fed = fed.select(*[c for c in tl.COLS if c != "px"], *[F.col(f"_{c}").alias(c) for c in ("r", "c", "m")])
+    return fed.mapInPandas(run, tiles.select(*tl.COLS).schema)
+
+
 def estimate(tiles: DataFrame, tile: int, method: str = "block", sigma: float = 3.0, **kw) -> DataFrame:
-    """Motion map of every frame that has a predecessor."""
+    """Motion map of every frame that has a predecessor (``table``: that the table ``flow`` names)."""
     if method == "frame_diff":
         mag = frame_difference(tiles, tile, **kw)
     elif method == "block":
         mag = block_magnitude(tiles, block_motion(tiles, tile, **kw), tile, kw.get("block", 8))
+    elif method == "table":
+        mag = flow_magnitude(tiles, **kw)
     else:
         raise ValueError(f"unsupported motion method: {method}")
     return motion_map(mag, tile, sigma)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquilt import session
-from skyquilt.functions.geo import IDENTITY3, matmul3, project
+from skyquilt.functions.geo import IDENTITY3, bound, inverse3, matmul3, project
 from skyquilt.operators import ordering
 
 FRAME_CHUNK = 4096
@@ -82,6 +82,72 @@ def compose_chain(steps: DataFrame, n: int, full_only: bool = True) -> DataFrame
     )
 
 
+def prefix_products(frames: DataFrame, steps: DataFrame, chunk: int) -> DataFrame:
+    """One matrix per frame: the product of the steps of its chunk up to it.
+
+    Returns aoi, frame, pos, chunk, run, h. ``steps`` (aoi, src_frame, dst_frame, h)
+    join list neighbours. A chunk is ``chunk`` frames; a frame without a step from
+    its predecessor begins the next run of the chunk with the identity (run 0 are
+    the frames that are linked to the chunk before).
+    """
+    p = frame_positions(frames)
+    before = p.select("aoi", (F.col("pos") + 1).alias("pos"), F.col("frame").alias("src_frame"))
+    linked = p.join(before, ["aoi", "pos"], "left").join(
+        steps.select("aoi", "src_frame", F.col("dst_frame").alias("frame"), "h"), ["aoi", "src_frame", "frame"], "left")
+    rows = linked.groupBy("aoi", ordering.by_width("pos", chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "frame", "h"))).alias("s"))
+    eye = F.array(*[F.lit(v) for v in IDENTITY3])
+
+    def onward(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        new = F.when(s["h"].isNull(), F.struct((last["run"] + 1).alias("run"), eye.alias("h"))).otherwise(
+            F.struct(last["run"].alias("run"), matmul3(s["h"], last["h"]).alias("h")))
+        return F.concat(acc, F.array(new))
+
+    start = F.array(F.struct(F.lit(0).alias("run"), eye.alias("h")))
+    made = rows.withColumn("p", F.slice(F.aggregate("s", start, onward), F.lit(2), F.size("s")))
+    return made.select("aoi", "chunk", F.explode(F.arrays_zip("s", "p")).alias("e")).select(
+        "aoi", F.col("e.s.frame").alias("frame"), F.col("e.s.pos").alias("pos"), "chunk", F.col("e.p.run").alias("run"), F.col("e.p.h").alias("h"))
+
+
+def between(prefixes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """H(src -> dst) of ``pairs`` (aoi, src_frame, dst_frame) whose frames lie in one chunk or in two neighbouring ones.
+
+    Two matrices and, across a border, the earlier chunk's last one give it;
+    nothing is folded. Pairs that a missing step parts give no row.
+    """
+    side = lambda name: prefixes.select("aoi", *[F.col(c).alias(f"{name}_{c}") for c in ("frame", "pos", "chunk", "run", "h")])
+    ends = prefixes.groupBy("aoi", F.col("chunk").alias("src_chunk")).agg(F.max_by(F.struct("run", "h"), "pos").alias("end"))
+    d = pairs.select("aoi", "src_frame", "dst_frame").join(side("src"), ["aoi", "src_frame"]).join(side("dst"), ["aoi", "dst_frame"]).join(ends, ["aoi", "src_chunk"])
+    back = inverse3(F.col("src_h"))
+    same = (F.col("src_chunk") == F.col("dst_chunk")) & (F.col("src_run") == F.col("dst_run"))
+    next_ = (F.col("src_chunk") + 1 == F.col("dst_chunk")) & (F.col("src_run") == F.col("end.run")) & (F.col("dst_run") == 0)
+    h = F.when(same, bound(matmul3, F.col("dst_h"), back)).when(next_, bound(matmul3, F.col("dst_h"), bound(matmul3, F.col("end.h"), back)))
+    return d.withColumn("h", h).where("h is not null and src_pos < dst_pos").select(*PAIR, "h")
+
+
+def compose_scan(frames: DataFrame, homographies: DataFrame, n: int) -> DataFrame:
+    """Matrices of all template pairs from those of the ``seeded`` plan, by prefix products.
+
+    A template older than the first step is taken through the first processed
+    frame, to which it was registered.
+    """
+    p = frame_positions(frames)
+    src = p.select("aoi", F.col("frame").alias("src_frame"), F.col("pos").alias("src_pos"))
+    dst = p.select("aoi", F.col("frame").alias("dst_frame"), F.col("pos").alias("dst_pos"))
+    known = session.cut(homographies.select(*PAIR, "h").join(src, ["aoi", "src_frame"]).join(dst, ["aoi", "dst_frame"]).where(F.col("dst_pos") >= n), "registered")
+    prefixes = session.cut(prefix_products(frames, known.where("dst_pos = src_pos + 1"), max(n, 32)), "prefixes")
+    wanted = template_pairs(frames, n).join(src, ["aoi", "src_frame"])
+    late = between(prefixes, wanted.where(F.col("src_pos") >= n - 1))
+    seeds = known.where((F.col("dst_pos") == n) & (F.col("src_pos") < n - 1)).select(
+        "aoi", F.col("src_frame").alias("seed"), F.col("dst_frame").alias("via"), F.col("h").alias("h0"))
+    early = wanted.where(F.col("src_pos") < n - 1).select("aoi", F.col("src_frame").alias("seed"), "dst_frame").join(seeds, ["aoi", "seed"])
+    first = early.where("dst_frame = via").select("aoi", F.col("seed").alias("src_frame"), "dst_frame", F.col("h0").alias("h"))
+    legs = early.where("dst_frame <> via").select("aoi", F.col("via").alias("src_frame"), "dst_frame").distinct()
+    onward = between(prefixes, legs).withColumnRenamed("src_frame", "via").join(early, ["aoi", "via", "dst_frame"])
+    onward = onward.select("aoi", F.col("seed").alias("src_frame"), "dst_frame", bound(matmul3, F.col("h"), F.col("h0")).alias("h"))
+    return late.unionByName(first).unionByName(onward)
+
+
 def compose_seeded(frames: DataFrame, homographies: DataFrame, n: int) -> DataFrame:
     """Matrices of all template pairs from those of the ``seeded`` plan.
 

@@ -266,6 +266,17 @@ def i20_block_motion(spark, sf):
     return mo.block_motion(_tiles(spark, sf), T, 8, 2)
 
 
+@query("i20_flow_table", fx.with_(fx.MOSAIC) + """select aoi, frame, r, c, round(m/max(m) over (partition by aoi, frame), 5) as m from (
+ select aoi, frame, r, c, case when v%7=0 then 0.0e0 else sqrt((v%5)*(v%5)+(v%3+0.5e0)*(v%3+0.5e0)) end as m from mos where frame>0) q""")
+def i20_flow_table(spark, sf):
+    """A flow field from outside: a row for each moving pixel, none for a seventh of them."""
+    t = _tiles(spark, sf)
+    v = F.col("v")
+    flow = px.explode_pixels(t).where("frame > 0 and v % 7 <> 0").select("aoi", "frame", "r", "c", (v % 5).cast("double").alias("u"), (v % 3 + 0.5).alias("v"))
+    d = px.explode_pixels(mo.estimate(t, T, "table", sigma=0, flow=flow), px.unpack_f4, "m")
+    return d.withColumn("m", F.round("m", 5))
+
+
 @query("b15_flow_magnitude", fx.with_(fx.FRAMES) + "select aoi, frame, cast(i as int) as i, round(sqrt(px[2*i+1]*px[2*i+1]+px[2*i+2]*px[2*i+2]),6) as m from fr, (select unnest(range(32)) as i) g")
 def b15_flow_magnitude(spark, sf):
     f = fx.frames(spark, sf).select("aoi", "frame", "px", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))

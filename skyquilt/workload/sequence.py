@@ -91,13 +91,34 @@ def e13_matrix_product(spark, sf):
     return d.withColumn("h", F.transform("h", lambda v: F.round(v, 9)))
 
 
+@query("e13_seeded_products", fx.with_(fx.HOMS, f"""st as (select * from hom where dst_frame>=4),
+seed as (select aoi, src_frame, cast(4 as int) as dst_frame, h from hom where src_frame<3 and aoi in (select aoi from hom where src_frame=4)),
+ch as (
+select aoi, src_frame, dst_frame, h from st
+union all
+select st.aoi, ch.src_frame, st.dst_frame, {_mm('st.h', 'ch.h')} from ch join st on st.aoi=ch.aoi and st.src_frame=ch.dst_frame and st.dst_frame-ch.src_frame<=4),
+al as (select * from ch union all select * from seed union all
+select s.aoi, s.src_frame, c.dst_frame, {_mm('c.h', 's.h')} from seed s join ch c on c.aoi=s.aoi and c.src_frame=4 and c.dst_frame-s.src_frame<=4)""")
+       + "select aoi, src_frame, dst_frame, list_transform(h, lambda v: round(v,7)+0.0e0) as h from al where dst_frame in (select src_frame from hom h2 where h2.aoi=al.aoi)")
+def e13_seeded_products(spark, sf):
+    """Every template pair's matrix from one prefix product per frame."""
+    f = fx.frames(spark, sf).select("aoi", "frame")
+    h = fx.pairs_h(spark, sf)
+    steps = h.where("dst_frame >= 4").join(f.select("aoi", F.col("frame").alias("dst_frame")), ["aoi", "dst_frame"])
+    seeds = h.where("src_frame < 3").withColumn("dst_frame", F.lit(4)).join(f.where("frame = 4").select("aoi"), "aoi", "left_semi")
+    d = sq.compose_scan(f, steps.select(*sq.PAIR, "h").unionByName(seeds.select(*sq.PAIR, "h")), 4)
+    return d.withColumn("h", F.transform("h", lambda v: F.round(v, 7) + F.lit(0.0)))
+
+
 @query("i5_registration_plan", fx.with_(fx.FRAMES) + """select d.aoi, 'direct' as mode, s.frame as src_frame, d.frame as dst_frame
 from fr d join fr s on s.aoi=d.aoi and s.frame between d.frame-3 and d.frame-1 where d.frame>=3
-union all select aoi, 'chained', frame-1, frame from fr where frame>=3""")
+union all select aoi, 'chained', frame-1, frame from fr where frame>=3
+union all select aoi, 'seeded', frame-1, frame from fr where frame>=3
+union all select aoi, 'seeded', cast(k as int), frame from fr, (select unnest(range(2)) as k) g where frame=3""")
 def i5_registration_plan(spark, sf):
     f = fx.frames(spark, sf)
-    parts = [sq.registration_plan(f, 3, m).withColumn("mode", F.lit(m)) for m in ("direct", "chained")]
-    return parts[0].unionByName(parts[1]).select("aoi", "mode", "src_frame", "dst_frame")
+    parts = [sq.registration_plan(f, 3, m).withColumn("mode", F.lit(m)) for m in ("direct", "chained", "seeded")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("aoi", "mode", "src_frame", "dst_frame")
 
 
 # Keypoints: four per frame, described by the sign bits of 16 values each.

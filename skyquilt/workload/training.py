@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyquilt import session
 from skyquilt.functions import arrays, sql as sqlf
 from skyquilt.operators import evaluate as evl, labels, roads, samples as sm
 from skyquilt.workload import fixtures as fx
@@ -211,6 +212,17 @@ def e17_run_totals(spark, sf):
     return d.withColumn("total_s", F.round("total_s", 4)).withColumn("mean_s", F.round("mean_s", 6))
 
 
+@query("e17_observed_totals", """with q as (select event_type as aoi, value as seconds from events)
+select aoi, count(*) as frames, round(sum(seconds),4) as total_s from q group by 1 union all select 'overall', count(*), round(sum(seconds),4) from q""")
+def e17_observed_totals(spark, sf):
+    """Per-AOI totals from the table just written; the overall row was observed on the write."""
+    t = fx.table(spark, sf, "events").select(F.col("event_type").alias("aoi"), F.col("value").alias("seconds"))
+    written, run = evl.observed_totals(t, lambda d: session.cut(d, "timings"))
+    per = written.groupBy("aoi").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("seconds"), 4).alias("total_s"))
+    whole = per.limit(0).unionByName(spark.createDataFrame([("overall", run["frames"], round(run["total_s"], 4))], per.schema))
+    return per.unionByName(whole)
+
+
 @query("e19_mask_quality", fx.with_(fx.PIXELS) + """select round(tp/cast(tp+fp as double),9) as precision, round(tp/cast(tp+fn as double),9) as recall, round((tp+tn)/cast(tp+tn+fp+fn as double),9) as accuracy from (
 select count(*) filter (where v/255.0e0>0.5e0 and v%3>0) as tp, count(*) filter (where v/255.0e0>0.5e0 and v%3=0) as fp, count(*) filter (where v/255.0e0<=0.5e0 and v%3>0) as fn,
  count(*) filter (where v/255.0e0<=0.5e0 and v%3=0) as tn from pix) q""")

@@ -339,6 +339,8 @@ def test_seeded_chain_gives_every_template_pair(spark, noise):
     want = {tuple(r) for r in sq.registration_plan(frames, n, "direct").collect()}
     assert set(got) == want and all(got[k] == shift(k[1], k[2]) for k in want)
     assert sq.compose_seeded(frames, made, n).count() == len(want)
+    scan = {(r.aoi, r.src_frame, r.dst_frame): r.h for r in sq.compose_scan(frames, made, n).collect()}
+    assert set(scan) == want and all(np.allclose(scan[k], shift(k[1], k[2])) for k in want)
 
     t = images.to_tiles(_frames(spark, noise[:n + 1]), 16)  # one frame is processed
     own = t.select("aoi", "frame").distinct()
@@ -349,6 +351,25 @@ def test_seeded_chain_gives_every_template_pair(spark, noise):
     assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {n}
 
 
+def test_prefix_products_cross_chunks_and_stop_at_missing_steps(spark):
+    rng = np.random.default_rng(6)
+    mats = {k: np.eye(3) + rng.normal(0, 0.05, (3, 3)) for k in range(1, 40) if k not in (7, 8, 21)}
+    frames = spark.createDataFrame([("a", 3 * k) for k in range(40)], "aoi string, frame int")
+    steps = spark.createDataFrame([("a", 3 * k - 3, 3 * k, m.ravel().tolist()) for k, m in mats.items()], "aoi string, src_frame int, dst_frame int, h array<double>")
+    pairs = [(s, t) for t in range(40) for s in range(max(0, t - 8), t)]
+    want = {}
+    for s, t in pairs:
+        if all(k in mats for k in range(s + 1, t + 1)):
+            m = np.eye(3)
+            for k in range(s + 1, t + 1):
+                m = mats[k] @ m
+            want[3 * s, 3 * t] = m
+    asked = spark.createDataFrame([("a", 3 * s, 3 * t) for s, t in pairs], "aoi string, src_frame int, dst_frame int")
+    for chunk in (8, 11, 64):
+        got = {(r.src_frame, r.dst_frame): np.array(r.h).reshape(3, 3) for r in sq.between(sq.prefix_products(frames, steps, chunk), asked).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_moving_square_is_found(spark):
     """A bright square on a textured background: one region at its place."""
     rng = np.random.default_rng(7)
