@@ -46,9 +46,9 @@ class Encoder(dict):
     A byte-level splitter never joins what precedes a single space with what
     follows it, so such texts are encoded word by word. A text with other white
     space before a space, or with one of the file's added tokens, is encoded as
-    a whole. A word of Latin letters is one
-    piece of that splitter, which the library's model takes directly; a full
-    stop or comma after it is a piece of its own.
+    a whole. In a word of Latin letters, ASCII digits and ASCII punctuation the
+    splitter's pieces are runs of each kind, which the library's model takes
+    directly; a single line break between two such words is a piece of its own.
     """
 
     def __init__(self, path: str):
@@ -63,13 +63,17 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.runs = re.compile(r"\s ").search
-        self.plain = re.compile(f"([A-Za-z{LATIN}]+)").fullmatch
+        self.plain = re.compile(f"[A-Za-z{LATIN}]+").fullmatch
+        self.simple = re.compile(f"[!-~{LATIN}]+").fullmatch
+        # the splitter's rule on such words: short forms, then runs with the space before them
+        self.runs_of = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^A-Za-z{LATIN}0-9 ]+").findall
         self.by_word = self._parts_at_spaces()
         if self.by_word:
             split = self.tokenizer.pre_tokenizer.pre_tokenize_str
             self.letters = {ord(c): split(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if self.plain(c)}
-            self.space = split(" ")[0][0]
-            self.marks = {c: self._whole(c) for c in ".,"} | {"": b""}
+            self.letters[32] = split(" ")[0][0]
+            self.line = self._whole("\n")
+            self.pieces: dict[str, bytes] = {}
 
     def _parts_at_spaces(self) -> bool:
         """Whether the file is byte-level with no normalizer and no added prefix, as the rule above needs."""
@@ -80,20 +84,32 @@ class Encoder(dict):
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        made = self.pieces.get(piece)
+        if made is None:
+            made = array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+            if len(piece) < 5:  # longer ones are kept with their word, if at all
+                self.pieces[piece] = made
+        return made
+
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
-        letters, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if not ((letters.isascii() and letters.isalpha()) or self.plain(letters)):
+        if self.plain(word):
+            return array(self.code, [t.id for t in self.model.tokenize(f" {word}".translate(self.letters))]).tobytes()
+        lines = word.split("\n")
+        if not all(map(self.simple, lines)):
             return self._whole(f" {word}")
-        if mark and (known := self.get(letters) or self.older.get(letters)):
-            return known + self.marks[mark]
-        piece = self.space + (letters if letters.isascii() else letters.translate(self.letters))
-        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes() + self.marks[mark]
+        out = [b"".join(map(self._piece, self.runs_of(f" {lines[0]}")))]
+        for line in lines[1:]:
+            out.append(self.line)
+            out.extend(map(self._piece, self.runs_of(line)))
+        return b"".join(out)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:  # two generations: words in use are carried over
             self.older = dict(self)
             self.clear()
+            self.pieces.clear()
         made = self.older.get(word)
         self[word] = made = self._word(word) if made is None else made
         return made
@@ -306,12 +322,12 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None) -> TokenF
 
 
 def _digest_row(r, start: int, ids: np.ndarray) -> tuple:
-    return None if pd.isna(r.doc_id) else int(r.doc_id), int(r.repeat), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+    return None if pd.isna(r.doc_id) else int(r.doc_id), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(r.repeat)
 
 
 def digests(made: TokenFiles) -> DataFrame:
-    """``(doc_id, repeat, start, n_tokens, ids_crc32)`` of every document, read back through the index."""
-    schema = "doc_id long, repeat long, start long, n_tokens long, ids_crc32 long"
+    """``(doc_id, start, n_tokens, ids_crc32, repeat)`` of every document, read back through the index."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, repeat long"
     keyed = made.lookup(made.entries)
     unkeyed = made.entries.filter("doc_id is null")
     return made.read(keyed.unionByName(unkeyed), schema, _digest_row)
