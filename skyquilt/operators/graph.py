@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +23,28 @@ from skyquilt.functions import kernels
 STEP = 1_000_000
 
 
-def _star(held: list[np.ndarray]) -> pa.RecordBatch:
-    nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
-    a, b = at.reshape(2, -1)
-    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[kernels.merge_labels(len(nodes), a, b)])], ["node", "root"])
+def _star(held: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+    both = pa.chunked_array([a for a, _ in held] + [b for _, b in held]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    nodes = both.dictionary.take(pa.array(order))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    a, b = place[both.indices.to_numpy()].reshape(2, -1)
+    return pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(kernels.merge_labels(len(nodes), a, b)))], ["node", "root"])
 
 
 def _stars(step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[pa.Array, pa.Array]] = []
+        size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                if held and sum(h.shape[1] for h in held) + part.num_rows > step:
+                if held and size + part.num_rows > step:
                     yield _star(held)
-                    held = []
-                held.append(np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()]))
+                    held, size = [], 0
+                held.append((part.column(0), part.column(1)))
+                size += part.num_rows
         if held:
             yield _star(held)
 
@@ -45,13 +52,14 @@ def _stars(step: int):
 
 
 def components(links: DataFrame, step: int = STEP) -> DataFrame:
-    """``(node, root)`` for each node of ``links(a, b)`` (longs): ``root`` is the least node of its component.
+    """``(node, root)`` for each node of ``links(a, b)`` (longs or strings, not null): ``root`` is the least node of its component.
 
     No rows: no rows. A link of a node to itself names the node. Each level is a
     written table. A level's nodes are the centres of the one before, and links that
     fit in one task end it, so levels grow with the logarithm of the links.
     """
-    stars = session.cut(links.select("a", "b").mapInArrow(_stars(step), "node long, root long"), "stars")
+    kind = dict(links.dtypes)["a"]
+    stars = session.cut(links.select("a", "b").mapInArrow(_stars(step), f"node {kind}, root {kind}"), "stars")
     spread = stars.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     met = stars.join(spread.filter("least <> most").select("node", "least"), "node").filter("root <> least")
     met = session.cut(met.select(F.col("root").alias("a"), F.col("least").alias("b")).distinct(), "met")

@@ -116,6 +116,8 @@ def test_graph_components_of_any_shape(spark, step):
     df = spark.createDataFrame([links[i] for i in order], "a long, b long").repartition(6)
     got = graph.components(df, step).collect()
     assert sorted(map(tuple, got)) == sorted((i, find(i)) for i in list(parent))
+    text = graph.components(df.selectExpr("lpad(a, 6, '0') as a", "lpad(b, 6, '0') as b"), step).collect()
+    assert sorted((int(a), int(b)) for a, b in text) == sorted(map(tuple, got))
     assert graph.components(df.limit(0), step).collect() == []
 
 
