@@ -29,9 +29,10 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, epochs:
     """``(source, rate)``: mean copies a document of the source needs.
 
     ``targets(source, weight)`` holds relative weights; sources it does not name
-    get weight 0. Without it every source weighs the same. ``epochs`` times the
-    characters of all documents are shared out. A source without characters
-    keeps the rate ``epochs``.
+    get weight 0 and with it rate 0; if it names none of them, or all with 0, every
+    rate is 0. Without it every source weighs the same. ``epochs`` times the
+    characters of all documents are shared out. A source with a weight but without
+    characters keeps the rate ``epochs``.
     """
     sums = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
     if targets is None:
@@ -41,8 +42,9 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, epochs:
         sums = sums.join(weights, F.col("source").eqNullSafe(F.col("target")), "left").drop("target").fillna(0.0, ["weight"])
     total = sums.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     sums = sums.join(F.broadcast(total))  # one row
-    rate = F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars") * F.lit(float(epochs))
-    return sums.select("source", F.when(F.col("chars") > 0, rate).otherwise(F.lit(float(epochs))).alias("rate"))
+    rate = F.try_divide("weight", "all_weight") * F.col("all_chars") / F.col("chars") * F.lit(float(epochs))
+    rate = F.when(F.col("weight") <= 0, 0.0).when(F.col("chars") > 0, rate).otherwise(F.lit(float(epochs)))
+    return sums.select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def cumulative(rates: DataFrame) -> DataFrame:

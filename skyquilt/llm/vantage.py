@@ -23,10 +23,12 @@ from skyquilt.llm.queries import query, table
 K = 20
 SHARD = 16_384
 LEAF = 256
-#: Candidates beyond k that are kept, as distances are rounded before scores are computed.
-SPARE = 8
+#: Share of the squared lengths by which distances may be wrong: rows that near the k-th are compared by their exact scores.
+SLACK = 1e-12
 FACTOR = 2.0
 BLOCK = 256
+#: Pairs scored at once.
+STEP = 8_192
 QUERIES_PER_TASK = 8_192
 
 
@@ -55,16 +57,22 @@ class Tree:
         self.nodes[at] = (lo, hi, far, left, d[0], d[middle - 1], right, d[middle], d[-1])
         return at
 
-    def finish(self) -> None:
-        """Rows in the tree's order, so that a leaf is one slice."""
+    def finish(self, vectors: np.ndarray, least_id: np.ndarray, square: float) -> None:
+        """Rows in the tree's order, so that a leaf is one slice, with their vectors and least ids."""
         self.sorted = self.x[self.order]
         self.square = (self.sorted ** 2).sum(1)
+        self.vectors, self.least_id, self.longest = vectors[self.order], least_id[self.order], square
 
     def search(self, q: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """Rows of the k nearest found for each query (-1 where there are fewer)."""
-        self.q, self.q_square, self.factor = q, (q ** 2).sum(1), factor
-        self.best = np.full((len(q), k), np.inf)
+        """Rows of the k best found for each query (-1 where there are fewer): highest score first, ties to the smaller id."""
+        self.raw, self.factor = q, factor
+        self.q = np.concatenate([q, np.zeros((len(q), 1))], 1)
+        self.q_square = (q ** 2).sum(1)
+        self.slack = SLACK * (self.q_square + self.longest)
+        self.best = np.full((len(q), k), -np.inf)
+        self.names = np.full((len(q), k), np.iinfo(np.int64).max)
         self.found = np.full((len(q), k), -1, np.int64)
+        self.reach2 = np.full(len(q), np.inf)  # squared distance of the k-th, with its slack
         self.reach = np.full(len(q), np.inf)
         self.seen = 0
         self._visit(0, np.arange(len(q)))
@@ -74,22 +82,24 @@ class Tree:
         k = self.best.shape[1]
         self.seen += len(who) * (hi - lo)
         d = self.q_square[who, None] + self.square[None, lo:hi] - 2 * (self.q[who] @ self.sorted[lo:hi].T)
-        row, col = np.nonzero(d < self.reach[who, None] ** 2)
+        row, col = np.nonzero(d <= self.reach2[who, None])
         if not len(row):
             return
-        # the few rows within reach join the candidates; each query keeps its k least
+        # rows within reach are scored exactly and join the candidates; each query keeps its k best
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        new = np.full((len(who), int(rank.max()) + 1), np.inf)
-        names = np.full(new.shape, -1, np.int64)
-        new[row, rank] = np.sqrt(np.maximum(d[row, col], 0))
-        names[row, rank] = self.order[lo + col]
+        shape = len(who), int(rank.max()) + 1
+        score, name, at = np.full(shape, -np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, -1, np.int64)
+        for i in range(0, len(row), STEP):
+            r, c, n = row[i:i + STEP], lo + col[i:i + STEP], rank[i:i + STEP]
+            score[r, n] = (self.raw[who[r]] * self.vectors[c]).sum(1)
+            name[r, n], at[r, n] = self.least_id[c], self.order[c]
         use = np.unique(row)
         mine = who[use]
-        every = np.concatenate([self.best[mine], new[use]], 1)
-        pick = np.argpartition(every, k - 1, 1)[:, :k]
-        self.best[mine] = np.take_along_axis(every, pick, 1)
-        self.found[mine] = np.take_along_axis(np.concatenate([self.found[mine], names[use]], 1), pick, 1)
-        self.reach[mine] = self.best[mine].max(1)
+        score, name, at = (np.concatenate([old[mine], new[use]], 1) for old, new in ((self.best, score), (self.names, name), (self.found, at)))
+        pick = np.lexsort((name, -score), axis=1)[:, :k]
+        self.best[mine], self.names[mine], self.found[mine] = (np.take_along_axis(x, pick, 1) for x in (score, name, at))
+        self.reach2[mine] = np.maximum(self.q_square[mine] + self.longest - 2 * self.best[mine, -1], 0) + self.slack[mine]
+        self.reach[mine] = np.sqrt(self.reach2[mine])
 
     def _visit(self, at: int, who: np.ndarray) -> None:
         node = self.nodes[at]
@@ -105,7 +115,7 @@ class Tree:
                 go = mine if first else ~mine
                 child, low, high = side
                 bound = np.maximum(np.maximum(low - d, d - high), 0)
-                use = who[go & (bound * self.factor < self.reach[who])]
+                use = who[go & (bound * self.factor <= self.reach[who])]
                 if len(use):
                     self._visit(child, use)
 
@@ -120,22 +130,19 @@ def _extended(x: np.ndarray, square: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(square - (x ** 2).sum(1), 0))[:, None]], 1)
 
 
-def _grow(square: float):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(part["v"].tolist(), np.float64)
-        tree = Tree(_extended(x, square))
-        tree.finish()
-        blob = pickle.dumps((tree, x, [np.sort(np.array(i, np.int64)) for i in part["ids"]]), 5)
-        return pd.DataFrame({"shard": part["shard"].iloc[:1], "tree": [blob]})
-
-    return run
+def _grow(part: pd.DataFrame) -> pd.DataFrame:
+    x, square = np.array(part["v"].tolist(), np.float64), float(part["square"].iloc[0])
+    names = [np.sort(np.array(i, np.int64)) for i in part["ids"]]
+    tree = Tree(_extended(x, square))
+    tree.finish(x, np.array([n[0] for n in names], np.int64), square)
+    return pd.DataFrame({"shard": part["shard"].iloc[:1], "tree": [pickle.dumps((tree, x, names), 5)]})
 
 
 def _search(k: int, factor: float):
     def answers(state, ids: list[int], vectors: list) -> pd.DataFrame:
         tree, x, names = state
         q = np.array(vectors, np.float64)
-        found = tree.search(np.concatenate([q, np.zeros((len(q), 1))], 1), k + 1 + SPARE, factor)
+        found = tree.search(q, k + 1, factor)  # one may be the query's own
         out = []
         for i, me in enumerate(ids):
             rows = found[i][found[i] >= 0]
@@ -171,19 +178,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     ``vectors`` and ``queries`` hold ``vec_id, embedding``. Ranks start at 1, ties
     go to the smaller vec_id; a query with fewer candidates has fewer rows.
     Vectors that are null, empty, zero or hold null or non-finite components take
-    no part, nor do ids that are null or lengths other than the longest. Equal vectors are
-    searched as one. Repeated ids are answered and found once per distinct
+    no part, nor do ids that are null. Vectors of different lengths are searched
+    apart. Equal vectors are searched as one. Repeated ids are answered and found once per distinct
     vector. Empty tables give no rows.
     """
     schema = "query_id long, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("query_id").isNotNull())
-    length = F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a)
-    facts = rows.agg(F.max(F.size("v")).alias("dim"), F.max(length).alias("square")).first()
+    asked = asked.dropDuplicates(["query_id", "v"])
     spark = vectors.sparkSession
-    if facts.dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = rows.filter(F.size("v") == facts.dim), asked.filter(F.size("v") == facts.dim).dropDuplicates(["query_id", "v"])
     # a query needs k other ids at most, so of equal vectors the k + 1 least ids stand for all; salted, as one vector may be very common
     ids = rows.select("id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")).distinct()
     for salt in (F.pmod(F.xxhash64("id"), F.lit(64)), F.lit(0)):
@@ -192,11 +195,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     groups = ids.groupBy("h", "g").agg(F.collect_list("id").alias("ids"), F.min("id").alias("id"))
     distinct = groups.join(rows.dropDuplicates(["id", "v"]), "id").filter((F.xxhash64("v") == F.col("h")) & (F.xxhash64(F.lit(1), "v") == F.col("g")))
     kept = session.cut(distinct.select("ids", "v", "h"), "vectors")
-    shards = max(1, -(-kept.count() // shard))
-    placed = kept.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    trees = session.cut(placed.groupBy("shard").applyInPandas(_grow(float(facts.square)), "shard int, tree binary"), "trees")
+    # a row for each length that occurs: its longest vector, and the numbers of its shards
+    length = F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a)
+    before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)
+    dims = kept.groupBy(F.size("v").alias("dim")).agg(F.max(length).alias("square"), F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    dims = session.cut(dims.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int")), "lengths")
+    if dims.limit(1).count() == 0:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    placed = kept.join(dims, F.size("v") == F.col("dim")).withColumn("shard", (F.col("first") + F.pmod("h", F.col("shards"))).cast("int"))
+    trees = session.cut(placed.select("shard", "square", "ids", "v").groupBy("shard").applyInPandas(_grow, "shard int, tree binary"), "trees")
     blocks = max(1, -(-asked.count() // QUERIES_PER_TASK))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = asked.join(dims, F.size("v") == F.col("dim"))
+    every = F.explode(F.sequence("first", F.col("first") + F.col("shards") - 1)).alias("shard")
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     # each block of queries meets each shard's tree once; within a task the tree comes first
     work = trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree",

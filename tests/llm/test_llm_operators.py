@@ -110,7 +110,8 @@ def test_token_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_CHARS", 16)
     docs = odd(spark, *[(9, "same words", None, None, None)] * 5)
     made = token_files.write(docs, token_files.public_vocabulary())
-    got = sorted((tuple(r) for r in token_files.digests(made).collect()), key=lambda r: r[2])
+    got = sorted((tuple(r) for r in token_files.digests(made).select("doc_id", "repeat", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[2])
+    assert token_files.digests(made).columns == ["doc_id", "start", "n_tokens", "ids_crc32", "repeat"]
     enc = token_files.Encoder(token_files.public_vocabulary())
     assert [r[0] for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda d: (d is not None, d))
     assert [r[2] for r in got] == [sum(x[3] for x in got[:i]) for i in range(len(got))]
@@ -125,6 +126,22 @@ def test_token_files_round_trip(spark, monkeypatch):
     assert token_files.digests(token_files.write(docs.limit(0), token_files.public_vocabulary())).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_any_text(name):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    kinds = ["a", "B", "é", "ÿ", "×", "÷", "\n", "\n", " ", " ", "'", "'s", "'ll", "'S", "1", "23", ".", ",", "!?", "ß", "_", "\t", "\x00", "中", "\u00a0", "<|", "it"]
+    path = public_tokenizers.path(name)
+    enc, plain = token_files.Encoder(path), Tokenizer.from_file(path)
+    for _ in range(6_000):
+        text = "".join(rng.choice(kinds) for _ in range(rng.randint(1, 30)))
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 # 3
 def test_site_posteriors(spark):
     got = QUERIES["op3_site_posteriors"](spark, SF)
@@ -200,6 +217,28 @@ def test_vantage_trees(spark):
     assert vantage.nearest(df.limit(5), df.limit(1)).count() == 4
 
 
+def test_vantage_trees_break_ties_by_id_and_search_each_length_apart(spark):
+    rows = [(100 + i, [1.0, float(i % 9 - 4), 0.5 * (i % 5)]) for i in range(400)]  # 400 vectors with one inner product
+    rows += [(i, [1.0, 0.25 * (i % 3), float(i)]) for i in range(1, 30)] + [(600 + i, [float(i + 1), 1.0]) for i in range(30)] + [(700, [0.0, 1.0, 2.0, 5.0]), (500, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (16_384, 100):
+        got = vantage.nearest(df, df.filter("vec_id in (500, 600, 700, 601)"), factor=1.0, shard=shard).collect()
+        found = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (500, 600, 700, 601)}
+        assert found[500] == [(i, 1.0) for i in [*range(1, 21)]] and found[700] == []
+        for q in (600, 601):
+            me = dict(rows)[q]
+            want = sorted((-(me[0] * v[0] + me[1] * v[1]), i) for i, v in rows if len(v) == 2 and i != q)[:20]
+            assert found[q] == [(i, -s) for s, i in want]
+
+
+def test_mixing_by_targets_that_name_no_source_gives_no_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 2], 6) for i in range(20)] + [(99, "", "en", "c", 0)], DOCS)
+    for weights in ([("z", 1.0)], [("a", 0.0), ("b", 0.0)]):
+        assert mixing.replicate(docs, spark.createDataFrame(weights, "source string, weight double")).count() == 0
+    some = mixing.replicate(docs, spark.createDataFrame([("a", 2.0), ("z", 9.0)], "source string, weight double"))
+    assert {r.source for r in some.collect()} == {"a"}
+
+
 # 6
 def test_qgram_decontamination(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
