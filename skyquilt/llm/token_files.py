@@ -84,22 +84,28 @@ class Encoder(dict):
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _made(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         made = self.pieces.get(piece)
         if made is None:
-            made = array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
-            if len(piece) < 5:  # longer ones are kept with their word, if at all
-                self.pieces[piece] = made
+            if len(self.pieces) >= CACHE_WORDS // 4:
+                self.pieces.clear()
+            self.pieces[piece] = made = self._made(piece)
         return made
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
         if self.plain(word):
-            return array(self.code, [t.id for t in self.model.tokenize(f" {word}".translate(self.letters))]).tobytes()
+            return self._made(f" {word}")
+        if word[-1:] in (".", ",") and (known := self.get(word[:-1]) or self.older.get(word[:-1])) and self.plain(word[:-1]):
+            return known + self._piece(word[-1])
         lines = word.split("\n")
         if not all(map(self.simple, lines)):
             return self._whole(f" {word}")
-        out = [b"".join(map(self._piece, self.runs_of(f" {lines[0]}")))]
+        known = (self.get(lines[0]) or self.older.get(lines[0])) if len(lines) > 1 else None
+        out = [known or b"".join(map(self._piece, self.runs_of(f" {lines[0]}")))]
         for line in lines[1:]:
             out.append(self.line)
             out.extend(map(self._piece, self.runs_of(line)))
