@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import kernels
-from skyquilt.operators import background as bg, tiles as tl
+from skyquilt.operators import background as bg, ordering, tiles as tl
 
 CHANNELS = 4
 SCREEN_HALF, WINDOW_HALF = 10, 22
