@@ -1,391 +1,558 @@
-"""A hierarchical Pitman-Yor language model.
-
-Each context, one of CONTEXTS hashed classes of the word before or the start of
-a text, is a restaurant over words; all share one parent restaurant, whose base
-is uniform over the vocabulary and one unknown word. A Gibbs sweep takes the
-customers of each word out of a restaurant and seats them anew, one by one, given
-the tables of all other words; the new tables are the parent's customers. Words
-are independent given the restaurants' totals, so a sweep is one pass over the
-words, and only the totals pass from sweep to sweep. Predictive probabilities
-are averaged over the sweeps after the first.
+"""A hierarchical Pitman-Yor language model with a restaurant for every observed context.
+
+The context of a token is the word before it; the first token of a text follows
+the end of a text. Each context is a restaurant over words; all share one parent
+restaurant, whose base is uniform over the vocabulary and one unknown word. A
+Gibbs sweep takes the customers of each pair of context and word out of the
+restaurant and seats them anew, one by one, given the tables of all other words
+there; the new tables are the parent's customers, and are seated in the same way.
+Predictive probabilities are averaged over the sweeps after the first.
+
+Texts become blocks of tokens with a vocabulary of their own. Pairs go to buckets
+by context (a frequent context is dealt out by word too), words go to buckets by
+hash; a sweep exchanges, for the words of a bucket of pairs, sums of tables for
+totals. A pair met once has one table whatever is sampled, so only the others are
+kept. The random numbers of a pair follow from the pair and the sweep, so a block
+needs its pairs' counts and its words' totals of each sweep to find the tables
+again. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt import session
+from skyquilt.llm.memory import tidy
 from skyquilt.llm.queries import query, table
 from skyquilt.llm.text import words
 
-CONTEXTS = 128
-START = CONTEXTS
-ALL = CONTEXTS + 1
-#: A token that no text holds as a word.
+#: A token that no text holds as a word: the end of a text, and the context of its first token.
 END = b"\n"
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
-#: Words whose probabilities every task holds, at most: FREQUENT * ALL numbers of 4 bytes, whatever the corpus. The others are joined.
-FREQUENT = 65_536
 #: Customers beyond this many are seated in groups of 1/64 of those seated.
 SINGLY = 64
-FLUSH_WORDS, FLUSH_TOKENS = 300_000, 4_000_000
-COUNTED = "word binary, n long, classes binary, counts binary"
-STATE = COUNTED + ", tables binary, total_tables binary, customers array<long>, parent_tables array<long>"
+#: Frequent words that all tasks know, at most: 12 bytes each, sent as two bytes instead of eight.
+FREQUENT = 65_536
+BLOCK_TOKENS = 2_000_000
+#: Tokens, and words of blocks, for each bucket of pairs and of words.
+BUCKET_TOKENS, BUCKET_WORDS = 1_500_000, 1_000_000
+LEAST_BUCKETS = 48
+#: A frequent context's pairs are dealt to a bucket for each so many tokens.
+PART_TOKENS = 250_000
 
+BLOCK, TABLE, ONCE, SUMS, STATE, ANSWER, PAIRS, WORDS = range(8)
+SCHEMA = "key long, kind int, src long, a binary, b binary, c binary, d binary, e binary, sums array<double>"
+COLUMNS = ["key", "kind", "src", "a", "b", "c", "d", "e", "sums"]
 
-def context(word: bytes) -> int:
-    return zlib.crc32(word) % CONTEXTS
 
+def number(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
-class _Numbers(dict):
-    """Numbers words as they come; keeps each one's context class."""
 
-    def __init__(self):
-        super().__init__()
-        self.classes: list[int] = []
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in (0, 1) that follow from key and step."""
+    x = _mix(key + np.uint64(step * 0x9E3779B97F4A7C15 % 2 ** 64))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(_mix(u) + w)
+
+
+def _put(values: np.ndarray, kind: str) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, kind).tobytes())
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.classes.append(context(word))
-        return at
 
+def _get(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _row(key: int, kind: int, src: int, *parts: bytes, sums: list[float] | None = None) -> tuple:
+    return (key, kind, src, *parts, *[None] * (5 - len(parts)), sums)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS)
+
+
+class Frequent:
+    """The most frequent words in order of their hashes, and how often they occur."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, part: int):
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.part = hashes[order], counts[order], part
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
+    def parts(self, h: np.ndarray) -> np.ndarray:
+        """Buckets over which each context's pairs are dealt."""
+        at, hit = self.find(h)
+        out = np.ones(len(h), np.uint64)
+        out[hit] += (self.counts[at[hit]] // self.part).astype(np.uint64)
+        return out
+
+    def put(self, h: np.ndarray) -> bytes:
+        at, hit = self.find(h)
+        return len(h).to_bytes(8, "little") + _put(np.frombuffer(
+            np.packbits(hit).tobytes() + at[hit].astype("<u2").tobytes() + h[~hit].astype("<u8").tobytes(), np.uint8), "u1")
+
+    def get(self, data: bytes) -> np.ndarray:
+        n, raw = int.from_bytes(data[:8], "little"), _get(data[8:], "u1")
+        cut = (n + 7) // 8
+        hit = np.unpackbits(raw[:cut], count=n).astype(bool)
+        middle = cut + 2 * int(hit.sum())
+        out = np.empty(n, np.uint64)
+        out[hit] = self.hashes[raw[cut:middle].view("<u2")] if hit.any() else 0
+        out[~hit] = np.frombuffer(raw[middle:].tobytes(), "<u8")
+        return out
 
-def _packed(names: list[bytes], group: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-    """One row per word from its pairs, which are sorted by group."""
-    edge = np.searchsorted(group, np.arange(len(names) + 1))
-    u, c = classes.astype(np.uint8).tobytes(), counts.astype("<u4").tobytes()
-    total = np.add.reduceat(counts, edge[:-1]) if len(names) else np.zeros(0, np.int64)
-    cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-    return pd.DataFrame({"word": names, "n": total, "classes": [u[i:j] for i, j in cuts], "counts": [c[4 * i:4 * j] for i, j in cuts]})
-
-
-def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    numbers, ids, starts, size = _Numbers(), [], [], 0
-
-    def flush() -> pd.DataFrame:
-        word = np.concatenate(ids)
-        before = np.concatenate([[START], np.array(numbers.classes)[word[:-1]]])
-        before[np.array(starts)] = START
-        key, count = np.unique(word * 256 + before, return_counts=True)
-        return _packed(list(numbers), key >> 8, key & 255, count)
-
-    for part in parts:
-        for text in part["text"]:
-            ws = words(text)
-            ws.append(END)
-            starts.append(size)
-            ids.append(np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws)))
-            size += len(ws)
-            if len(numbers) > FLUSH_WORDS or size > FLUSH_TOKENS:
-                yield flush()
-                numbers, ids, starts, size = _Numbers(), [], [], 0
-    if ids:
-        yield flush()
-
-
-def _flat(column: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all rows of a binary column, and how many each row has."""
-    return np.frombuffer(b"".join(column), kind), np.array([len(x) for x in column], np.int64) // np.dtype(kind).itemsize
-
-
-def _split(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    raw, width = values.tobytes(), values.dtype.itemsize
-    edge = np.concatenate([[0], np.cumsum(sizes)]) * width
-    return [raw[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-
-
-def _merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a word come one after the other; they become one row."""
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        number = (rows["word"] != rows["word"].shift()).cumsum().to_numpy() - 1
-        classes, sizes = _flat(rows["classes"], "u1")
-        counts, _ = _flat(rows["counts"], "<u4")
-        key, at = np.unique(np.repeat(number, sizes) * 256 + classes, return_inverse=True)
-        return _packed(rows["word"][~rows["word"].duplicated()].tolist(), key >> 8, key & 255, np.bincount(at, counts).astype(np.int64))
-
-    carried = None
-    for part in parts:
-        if not len(part):
-            continue
-        rows = merged(part if carried is None else pd.concat([carried, part], ignore_index=True))
-        yield rows.iloc[:-1]
-        carried = rows.iloc[-1:]
-    if carried is not None:
-        yield carried
-
-
-def seat(count: np.ndarray, tables_of_others: np.ndarray, discount: float, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+
+def _binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
+    """Binomial numbers by inversion; rounded normal ones where the variance is above 50."""
+    u = _uniform(key, step)
+    out = (u < p).astype(np.int64)
+    spread = n * p * (1 - p)
+    wide = np.flatnonzero((n > 1) & (spread > 50))
+    if len(wide):
+        z = np.sqrt(-2 * np.log(u[wide])) * np.cos(2 * np.pi * _uniform(key[wide], ~step & 0xFFFFFF))
+        out[wide] = np.clip(np.rint(n[wide] * p[wide] + z * np.sqrt(spread[wide])), 0, n[wide]).astype(np.int64)
+    few = np.flatnonzero((n > 1) & (spread <= 50))
+    if len(few):
+        flip = p[few] > 0.5
+        size, q, left = n[few].astype(np.float64), np.where(flip, 1 - p[few], p[few]), u[few].copy()
+        mass, x, live = np.exp(size * np.log1p(-q)), np.zeros(len(few)), np.arange(len(few))
+        while len(live):
+            live = live[(left[live] > mass[live]) & (x[live] < size[live])]
+            left[live] -= mass[live]
+            mass[live] *= (size[live] - x[live]) / (x[live] + 1) * q[live] / (1 - q[live])
+            x[live] += 1
+        out[few] = np.where(flip, size - x, x).astype(np.int64)
+    return out
+
+
+def seat(count: np.ndarray, tables_of_others: np.ndarray, discount: float, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Tables after seating ``count`` customers of a word, each at a new table or one of the word's by the restaurant's rule."""
-    seated, tables = np.ones(len(count), np.int64), np.ones(len(count), np.int64)
     out = np.ones(len(count), np.int64)
     live = np.flatnonzero(count > 1)
-    count, others, parent, seated, tables = count[live], tables_of_others[live], parent[live], seated[live], tables[live]
+    count, others, parent, key = count[live], tables_of_others[live], parent[live], key[live]
+    seated, tables, turn = np.ones(len(live), np.int64), np.ones(len(live), np.int64), 0
     while len(live):
+        turn += 1
         new = (STRENGTH + discount * (others + tables)) * parent
         chance = new / (new + seated - discount * tables)
         step = np.minimum(np.maximum(1, seated // SINGLY), count - seated)
-        tables = tables + (rng.random(len(live)) < chance if step.max() == 1 else rng.binomial(step, chance))
+        tables = tables + (_uniform(key, turn) < chance if step.max() == 1 else _binomial(step, chance, key, turn))
         seated = seated + step
         done = seated >= count
         if done.any():
             out[live[done]] = tables[done]
             go = ~done
-            live, count, others, parent, seated, tables = live[go], count[go], others[go], parent[go], seated[go], tables[go]
+            live, count, others, parent, key, seated, tables = live[go], count[go], others[go], parent[go], key[go], seated[go], tables[go]
     return out
 
 
 class Totals:
     """Numbers that hold for the whole corpus; their size does not depend on it."""
 
-    def __init__(self, vocabulary: int, tokens: int, customers: np.ndarray, discount: float, parent_discount: float):
-        self.vocabulary, self.tokens, self.customers = vocabulary, tokens, customers
-        self.discount, self.parent_discount = discount, parent_discount
-        self.tables = np.zeros(ALL)
-        self.parent_customers = self.parent_tables = 0.0
+    def __init__(self, vocabulary: int, tokens: int, discount: float):
+        self.vocabulary, self.tokens, self.discount = vocabulary, tokens, discount
+        self.parent_discount = 0.5
+        self.customers: list[float] = []
+        self.tables: list[float] = []
+
+    def parent(self, sweep: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's probability, after a sweep, of words with so many customers and tables (0 and 0: unknown)."""
+        fresh = (STRENGTH + self.parent_discount * self.tables[sweep]) / (self.vocabulary + 1)
+        return (customers - self.parent_discount * tables + fresh) / (STRENGTH + self.customers[sweep])
+
+    def reseat(self, sweep: int, count, tables, all_tables, customers, parent_tables, key) -> np.ndarray:
+        """Tables of pairs in a sweep, from those of the sweep before and its totals of context and word."""
+        p = self.parent(sweep - 1, customers, parent_tables)
+        return seat(count, all_tables - tables, self.discount, p, key + np.uint64(sweep))
+
+    def chance(self, count, of_context, tables: list, all_tables, customers, parent_tables) -> np.ndarray:
+        """Probability of words in contexts, averaged over the kept sweeps; the last three hold a row for each sweep from 0."""
+        out = 0.0
+        for k in range(BURN_IN + 1, SWEEPS + 1):
+            back_off = STRENGTH + self.discount * all_tables[k]
+            out = out + count - self.discount * tables[k] + back_off * self.parent(k, customers[k], parent_tables[k])
+        return out / ((STRENGTH + of_context) * (SWEEPS - BURN_IN))
+
+    def replay(self, count, all_tables, customers, parent_tables, key) -> list:
+        """Tables of pairs after each sweep from 0."""
+        tables = [np.minimum(count, 1)]
+        many = np.flatnonzero(count > 1)
+        few = (count[many], key[many])
+        for k in range(1, SWEEPS + 1):
+            now = tables[0].copy()
+            now[many] = self.reseat(k, few[0], tables[-1][many], all_tables[k - 1][many], customers[k - 1][many], parent_tables[k - 1][many], few[1])
+            tables.append(now)
+        return tables
+
+
+# ---- blocks of texts
 
-    def with_tables(self, tables: np.ndarray, parent_customers: float, parent_tables: float) -> Totals:
-        out = Totals(self.vocabulary, self.tokens, self.customers, self.discount, self.parent_discount)
-        out.tables, out.parent_customers, out.parent_tables = tables, parent_customers, parent_tables
-        return out
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
 
-    def parent(self, customers, tables):
-        """The parent's probability of a word with so many customers and tables (0 and 0: unknown)."""
-        fresh = (STRENGTH + self.parent_discount * self.parent_tables) / (self.vocabulary + 1)
-        return (customers - self.parent_discount * tables + fresh) / (STRENGTH + self.parent_customers)
 
-    def back_off(self) -> np.ndarray:
-        """Share of each context's probability that goes to its parent."""
-        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+def _blocks(most: int):
+    def block(at: int, numbers: _Numbers, ids: list, docs: list, flags: list) -> pd.DataFrame:
+        hashes = np.fromiter(map(number, numbers), np.uint64, len(numbers))
+        tokens = np.concatenate(ids)
+        return _frame([_row(
+            at, BLOCK, -1, _put(docs, "<i8"), _put(flags, "u1"), _put([len(x) for x in ids], "<u4"), _put(tokens, "<u4"),
+            hashes.tobytes(), sums=[float(len(tokens)), float(len(numbers))])])
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() << 32
+        numbers, ids, docs, flags, size = _Numbers(), [], [], [], 0
+        for part in parts:
+            for doc, flag, text in zip(part["doc_id"], part["flag"], part["text"], strict=True):
+                ws = words(text)
+                ws.append(END)
+                ids.append(np.fromiter(map(numbers.__getitem__, ws), np.uint32, len(ws)))
+                docs.append(doc)
+                flags.append(flag)
+                size += len(ws)
+                if size > most:
+                    yield block(at, numbers, ids, docs, flags)
+                    at += 1
+                    numbers, ids, docs, flags, size = _Numbers(), [], [], [], 0
+        if ids:
+            yield block(at, numbers, ids, docs, flags)
 
-def _sums(rows: DataFrame, schema_of: str, run) -> dict[tuple[str, int], float]:
-    """Sums by name and number of the pairs that ``run`` yields per task: some hundred rows in all."""
-    got = rows.select(*schema_of.split()).mapInPandas(run, "name string, k int, value double").groupBy("name", "k").agg(F.sum("value").alias("value"))
-    return {(r.name, r.k): r.value for r in got.collect()}
+    return run
 
 
-def _measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    by_class, rest = np.zeros(ALL), np.zeros(6)
-    for part in parts:
-        classes, sizes = _flat(part["classes"], "u1")
-        counts, _ = _flat(part["counts"], "<u4")
-        by_class += np.bincount(classes, counts, ALL)
-        rest += [len(part), counts.sum(), (counts == 1).sum(), (counts == 2).sum(), (sizes == 1).sum(), (sizes == 2).sum()]
-    yield pd.DataFrame({"name": ["class"] * ALL + ["rest"] * 6, "k": [*range(ALL), *range(6)], "value": np.concatenate([by_class, rest])})
+class _Block:
+    """A block's tokens, its distinct pairs and the buckets they are in."""
 
+    def __init__(self, row):
+        self.docs, self.flags = _get(row.a, "<i8"), _get(row.b, "u1")
+        self.sizes, self.tokens = _get(row.c, "<u4").astype(np.int64), _get(row.d, "<u4").astype(np.int64)
+        self.hashes = np.frombuffer(row.e, "<u8")
+        self.trained = np.repeat(self.flags & 1 == 0, self.sizes)
+
+    def words(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """Numbers of the words of each bucket."""
+        return _dealt(_mix(self.hashes) % np.uint64(buckets))
+
+    def pairs(self, frequent: Frequent, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """Finds the distinct pairs; returns those of each bucket, ordered by context."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        end = self.tokens[starts[0] + self.sizes[0] - 1]
+        before = np.concatenate([[end], self.tokens[:-1]])  # a text's last token is its end
+        key, self.pair_of = np.unique(before << 32 | self.tokens, return_inverse=True)
+        self.context, self.word = key >> 32, key & 0xFFFFFFFF
+        parts = frequent.parts(self.hashes)[self.context]
+        deal = self.hashes[self.context] + _mix(self.hashes[self.word]) % parts
+        return _dealt(_mix(deal) % np.uint64(buckets))
 
-def _discount(once: float, twice: float) -> float:
-    return float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95))
 
+def _dealt(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[x[0]]), x) for x in np.split(order, edge) if len(x)]
 
-def _sweep(totals: Totals, number: int):
-    """Seat all words anew; the parent's probabilities and totals are those of the last sweep."""
+
+def _ask_words(buckets: int):
+    """A row for each block and bucket of words: hashes and their number in training texts."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if not len(part):
-                continue
-            rng = np.random.default_rng([number, zlib.crc32(part["word"].iloc[0]), len(part)])
-            classes, sizes = _flat(part["classes"], "u1")
-            counts, _ = _flat(part["counts"], "<u4")
-            tables, _ = _flat(part["tables"], "<u4")
-            row = np.repeat(np.arange(len(part)), sizes)
-            customers = np.array([x[-1] for x in part["customers"]], np.int64)
-            parent_tables = np.array([x[-1] for x in part["parent_tables"]], np.int64)
-            p = totals.parent(customers, parent_tables)[row]
-            tables = seat(counts.astype(np.int64), totals.tables[classes] - tables, totals.discount, p, rng)
-            customers = np.bincount(row, tables, len(part)).astype(np.int64)
-            base = np.full(len(part), 1.0 / (totals.vocabulary + 1))
-            parent_tables = seat(customers, totals.parent_tables - parent_tables, totals.parent_discount, base, rng)
-            kept = number > BURN_IN
-            whole = _flat(part["total_tables"], "<u4")[0] + (tables if kept else 0)
-            old = (lambda x: list(x)) if number > BURN_IN + 1 else (lambda x: [])
-            yield part.assign(
-                tables=_split(tables.astype("<u4"), sizes), total_tables=_split(whole.astype("<u4"), sizes),
-                customers=[[*old(x), c] for x, c in zip(part["customers"], customers.tolist(), strict=True)],
-                parent_tables=[[*old(x), c] for x, c in zip(part["parent_tables"], parent_tables.tolist(), strict=True)])
+            for row in part.itertuples():
+                block = _Block(row)
+                n = np.bincount(block.tokens[block.trained], minlength=len(block.hashes))
+                yield _frame([_row(b, BLOCK, row.key, block.hashes[at].tobytes(), _put(n[at], "<u4")) for b, at in block.words(buckets)])
 
     return run
 
 
-def _seated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    by_class, rest = np.zeros(ALL), np.zeros(2)
-    for part in parts:
-        classes, _ = _flat(part["classes"], "u1")
-        by_class += np.bincount(classes, _flat(part["tables"], "<u4")[0], ALL)
-        rest += [sum(x[-1] for x in part["customers"]), sum(x[-1] for x in part["parent_tables"])]
-    yield pd.DataFrame({"name": ["class"] * ALL + ["rest"] * 2, "k": [*range(ALL), 0, 1], "value": np.concatenate([by_class, rest])})
+def _ask_pairs(shared, buckets: int):
+    """A row for each block and bucket of pairs: contexts, how many pairs each has, words, their number in training texts."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = shared.value
+        for part in parts:
+            for row in part.itertuples():
+                block = _Block(row)
+                dealt = block.pairs(frequent, buckets)
+                n = np.bincount(block.pair_of[block.trained], minlength=len(block.word))
+                yield _frame([_row(b, BLOCK, row.key, *_runs(frequent, block.hashes[block.context[at]], block.hashes[block.word[at]]), _put(n[at], "<u4")) for b, at in dealt])
 
+    return run
 
-class Model:
-    """``words``: a row per word of the training texts; ``samples``: totals of the averaged sweeps."""
-
-    def __init__(self, words: DataFrame, samples: list[Totals]):
-        self.words, self.samples = words, samples
-
-
-def train(texts: DataFrame) -> Model:
-    """Count the words of ``texts(text)`` in their contexts and sample the seating. A null text is an empty one."""
-    spark = texts.sparkSession
-    counted = texts.select("text").mapInPandas(_count, COUNTED)
-    counts = session.cut(counted.repartition("word").sortWithinPartitions("word").mapInPandas(_merge, COUNTED), "counts")
-    facts = _sums(counts, "classes counts", _measure)
-    rest = [facts.get(("rest", k), 0.0) for k in range(6)]
-    totals = Totals(int(rest[0]), int(rest[1]), np.array([facts.get(("class", k), 0.0) for k in range(ALL)]), _discount(*rest[2:4]), _discount(*rest[4:6]))
-    one = F.expr("transform(sequence(1, length(classes)), x -> '01000000')")
-    none = F.expr("transform(sequence(1, length(classes)), x -> '00000000')")
-    pairs = F.array(F.length("classes").cast("long"))
-    # a word met once has one table in its context and one at the parent, whatever is sampled
-    state = counts.filter("n > 1").select(
-        "word", "n", "classes", "counts", F.unhex(F.array_join(one, "")).alias("tables"), F.unhex(F.array_join(none, "")).alias("total_tables"),
-        pairs.alias("customers"), F.array(F.lit(1).cast("long")).alias("parent_tables"))
-    single = _sums(counts.filter("n = 1"), "classes counts", _measure)
-    once = np.array([single.get(("class", k), 0.0) for k in range(ALL)])
-
-    def seated(rows: DataFrame) -> Totals:
-        got = _sums(rows, "classes tables customers parent_tables", _seated)
-        more = [got.get(("rest", k), 0.0) for k in range(2)]
-        by_class = np.array([got.get(("class", k), 0.0) for k in range(ALL)])
-        return totals.with_tables(by_class + once, more[0] + once.sum(), more[1] + once.sum())
-
-    samples, now, path = [], seated(state), None
-    for number in range(1, SWEEPS + 1):
-        target = session.scratch(spark, "seating")
-        state.mapInPandas(_sweep(now, number), STATE).write.parquet(target)
-        state = spark.read.schema(STATE).parquet(target)
-        if path:
-            session.remove(spark, path)  # the sweep before is not read again
-        path, now = target, seated(state)
-        if number > BURN_IN:
-            samples.append(now)
-    alone = counts.filter("n = 1").select(
-        "word", "n", "classes", "counts", F.unhex(F.lit(f"{len(samples):02x}000000")).alias("total_tables"),
-        F.array(*[F.lit(1).cast("long")] * len(samples)).alias("customers"), F.array(*[F.lit(1).cast("long")] * len(samples)).alias("parent_tables"))
-    return Model(state.drop("tables").unionByName(alone), samples)
-
-
-class _Scorer:
-    """Probabilities of words from their rows of the model."""
-
-    def __init__(self, samples: list[Totals]):
-        t = self.totals = samples[0]
-        self.samples = samples
-        self.share = np.stack([s.back_off() for s in samples]) / len(samples)
-        self.seats = STRENGTH + t.customers
-        self.unknown = sum(s.parent(0, 0) * w for s, w in zip(samples, self.share, strict=True))
-        self.base = np.log10(t.tokens + 0.1 * (t.vocabulary + 1))
-
-    def parts(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, context and own share of each pair, and the parent's probability of each row and sample."""
-        classes, sizes = _flat(rows["classes"], "u1")
-        counts, tables = _flat(rows["counts"], "<u4")[0], _flat(rows["total_tables"], "<u4")[0]
-        own = (counts - self.totals.discount * tables / len(self.samples)) / self.seats[classes]
-        customers, seats = (np.array(rows[c].tolist(), np.float64).reshape(len(rows), -1) for c in ("customers", "parent_tables"))
-        parent = np.stack([s.parent(customers[:, k], seats[:, k]) for k, s in enumerate(self.samples)], 1)
-        return np.repeat(np.arange(len(rows)), sizes), classes, own, parent
-
-    def base_score(self, n: np.ndarray) -> np.ndarray:
-        return np.log10(n + 0.1) - self.base
-
-
-def _frequent(model: Model, scorer: _Scorer) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Numbers of the most frequent words, log10 probability in every context, base score."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            row, classes, own, parent = scorer.parts(rows)
-            p = parent @ scorer.share
-            p[row, classes] += own
-            yield pd.DataFrame({"word": rows["word"], "n": rows["n"], "p": [x.tobytes() for x in np.log10(p).astype("<f4")]})
-
-    # counts in steps of 2 ** (1 / 8): as many of the highest steps as hold FREQUENT words at most
-    step = F.floor(8 * F.log2(F.col("n").cast("double")))
-    sizes = model.words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 8 * 64 rows at most
-    total, least = 0, None
-    for r in sizes:
-        total += r["count"]
+
+def _runs(frequent: Frequent, u: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+    return frequent.put(u[first]), _put(np.diff(np.append(first, len(u))), "<u4"), frequent.put(w)
+
+
+def _unrun(frequent: Frequent, row) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(frequent.get(row.a), _get(row.b, "<u4")), frequent.get(row.c)
+
+
+# ---- buckets of words and of pairs
+
+def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
+    h, at = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in rows["a"]]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([_get(x, "<u4") for x in rows["b"]])).astype(np.int64)
+    h, n = h[n > 0], n[n > 0]
+    if not len(h):
+        return _frame([])
+    return _frame([_row(int(rows["key"].iloc[0]), TABLE, -1, h.tobytes(), _put(n, "<u8"), sums=[float(len(h)), float(n.sum())])])
+
+
+def _sums_of(key: int, kind: int, frequent: Frequent, buckets: int, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """A row for each bucket of words: sums of ``n`` by word and by context."""
+    h, at = np.unique(np.concatenate([w, u]), return_inverse=True)
+    by_word, by_context = np.bincount(at[:len(w)], n, len(h)), np.bincount(at[len(w):], n, len(h))
+    return [_row(b, kind, key, frequent.put(h[x]), _put(by_word[x], "<u4"), _put(by_context[x], "<u8"))
+            for b, x in _dealt(_mix(h) % np.uint64(buckets))]
+
+
+def _count_pairs(shared, word_buckets: int):
+    """Counts of a bucket's pairs: the state of those met more than once, sums for the words, and an answer to each block."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        frequent, key = shared.value, int(rows["key"].iloc[0])
+        asked = [_unrun(frequent, r) for r in rows.itertuples()]
+        us, u = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        ws, w = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
+        pair, at = np.unique(u * len(ws) + w, return_inverse=True)
+        count = np.bincount(at, np.concatenate([_get(x, "<u4") for x in rows["d"]])).astype(np.int64)
+        u, w = us[pair // len(ws)], ws[pair % len(ws)]
+        one, many = count == 1, count > 1
+        out = _sums_of(key, ONCE, frequent, word_buckets, u[one], w[one], count[one])
+        if many.any():
+            out += _sums_of(key, SUMS, frequent, word_buckets, u[many], w[many], np.ones(int(many.sum()), np.int64))
+            out.append(_row(key, STATE, -1, *_runs(frequent, u[many], w[many]), _put(count[many], "<u8"), _put(np.ones(int(many.sum())), "<u4")))
+        edge = np.cumsum([0, *[len(x[0]) for x in asked]])
+        out += [_row(int(src), PAIRS, key, _put(count[at[i:j]], "<u8")) for src, i, j in zip(rows["src"], edge[:-1], edge[1:], strict=True)]
+        out.append(_row(key, -1, -1, sums=[float(one.sum()), float((count == 2).sum())]))
+        return _frame(out)
+
+    return run
+
+
+def _seat_words(shared, totals: Totals, sweep: int):
+    """The words' totals after a sweep of the pairs, the parent's seating and an answer to each bucket of pairs."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        frequent = shared.value
+        by_kind = {k: x for k, x in rows.groupby("kind")}
+        if TABLE not in by_kind:
+            return _frame([])
+        mine = next(by_kind[TABLE].itertuples())
+        h, key = np.frombuffer(mine.a, "<u8"), int(mine.key)
+        once = _get(mine.c, "<u8").reshape(2, -1) if mine.c is not None else np.zeros((2, len(h)), np.int64)
+        past = _get(mine.d, "<u8").astype(np.int64).reshape(-1, 3, len(h)) if mine.d is not None else np.zeros((0, 3, len(h)), np.int64)
+
+        def added(kind: int) -> tuple[np.ndarray, list]:
+            total, places = np.zeros((2, len(h)), np.int64), []
+            for r in by_kind[kind].itertuples() if kind in by_kind else ():
+                at = np.searchsorted(h, frequent.get(r.a))
+                total[0] += np.bincount(at, _get(r.b, "<u4"), len(h)).astype(np.int64)
+                total[1] += np.bincount(at, _get(r.c, "<u8"), len(h)).astype(np.int64)
+                places.append((int(r.src), at))
+            return total, places
+
+        once = once + added(ONCE)[0]
+        (customers, tables), places = added(SUMS)
+        customers, tables = customers + once[0], tables + once[1]
+        if sweep:
+            base = np.full(len(h), 1.0 / (totals.vocabulary + 1))
+            parent = seat(customers, totals.tables[-1] - past[-1, 1], totals.parent_discount, base, _mix(h) + np.uint64(sweep))
+        else:
+            parent = np.ones(len(h), np.int64)
+        now = np.stack([customers, parent, tables])
+        out = [_row(key, TABLE, -1, mine.a, mine.b, _put(once, "<u8"), _put(np.concatenate([past, now[None]]), "<u8"),
+                    sums=[float(customers.sum()), float(parent.sum()), float((customers == 1).sum()), float((customers == 2).sum())])]
+        out += [_row(src, ANSWER, key, _put(now[:, at], "<u8")) for src, at in places]
+        return _frame(out)
+
+    return run
+
+
+def _seat_pairs(shared, totals: Totals, sweep: int, word_buckets: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        frequent, key = shared.value, int(rows["key"].iloc[0])
+        mine = next(rows[rows["kind"] == STATE].itertuples())
+        u, w = _unrun(frequent, mine)
+        count, tables = _get(mine.d, "<u8").astype(np.int64), _get(mine.e, "<u4").astype(np.int64)
+        h = np.unique(np.concatenate([w, u]))
+        facts = np.zeros((3, len(h)), np.int64)
+        answers = {int(r.src): r.a for r in rows[rows["kind"] == ANSWER].itertuples()}
+        for b, x in _dealt(_mix(h) % np.uint64(word_buckets)):
+            facts[:, x] = _get(answers[b], "<u8").reshape(3, -1)
+        of_w, of_u = np.searchsorted(h, w), np.searchsorted(h, u)
+        tables = totals.reseat(sweep, count, tables, facts[2, of_u], facts[0, of_w], facts[1, of_w], pair_key(u, w))
+        return _frame([*_sums_of(key, SUMS, frequent, word_buckets, u, w, tables), _row(key, STATE, -1, mine.a, mine.b, mine.c, mine.d, _put(tables, "<u4"))])
+
+    return run
+
+
+def _tell_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """What the blocks asked of a bucket of words: counts and totals of each sweep."""
+    tables = rows[rows["kind"] == TABLE]
+    h, facts = np.zeros(0, np.uint64), np.zeros((1 + 3 * (SWEEPS + 1), 0), np.int64)
+    for mine in tables.itertuples():
+        h = np.frombuffer(mine.a, "<u8")
+        facts = np.concatenate([_get(mine.b, "<u8")[None], _get(mine.d, "<u8").reshape(-1, len(h))]).astype(np.int64)
+    facts = np.concatenate([facts, np.zeros((len(facts), 1), np.int64)], 1)  # the last column is that of unknown words
+    out = []
+    for r in rows[rows["kind"] == BLOCK].itertuples():
+        asked = np.frombuffer(r.a, "<u8")
+        at = np.searchsorted(h, asked)
+        at[np.append(h, np.uint64(0))[at] != asked] = len(h)
+        out.append(_row(int(r.src), WORDS, int(r.key), _put(facts[:, at], "<u8")))
+    return _frame(out)
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_block(shared, totals: Totals, pair_buckets: int, word_buckets: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(next(rows[rows["kind"] == BLOCK].itertuples()))
+        told = {(int(r.kind), int(r.src)): r.a for r in rows[rows["kind"] != BLOCK].itertuples()}
+        facts = np.zeros((1 + 3 * (SWEEPS + 1), len(block.hashes)), np.int64)
+        for b, x in block.words(word_buckets):
+            facts[:, x] = _get(told[WORDS, b], "<u8").reshape(len(facts), -1)
+        n, past = facts[0], facts[1:].reshape(SWEEPS + 1, 3, -1)
+        dealt = block.pairs(shared.value, pair_buckets)
+        u, w = block.context, block.word
+        count = np.zeros(len(u), np.int64)
+        for b, x in dealt:
+            count[x] = _get(told[PAIRS, b], "<u8")
+        customers, parent_tables, tables = past[:, 0, w], past[:, 1, w], past[:, 2, u]
+        seats = totals.replay(count, tables, customers, parent_tables, pair_key(block.hashes[u], block.hashes[w]))
+        score = np.log10(totals.chance(count, n[u], seats, tables, customers, parent_tables))[block.pair_of]
+        base = np.log10((n + 0.1) / (totals.tokens + 0.1 * (totals.vocabulary + 1)))[block.tokens]
+        starts = np.cumsum(block.sizes) - block.sizes
+        return pd.DataFrame({
+            "doc_id": pd.array(block.docs, "Int64"), "held_out": block.flags & 1 == 1, "n_tokens": block.sizes,
+            "n_known": np.add.reduceat((n[block.tokens] > 0).astype(np.int64), starts), "train_tokens": totals.tokens,
+            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts),
+        }).assign(doc_id=lambda x: x["doc_id"].mask(block.flags & 2 == 2))
+
+    return run
+
+
+# ---- the model
+
+def _total(rows: DataFrame, size: int) -> list[float]:
+    got = rows.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size)]).first()
+    return [x or 0.0 for x in got]
+
+
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95))
+
+
+def _most_frequent(words_table: DataFrame) -> Frequent:
+    """FREQUENT words at most: those whose counts are in the highest steps of 2 ** (1 / 8) that hold no more."""
+    def step(n: np.ndarray) -> np.ndarray:
+        return np.floor(8 * np.log2(n)).astype(np.int64)
+
+    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for packed in part["b"]:
+                k, n = np.unique(step(_get(packed, "<u8")), return_counts=True)
+                yield pd.DataFrame({"step": k, "n": n})
+
+    total, least = 0, math.inf
+    for r in words_table.select("b").mapInPandas(sizes, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect():
+        total += r["n"]  # 8 * 64 rows at most
         if total > FREQUENT:
             break
         least = r["step"]
-    top = model.words.filter(step >= least if least is not None else F.lit(False))
-    got = top.mapInPandas(run, "word binary, n long, p binary").collect()
-    known = {bytes(r.word): k for k, r in enumerate(got)}
-    table = np.frombuffer(b"".join(r.p for r in got), "<f4").reshape(len(got), ALL)
-    return known, table, scorer.base_score(np.array([r.n for r in got], np.float64))
-
 
-def _score_texts(shared):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, chances, base = shared.value
-        classes = np.array([context(w) for w in known], np.int64)
-        number = TaskContext.get().partitionId() << 40
+    def chosen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc, missing, held, text in zip(part["doc_id"], part["doc_id"].isna(), part["held_out"], part["text"], strict=True):
-                ws = words(text)
-                ws.append(END)
-                at = np.fromiter((known.get(w, -1) for w in ws), np.int64, len(ws))
-                rare = np.flatnonzero(at < 0)
-                kind = np.append(classes, 0)[at]
-                kind[rare] = [context(ws[i]) for i in rare]
-                before = np.concatenate([[START], kind[:-1]])
-                hit = at >= 0
-                out.append((number, None if missing else int(doc), held, len(ws), int(hit.sum()), float(base[at[hit]].sum()),
-                            float(chances[at[hit], before[hit]].sum(dtype=np.float64)), [bytes((before[i],)) + ws[i] for i in rare]))
-                number += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]).astype({"doc_id": "Int64"})
+            for a, b in zip(part["a"], part["b"], strict=True):
+                n = _get(b, "<u8").astype(np.int64)
+                keep = step(n) >= least
+                yield pd.DataFrame({"h": np.frombuffer(a, "<u8")[keep].view("<i8"), "n": n[keep]})
 
-    return run
+    got = words_table.select("a", "b").mapInPandas(chosen, "h long, n long").collect()
+    return Frequent(np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64), PART_TOKENS)
 
 
-def _score_rare(scorer: _Scorer):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            before = np.frombuffer(b"".join(k[:1] for k in rows["key"]), np.uint8)
-            known = rows["n"].notna().to_numpy()
-            p, base = scorer.unknown[before], np.full(len(rows), np.log10(0.1) - scorer.base)
-            if known.any():
-                have = rows[known]
-                row, classes, own, parent = scorer.parts(have)
-                u = before[known]
-                q = (parent * scorer.share.T[u]).sum(1)
-                same = classes == u[row]
-                q[row[same]] += own[same]
-                p[known] = q
-                base[known] = scorer.base_score(have["n"].to_numpy(np.float64))
-            yield pd.DataFrame({"row": rows["row"], "known": known.astype(np.int64), "base": base, "score": np.log10(p)})
+class Model:
+    """Words by bucket with their totals of each sweep, counts of the blocks' pairs, and what holds for all."""
 
-    return run
+    def __init__(self, blocks, words_table, answers, totals, frequent, pair_buckets, word_buckets):
+        self.blocks, self.words, self.answers, self.totals = blocks, words_table, answers, totals
+        self.frequent, self.pair_buckets, self.word_buckets = frequent, pair_buckets, word_buckets
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, held_out, text)``.
+def train(docs: DataFrame) -> Model:
+    """Learn from the rows of ``docs(doc_id, held_out, text)`` that are not held out; the others' pairs are looked up only.
+
+    A null text is an empty one. Repeated rows count each time.
+    """
+    flag = F.col("held_out").cast("int") + F.when(F.col("doc_id").isNull(), 2).otherwise(0)
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), flag.alias("flag"), "text")
+    blocks = session.cut(texts.mapInPandas(tidy(_blocks(BLOCK_TOKENS)), SCHEMA), "blocks")
+    tokens, kinds = _total(blocks, 2)
+    pair_buckets, word_buckets = (max(LEAST_BUCKETS, math.ceil(n / most)) for n, most in ((tokens, BUCKET_TOKENS), (kinds, BUCKET_WORDS)))
+    spark = docs.sparkSession
+
+    def grouped(rows: DataFrame, run, name: str) -> DataFrame:
+        return session.cut(rows.groupBy("key").applyInPandas(run, SCHEMA), name)
+
+    now = grouped(blocks.mapInPandas(_ask_words(word_buckets), SCHEMA), _count_words, "words")
+    vocabulary, trained = _total(now, 2)
+    shared = spark.sparkContext.broadcast(_most_frequent(now))
+    counted = grouped(blocks.mapInPandas(_ask_pairs(shared, pair_buckets), SCHEMA), _count_pairs(shared, word_buckets), "pairs")
+    totals = Totals(int(vocabulary), int(trained), _discount(*_total(counted.filter(F.col("kind") == -1), 2)))
+    state, sums = counted.filter(F.col("kind") == STATE), counted.filter(F.col("kind").isin(ONCE, SUMS))
+    for sweep in range(SWEEPS + 1):
+        if sweep:
+            state = grouped(state.unionByName(now.filter(F.col("kind") == ANSWER)), _seat_pairs(shared, totals, sweep, word_buckets), "seating")
+            sums, state = state.filter(F.col("kind") == SUMS), state.filter(F.col("kind") == STATE)
+        now = grouped(now.filter(F.col("kind") == TABLE).unionByName(sums), _seat_words(shared, totals, sweep), "parent")
+        customers, tables, once, twice = _total(now.filter(F.col("kind") == TABLE), 4)
+        totals.customers.append(customers)
+        totals.tables.append(tables)
+        if not sweep:
+            totals.parent_discount = _discount(once, twice)
+    return Model(blocks, now.filter(F.col("kind") == TABLE), counted.filter(F.col("kind") == PAIRS), totals, shared, pair_buckets, word_buckets)
+
+
+def score(model: Model) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row the model was given, held out or not.
 
     The score is the log10 probability of the text's words and its end. A null
     text is an empty one, whose end is its one token. Repeated rows are scored
     alike. A model without words gives each token the uniform probability of one
     unknown word.
     """
-    scorer = _Scorer(model.samples)
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(model, scorer))
-    first = session.cut(docs.select("doc_id", "held_out", "text").mapInPandas(
-        _score_texts(shared), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"), "scores")
-    rare = first.select("row", F.explode("rare").alias("key")).withColumn("word", F.expr("substring(key, 2)"))
-    # frequent words, the only ones that could make a hot key, have been scored above
-    joined = rare.join(model.words, "word", "left").select("row", "key", "n", "classes", "counts", "total_tables", "customers", "parent_tables")
-    more = joined.mapInPandas(_score_rare(scorer), "row long, known long, base double, score double").groupBy(F.col("row").alias("of")).agg(
-        F.sum("known").alias("more"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return first.drop("rare").join(more, F.col("row") == F.col("of"), "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).alias("n_known"),
-        F.lit(model.samples[0].tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+    asked = model.blocks.mapInPandas(_ask_words(model.word_buckets), SCHEMA)
+    told = asked.drop("b").withColumn("b", F.lit(None).cast("binary")).unionByName(model.words).groupBy("key").applyInPandas(_tell_blocks, SCHEMA)
+    return model.blocks.unionByName(model.answers).unionByName(told).groupBy("key").applyInPandas(
+        _score_block(model.frequent, model.totals, model.pair_buckets, model.word_buckets), RESULT)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
@@ -405,4 +572,4 @@ def with_split(docs: DataFrame) -> DataFrame:
 @query("op4_pitman_yor")
 def op4_pitman_yor(spark, sf):
     docs = with_split(table(spark, sf, "documents"))
-    return score(docs, train(docs.filter("not held_out")))
+    return score(train(docs))

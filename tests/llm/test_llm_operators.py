@@ -161,36 +161,103 @@ def test_sparse_sites_shrink(spark):
 
 
 # 4
-def test_pitman_yor_sums_to_one_and_beats_the_base(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "FREQUENT", 50)
-    docs = language_model.with_split(spark.read.parquet(f"{SF}/documents.parquet").limit(120).unionByName(odd(spark).select("doc_id", "text", "lang", "source", "n_chars")))
-    train = docs.filter("not held_out")
-    model = language_model.train(train)
-    scorer = language_model._Scorer(model.samples)
-    rows = model.words.toPandas()
-    row, classes, own, parent = scorer.parts(rows)
-    p = parent @ scorer.share
-    p[row, classes] += own
-    assert np.allclose(p.sum(0) + scorer.unknown, 1.0) and (p > 0).all()
-    counts = Counter(w for r in train.collect() for w in [*words(r.text), language_model.END])
+def _pitman_yor_by_hand(model, docs):
+    """Probabilities of all words in all contexts from the words' totals of each sweep, and the texts' scores."""
+    trained = [[*words(r.text), language_model.END] for r in docs if not r.held_out]
+    pairs = Counter((u, w) for ws in trained for u, w in zip([language_model.END, *ws[:-1]], ws, strict=True))
+    counts = Counter(w for ws in trained for w in ws)
+    kinds = sorted(counts)
+    facts = {}
+    for r in model.words.collect():
+        h = np.frombuffer(r.a, "<u8")
+        n, past = language_model._get(r.b, "<u8"), language_model._get(r.d, "<u8").astype(np.int64).reshape(-1, 3, len(h))
+        facts |= {int(x): (int(n[i]), past[:, :, i]) for i, x in enumerate(h)}
+    hashes = np.array([language_model.number(w) for w in kinds], np.uint64)
+    assert {int(h) for h in hashes} == set(facts) and all(facts[int(h)][0] == counts[w] for h, w in zip(hashes, kinds, strict=True))
+    past = np.stack([facts[int(h)][1] for h in hashes], 2)  # sweep, kind of total, word
+    n, at = np.array([counts[w] for w in kinds]), {w: i for i, w in enumerate(kinds)}
+    size = len(kinds)
+    u, w = np.repeat(np.arange(size), size), np.tile(np.arange(size), size)
+    c = np.array([pairs[kinds[i], kinds[j]] for i, j in zip(u, w, strict=True)])
+    seats = model.totals.replay(c, past[:, 2, u], past[:, 0, w], past[:, 1, w], language_model.pair_key(hashes[u], hashes[w]))
+    for k, tables in enumerate(seats):
+        assert np.array_equal(np.bincount(u, tables, size), past[k, 2]) and np.array_equal(np.bincount(w, tables, size), past[k, 0])
+        assert (tables <= c).all() and (tables[c > 0] > 0).all()
+    p = model.totals.chance(c, n[u], seats, past[:, 2, u], past[:, 0, w], past[:, 1, w]).reshape(size, size)
+    none = np.zeros((len(past), size), np.int64)
+    unknown = model.totals.chance(0, n, none, past[:, 2], none, none)
+    new = model.totals.chance(0, 0, none[:, :1], none[:, :1], past[:, 0], past[:, 1])[None] if size else p
+
+    def score(text):
+        ws = [*words(text), language_model.END]
+        out = 0.0
+        for a, b in zip([language_model.END, *ws[:-1]], ws, strict=True):
+            if a in at:
+                out += math.log10(p[at[a], at[b]] if b in at else unknown[at[a]])
+            else:
+                out += math.log10(new[0, at[b]] if b in at else model.totals.chance(0, 0, none[:, 0], none[:, 0], none[:, 0], none[:, 0]))
+        return out
+
+    return counts, p, unknown, score
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_pitman_yor_equals_sums_by_hand(spark, monkeypatch, block):
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(language_model, "FREQUENT", 6)
+    monkeypatch.setattr(language_model, "LEAST_BUCKETS", 3)
+    monkeypatch.setattr(language_model, "PART_TOKENS", 50)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.5, 30) % 40) for _ in range(60)] + ["v1 v2 " * 400, "Unseen v1 NEVER met", "v1 v2"]
+    rows = [(None, None), (0, ""), *enumerate(texts, 10), (10, texts[0])]
+    docs = language_model.with_split(spark.createDataFrame(rows, "doc_id long, text string").withColumn("flag", F.lit("mine")).coalesce(2))
+    model = language_model.train(docs)
+    counts, p, unknown, score = _pitman_yor_by_hand(model, docs.collect())
+    assert np.allclose(p.sum(1) + unknown, 1.0) and (p > 0).all()
     total, kinds = sum(counts.values()), len(counts)
-    assert {bytes(w): n for w, n in zip(rows["word"], rows["n"], strict=True)} == counts
-    at = {bytes(w): i for i, w in enumerate(rows["word"])}
-    got = language_model.score(docs, model).collect()
-    want = defaultdict(list)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.score(model).collect())
+    want = []
     for r in docs.collect():
         ws = [*words(r.text), language_model.END]
-        before = [language_model.START, *map(language_model.context, ws[:-1])]
-        score = sum(math.log10(p[at[w], u] if w in at else scorer.unknown[u]) for w, u in zip(ws, before, strict=True))
         base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)
-        want[r.doc_id, r.held_out, len(ws), sum(w in counts for w in ws), total].append((base, score))
-    for r in got:
-        near = want[r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens]
-        assert any(abs(r.base_score - b) < 1e-6 * abs(b) and abs(r.score - s) < 1e-4 * abs(s) for b, s in near)
-    assert len(got) == 127
+        want.append((r.doc_id is None, r.doc_id or 0, r.held_out, len(ws), sum(w in counts for w in ws), total, base, score(r.text)))
+    assert [r[:6] for r in got] == [r[:6] for r in sorted(want)]
+    assert np.allclose([r[6:] for r in got], [r[6:] for r in sorted(want)], rtol=1e-9)
+
+
+def test_pitman_yor_beats_the_base_and_takes_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "LEAST_BUCKETS", 4)
+    docs = language_model.with_split(spark.read.parquet(f"{SF}/documents.parquet").limit(300).unionByName(odd(spark).select("doc_id", "text", "lang", "source", "n_chars")))
+    got = language_model.score(language_model.train(docs)).collect()
     held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert language_model.score(docs.limit(3), language_model.train(docs.limit(0))).count() == 3
+    assert len(got) == 307 and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert language_model.score(language_model.train(docs.limit(0))).count() == 0
+    alone = language_model.score(language_model.train(docs.limit(3).withColumn("held_out", F.lit(True)))).collect()
+    assert len(alone) == 3 and all(r.score == 0 and r.n_known == 0 for r in alone)
+
+
+def test_seating_in_turn_and_in_groups_follows_the_restaurant():
+    rng = np.random.default_rng(2)
+    many, discount = 4_000, 0.6
+
+    def one_by_one(count, others, parent):
+        tables = 1
+        for seated in range(1, count):
+            new = (language_model.STRENGTH + discount * (others + tables)) * parent
+            tables += rng.random() < new / (new + seated - discount * tables)
+        return tables
+
+    for count, others, parent in ((5, 3, 0.2), (60, 40, 0.05), (300, 500, 0.02)):
+        key = language_model._mix(np.arange(many, dtype=np.uint64))
+        got = language_model.seat(np.full(many, count), np.full(many, others), discount, np.full(many, parent), key)
+        want = np.array([one_by_one(count, others, parent) for _ in range(many)])
+        assert abs(got.mean() - want.mean()) < 4 * np.hypot(got.std(), want.std()) / many ** 0.5 + 0.03 * want.mean() * (count > 64)
+        assert 0.85 < got.std() / want.std() < 1.2
+    n, q, key = np.full(50_000, 40), np.full(50_000, 0.7), language_model._mix(np.arange(50_000, dtype=np.uint64))
+    drawn = language_model._binomial(n, q, key, 3)
+    assert abs(drawn.mean() - 28) < 0.1 and abs(drawn.var() - 8.4) < 0.3
+    drawn = language_model._binomial(n * 100, q, key, 3)
+    assert abs(drawn.mean() - 2800) < 1 and abs(drawn.var() - 840) < 30
 
 
 # 5
