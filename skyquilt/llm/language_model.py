@@ -77,11 +77,15 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _put(values: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, kind).tobytes())
+    """Numbers, packed: first bytes come first, then second bytes and so on, as most numbers are small."""
+    raw = np.ascontiguousarray(values, kind).ravel()
+    planes = raw.view("u1").reshape(len(raw), raw.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _get(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).ravel().view(kind)
 
 
 def _row(key: int, kind: int, src: int, *parts: bytes, sums: list[float] | None = None) -> tuple:
@@ -113,18 +117,19 @@ class Frequent:
         return out
 
     def put(self, h: np.ndarray) -> bytes:
+        """Hashes, packed: two bytes for each frequent word; differences of the others, which are small where they are sorted."""
         at, hit = self.find(h)
-        return len(h).to_bytes(8, "little") + _put(np.frombuffer(
-            np.packbits(hit).tobytes() + at[hit].astype("<u2").tobytes() + h[~hit].astype("<u8").tobytes(), np.uint8), "u1")
+        parts = [np.packbits(hit).tobytes(), _put(at[hit], "<u2"), _put(np.diff(h[~hit], prepend=np.uint64(0)), "<u8")]
+        return np.array([len(h), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
 
     def get(self, data: bytes) -> np.ndarray:
-        n, raw = int.from_bytes(data[:8], "little"), _get(data[8:], "u1")
-        cut = (n + 7) // 8
-        hit = np.unpackbits(raw[:cut], count=n).astype(bool)
-        middle = cut + 2 * int(hit.sum())
+        n, *sizes = np.frombuffer(data[:32], "<u8").tolist()
+        bits, ranks, others = (data[j - i:j] for i, j in zip(sizes, (32 + np.cumsum(sizes)).tolist(), strict=True))
+        hit = np.unpackbits(np.frombuffer(bits, "u1"), count=n).astype(bool)
         out = np.empty(n, np.uint64)
-        out[hit] = self.hashes[raw[cut:middle].view("<u2")] if hit.any() else 0
-        out[~hit] = np.frombuffer(raw[middle:].tobytes(), "<u8")
+        if hit.any():
+            out[hit] = self.hashes[_get(ranks, "<u2")]
+        out[~hit] = np.cumsum(_get(others, "<u8"), dtype=np.uint64)
         return out
 
 
@@ -258,8 +263,9 @@ class _Block:
         self.trained = np.repeat(self.flags & 1 == 0, self.sizes)
 
     def words(self, buckets: int) -> list[tuple[int, np.ndarray]]:
-        """Numbers of the words of each bucket."""
-        return _dealt(_mix(self.hashes) % np.uint64(buckets))
+        """Numbers of the words of each bucket, in order of their hashes."""
+        order = np.argsort(self.hashes)
+        return [(b, order[x]) for b, x in _dealt(_mix(self.hashes[order]) % np.uint64(buckets))]
 
     def pairs(self, frequent: Frequent, buckets: int) -> list[tuple[int, np.ndarray]]:
         """Finds the distinct pairs; returns those of each bucket, ordered by context."""
@@ -273,20 +279,26 @@ class _Block:
         return _dealt(_mix(deal) % np.uint64(buckets))
 
 
+def _none() -> Frequent:
+    """No frequent words, as long as they are not known."""
+    return Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+
+
 def _dealt(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[x[0]]), x) for x in np.split(order, edge) if len(x)]
 
 
-def _ask_words(buckets: int):
+def _ask_words(frequent_of, buckets: int):
     """A row for each block and bucket of words: hashes and their number in training texts."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = frequent_of()
         for part in parts:
             for row in part.itertuples():
                 block = _Block(row)
                 n = np.bincount(block.tokens[block.trained], minlength=len(block.hashes))
-                yield _frame([_row(b, BLOCK, row.key, block.hashes[at].tobytes(), _put(n[at], "<u4")) for b, at in block.words(buckets)])
+                yield _frame([_row(b, BLOCK, row.key, frequent.put(block.hashes[at]), _put(n[at], "<u4")) for b, at in block.words(buckets)])
 
     return run
 
@@ -317,7 +329,7 @@ def _unrun(frequent: Frequent, row) -> tuple[np.ndarray, np.ndarray]:
 # ---- buckets of words and of pairs
 
 def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
-    h, at = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in rows["a"]]), return_inverse=True)
+    h, at = np.unique(np.concatenate([_none().get(x) for x in rows["a"]]), return_inverse=True)
     n = np.bincount(at, np.concatenate([_get(x, "<u4") for x in rows["b"]])).astype(np.int64)
     h, n = h[n > 0], n[n > 0]
     if not len(h):
@@ -412,21 +424,23 @@ def _seat_pairs(shared, totals: Totals, sweep: int, word_buckets: int):
     return run
 
 
-def _tell_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+def _tell_blocks(shared):
     """What the blocks asked of a bucket of words: counts and totals of each sweep."""
-    tables = rows[rows["kind"] == TABLE]
-    h, facts = np.zeros(0, np.uint64), np.zeros((1 + 3 * (SWEEPS + 1), 0), np.int64)
-    for mine in tables.itertuples():
-        h = np.frombuffer(mine.a, "<u8")
-        facts = np.concatenate([_get(mine.b, "<u8")[None], _get(mine.d, "<u8").reshape(-1, len(h))]).astype(np.int64)
-    facts = np.concatenate([facts, np.zeros((len(facts), 1), np.int64)], 1)  # the last column is that of unknown words
-    out = []
-    for r in rows[rows["kind"] == BLOCK].itertuples():
-        asked = np.frombuffer(r.a, "<u8")
-        at = np.searchsorted(h, asked)
-        at[np.append(h, np.uint64(0))[at] != asked] = len(h)
-        out.append(_row(int(r.src), WORDS, int(r.key), _put(facts[:, at], "<u8")))
-    return _frame(out)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h, facts = np.zeros(0, np.uint64), np.zeros((1 + 3 * (SWEEPS + 1), 0), np.int64)
+        for mine in rows[rows["kind"] == TABLE].itertuples():
+            h = np.frombuffer(mine.a, "<u8")
+            facts = np.concatenate([_get(mine.b, "<u8")[None], _get(mine.d, "<u8").reshape(-1, len(h))]).astype(np.int64)
+        facts = np.concatenate([facts, np.zeros((len(facts), 1), np.int64)], 1)  # the last column is that of unknown words
+        out = []
+        for r in rows[rows["kind"] == BLOCK].itertuples():
+            asked = shared.value.get(r.a)
+            at = np.searchsorted(h, asked)
+            at[np.append(h, np.uint64(0))[at] != asked] = len(h)
+            out.append(_row(int(r.src), WORDS, int(r.key), _put(facts[:, at], "<u8")))
+        return _frame(out)
+
+    return run
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -519,26 +533,37 @@ def train(docs: DataFrame) -> Model:
     pair_buckets, word_buckets = (max(LEAST_BUCKETS, math.ceil(n / most)) for n, most in ((tokens, BUCKET_TOKENS), (kinds, BUCKET_WORDS)))
     spark = docs.sparkSession
 
-    def grouped(rows: DataFrame, run, name: str) -> DataFrame:
-        return session.cut(rows.groupBy("key").applyInPandas(run, SCHEMA), name)
+    def grouped(rows: DataFrame, run, name: str) -> tuple[DataFrame, str]:
+        path = session.scratch(spark, name)
+        rows.groupBy("key").applyInPandas(run, SCHEMA).write.partitionBy("kind").parquet(path)
+        return spark.read.schema(SCHEMA).parquet(path), path
+
+    def of(rows: DataFrame, *kinds: int) -> DataFrame:
+        return rows.filter(F.col("kind").isin(*kinds)).select(*COLUMNS)
 
-    now = grouped(blocks.mapInPandas(_ask_words(word_buckets), SCHEMA), _count_words, "words")
+    now, now_path = grouped(blocks.mapInPandas(_ask_words(_none, word_buckets), SCHEMA), _count_words, "words")
     vocabulary, trained = _total(now, 2)
     shared = spark.sparkContext.broadcast(_most_frequent(now))
-    counted = grouped(blocks.mapInPandas(_ask_pairs(shared, pair_buckets), SCHEMA), _count_pairs(shared, word_buckets), "pairs")
-    totals = Totals(int(vocabulary), int(trained), _discount(*_total(counted.filter(F.col("kind") == -1), 2)))
-    state, sums = counted.filter(F.col("kind") == STATE), counted.filter(F.col("kind").isin(ONCE, SUMS))
+    counted, path = grouped(blocks.mapInPandas(_ask_pairs(shared, pair_buckets), SCHEMA), _count_pairs(shared, word_buckets), "pairs")
+    totals = Totals(int(vocabulary), int(trained), _discount(*_total(of(counted, -1), 2)))
+    state, sums, old = of(counted, STATE), of(counted, ONCE, SUMS), [f"{path}/kind={ONCE}", f"{path}/kind={SUMS}"]
+    state_path = f"{path}/kind={STATE}"
     for sweep in range(SWEEPS + 1):
         if sweep:
-            state = grouped(state.unionByName(now.filter(F.col("kind") == ANSWER)), _seat_pairs(shared, totals, sweep, word_buckets), "seating")
-            sums, state = state.filter(F.col("kind") == SUMS), state.filter(F.col("kind") == STATE)
-        now = grouped(now.filter(F.col("kind") == TABLE).unionByName(sums), _seat_words(shared, totals, sweep), "parent")
-        customers, tables, once, twice = _total(now.filter(F.col("kind") == TABLE), 4)
+            seated, path = grouped(state.unionByName(of(now, ANSWER)), _seat_pairs(shared, totals, sweep, word_buckets), "seating")
+            session.remove(spark, state_path)
+            state, sums, old, state_path = of(seated, STATE), of(seated, SUMS), [f"{path}/kind={SUMS}"], f"{path}/kind={STATE}"
+        after, path = grouped(of(now, TABLE).unionByName(sums), _seat_words(shared, totals, sweep), "parent")
+        for done in (now_path, *old):  # what no later step reads
+            session.remove(spark, done)
+        now, now_path = after, path
+        customers, tables, once, twice = _total(of(now, TABLE), 4)
         totals.customers.append(customers)
         totals.tables.append(tables)
         if not sweep:
             totals.parent_discount = _discount(once, twice)
-    return Model(blocks, now.filter(F.col("kind") == TABLE), counted.filter(F.col("kind") == PAIRS), totals, shared, pair_buckets, word_buckets)
+    session.remove(spark, state_path)
+    return Model(blocks, of(now, TABLE), of(counted, PAIRS), totals, shared, pair_buckets, word_buckets)
 
 
 def score(model: Model) -> DataFrame:
@@ -549,10 +574,11 @@ def score(model: Model) -> DataFrame:
     alike. A model without words gives each token the uniform probability of one
     unknown word.
     """
-    asked = model.blocks.mapInPandas(_ask_words(model.word_buckets), SCHEMA)
-    told = asked.drop("b").withColumn("b", F.lit(None).cast("binary")).unionByName(model.words).groupBy("key").applyInPandas(_tell_blocks, SCHEMA)
+    frequent = model.frequent
+    asked = model.blocks.mapInPandas(_ask_words(lambda: frequent.value, model.word_buckets), SCHEMA).withColumn("b", F.lit(None).cast("binary"))
+    told = asked.unionByName(model.words).groupBy("key").applyInPandas(_tell_blocks(frequent), SCHEMA)
     return model.blocks.unionByName(model.answers).unionByName(told).groupBy("key").applyInPandas(
-        _score_block(model.frequent, model.totals, model.pair_buckets, model.word_buckets), RESULT)
+        _score_block(frequent, model.totals, model.pair_buckets, model.word_buckets), RESULT)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
