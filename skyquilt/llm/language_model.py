@@ -159,21 +159,21 @@ def _binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray, step: int) -> np.nd
 def seat(count: np.ndarray, tables_of_others: np.ndarray, discount: float, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Tables after seating ``count`` customers of a word, each at a new table or one of the word's by the restaurant's rule."""
     out = np.ones(len(count), np.int64)
-    live = np.flatnonzero(count > 1)
-    count, others, parent, key = count[live], tables_of_others[live], parent[live], key[live]
-    seated, tables, turn = np.ones(len(live), np.int64), np.ones(len(live), np.int64), 0
-    while len(live):
+    order = np.argsort(-count, kind="stable")[:np.count_nonzero(count > 1)]
+    # the words that still have customers to seat are the first ones, and all have seated as many
+    upwards, count, key = count[order][::-1], count[order], key[order]
+    fixed, each = (STRENGTH + discount * tables_of_others[order]) * parent[order], discount * parent[order]
+    tables, seated, turn, live = np.ones(len(order)), 1, 0, len(order)
+    while live:
         turn += 1
-        new = (STRENGTH + discount * (others + tables)) * parent
-        chance = new / (new + seated - discount * tables)
-        step = np.minimum(np.maximum(1, seated // SINGLY), count - seated)
-        tables = tables + (_uniform(key, turn) < chance if step.max() == 1 else _binomial(step, chance, key, turn))
-        seated = seated + step
-        done = seated >= count
-        if done.any():
-            out[live[done]] = tables[done]
-            go = ~done
-            live, count, others, parent, key, seated, tables = live[go], count[go], others[go], parent[go], key[go], seated[go], tables[go]
+        now = tables[:live]
+        new = fixed[:live] + each[:live] * now
+        whole = new + (seated - discount * now)
+        step = max(1, seated // SINGLY)
+        now += _uniform(key[:live], turn) * whole < new if step == 1 else _binomial(np.minimum(step, count[:live] - seated), new / whole, key[:live], turn)
+        seated += step
+        live = len(upwards) - int(np.searchsorted(upwards, seated, side="right"))
+    out[order] = tables.astype(np.int64)
     return out
 
 
