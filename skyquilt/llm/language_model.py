@@ -145,13 +145,17 @@ def _binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray, step: int) -> np.nd
     few = np.flatnonzero((n > 1) & (spread <= 50))
     if len(few):
         flip = p[few] > 0.5
-        size, q, left = n[few].astype(np.float64), np.where(flip, 1 - p[few], p[few]), u[few].copy()
-        mass, x, live = np.exp(size * np.log1p(-q)), np.zeros(len(few)), np.arange(len(few))
-        while len(live):
-            live = live[(left[live] > mass[live]) & (x[live] < size[live])]
-            left[live] -= mass[live]
-            mass[live] *= (size[live] - x[live]) / (x[live] + 1) * q[live] / (1 - q[live])
-            x[live] += 1
+        size, q, left = n[few].astype(np.float64), np.where(flip, 1 - p[few], p[few]), u[few]
+        x, live, at = np.zeros(len(few)), np.arange(len(few)), 0
+        most, odds, mass = size, q / (1 - q), np.exp(size * np.log1p(-q))
+        while True:
+            on = np.flatnonzero((left > mass) & (most > at))
+            if not len(on):
+                break
+            live, most, odds, left, mass = live[on], most[on], odds[on], left[on] - mass[on], mass[on]
+            mass = mass * ((most - at) / (at + 1)) * odds
+            at += 1
+            x[live] = at
         out[few] = np.where(flip, size - x, x).astype(np.int64)
     return out
 
