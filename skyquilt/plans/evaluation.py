@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.functions.geo import geo_to_pixel, pixel_to_geo
-from skyquilt.operators import matching, spatial, tracks
+from skyquilt.operators import matching, ordering, spatial, tracks
 
 
 def inside_border(x, y, width, height, border: int) -> Column:
@@ -97,22 +97,26 @@ def multi_aoi_report(
     border: int = 15,
     merge_px: float = 10.0,
     match_m: float = 5.0,
+    aois: DataFrame | None = None,
 ) -> DataFrame:
     """All AOIs in one job: tracks and detections to per-AOI and overall scores.
 
     The first ``num_templates`` frames produce no output, as they only fill the
-    background window.
+    background window. ``aois`` (aoi) limits the truth to the AOIs that were run.
+    Truth points are numbered by id, so repeated rows count and match one by one.
     """
     start = first + num_templates
+    seen = visible_truth(truth, first, last, min_move_m, width, height, border).where(F.col("frame") >= start)
+    if aois is not None:
+        seen = seen.join(aois, "aoi", "left_semi")
+    seen = ordering.position(seen, ["aoi", "frame"], ["id", "lon", "lat"], ordering.by_width("id", 1 << 16), "gt")
     # both are read twice below (counts and matching), so they are written once
-    gt = session.cut(
-        visible_truth(truth, first, last, min_move_m, width, height, border).where(F.col("frame") >= start), "truth"
-    )
+    gt = session.cut(seen, "truth")
     det = session.cut(
         merged_detections(dets.where(F.col("frame").between(start, last)), width, height, border, merge_px), "merged"
     )
     pairs = matching.greedy_geo_match(
-        det.withColumnRenamed("seq", "det"), gt.withColumn("gt", F.concat_ws("|", "id", "lon", "lat")), match_m
+        det.withColumnRenamed("seq", "det"), gt, match_m
     )
     keys = ["aoi", "frame"]
 
