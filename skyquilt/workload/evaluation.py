@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from skyquilt.functions import geo
@@ -244,13 +246,11 @@ def _greedy_inputs(spark, sf):
     return d, t
 
 
-D2_SQL = fx.with_(
-    fx.TRACKS, fx.DETS,
-    f"""edge as materialized (select d.frame, d.seq, t.id as gt, {hav_sql('d.lat','d.lon','t.latitude','t.longitude')} as dist
-from dets d join tr t on t.frame_number=d.frame
-where abs(d.lat-t.latitude)<3e-4 and {hav_sql('d.lat','d.lon','t.latitude','t.longitude')}<=14)""",
-    "step as materialized (select frame, seq, row_number() over (partition by frame order by seq) as i from (select distinct frame, seq from edge) z)",
-    """walk as (
+def greedy_views():
+    """Views that walk the detections of ``edge`` (frame, seq, gt, dist) in order."""
+    return (
+        "step as materialized (select frame, seq, row_number() over (partition by frame order by seq) as i from (select distinct frame, seq from edge) z)",
+        """walk as (
 select frame, cast(0 as bigint) as i, cast([] as bigint[]) as used, cast([] as struct(det bigint, gt bigint)[]) as took from (select distinct frame from step) f
 union all
 select w.frame, w.i+1,
@@ -259,6 +259,15 @@ select w.frame, w.i+1,
 from walk w join step s on s.frame=w.frame and s.i=w.i+1
 left join lateral (select e.gt from edge e where e.frame=s.frame and e.seq=s.seq and not list_contains(w.used, e.gt)
   order by e.dist, e.gt limit 1) p on true)""",
+    )
+
+
+D2_SQL = fx.with_(
+    fx.TRACKS, fx.DETS,
+    f"""edge as materialized (select d.frame, d.seq, t.id as gt, {hav_sql('d.lat','d.lon','t.latitude','t.longitude')} as dist
+from dets d join tr t on t.frame_number=d.frame
+where abs(d.lat-t.latitude)<3e-4 and {hav_sql('d.lat','d.lon','t.latitude','t.longitude')}<=14)""",
+    *greedy_views(),
 ) + "select frame, p.det, p.gt from (select frame, unnest(arg_max(took, i)) as p from walk group by frame) z"
 
 
@@ -268,18 +277,25 @@ def d2_greedy_geo_match(spark, sf):
     return matching.greedy_geo_match(d, t, 14.0, ["frame"]).select("frame", F.col("det").cast("long").alias("det"), F.col("gt").cast("long").alias("gt"))
 
 
-D3_SQL = fx.with_(
-    fx.TRACKS, fx.DETS,
-    "step as materialized (select frame, seq, x, y, row_number() over (partition by frame order by seq) as i from dets)",
-    """walk as (
+def merge_views(source, distance):
+    """Views that cluster the points of ``source`` (frame, seq, x, y) in order; ``fin`` holds the clusters of a frame."""
+    return (
+        f"step as materialized (select frame, seq, x, y, row_number() over (partition by frame order by seq) as i from {source})",
+        f"""walk as (
 select distinct frame, cast(0 as bigint) as i, cast([] as struct(sx double, sy double, n bigint)[]) as cl from step
 union all
-select frame, i+1, case when best is null then list_append(cl, {'sx':x,'sy':y,'n':cast(1 as bigint)})
-  else list_transform(cl, lambda c, j: case when j=best then {'sx':c.sx+x,'sy':c.sy+y,'n':c.n+1} else c end) end
+select frame, i+1, case when best is null then list_append(cl, {{'sx':x,'sy':y,'n':cast(1 as bigint)}})
+  else list_transform(cl, lambda c, j: case when j=best then {{'sx':c.sx+x,'sy':c.sy+y,'n':c.n+1}} else c end) end
 from (select w.frame, w.i, w.cl, s.x, s.y,
-  list_min(list_filter(list_transform(w.cl, lambda c, j: {'g': sqrt((s.x-c.sx/c.n)*(s.x-c.sx/c.n)+(s.y-c.sy/c.n)*(s.y-c.sy/c.n)), 'j': j}), lambda e: e.g<18)).j as best
+  list_min(list_filter(list_transform(w.cl, lambda c, j: {{'g': sqrt((s.x-c.sx/c.n)*(s.x-c.sx/c.n)+(s.y-c.sy/c.n)*(s.y-c.sy/c.n)), 'j': j}}), lambda e: e.g<{distance})).j as best
   from walk w join step s on s.frame=w.frame and s.i=w.i+1) q)""",
-    "fin as (select frame, arg_max(cl, i) as cl from walk group by frame)",
+        "fin as (select frame, arg_max(cl, i) as cl from walk group by frame)",
+    )
+
+
+D3_SQL = fx.with_(
+    fx.TRACKS, fx.DETS,
+    *merge_views("dets", 18),
 ) + "select frame, round(c.sx/c.n,6) as x, round(c.sy/c.n,6) as y, c.n as n from (select frame, unnest(cl) as c from fin) z"
 
 
@@ -297,7 +313,33 @@ def _aoi_dets(spark, sf):
         "aoi", F.col("frame").cast("int").alias("frame"), "seq", F.col("p.col").alias("x"), F.col("p.row").alias("y"))
 
 
-@query("multi_aoi_report")
+def _prefixed(views, **names):
+    """``views`` with other names, so that two walks fit in one query."""
+    return [re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[m[1]], v) for v in views]
+
+
+REPORT_SQL = fx.with_(
+    fx.TRACKS, fx.DETS, STEPS, KEEP_ALL.replace("1.2e0", "0.8e0"), AOIS, GT6, VISIBLE,
+    # the unit of both walks is an AOI's frame, called frame there
+    """tg as materialized (select aoi || '-' || frame as frame, row_number() over (partition by aoi, frame order by id, lon, lat) as gt, lon, lat from vis where frame>=110)""",
+    f"""ad as (select aoi || '-' || frame as frame, seq, cast(col as double) as x, cast("row" as double) as y from (
+select a.aoi, cast(frame as int) as frame, seq, {TOPIX.replace("longitude", "lon").replace("latitude", "lat")}
+from dets join aoi_dim a on {IN_BOX.replace("longitude", "lon").replace("latitude", "lat")} join gt6 g on g.aoi=a.aoi where frame between 110 and 160) q
+where col>=15 and col<985 and "row">=15 and "row"<985)""",
+    *_prefixed(merge_views("ad", 10), step="mstep", walk="mwalk"),
+    """md as materialized (select frame, det as seq, g0+x*g1 as lon, g3+y*g5 as lat from (
+select frame, split_part(frame, '-', 1) as aoi, det, c.sx/c.n as x, c.sy/c.n as y from (select frame, unnest(cl) as c, unnest(range(len(cl))) as det from fin) z) q join gt6 using (aoi))""",
+    f"""edge as materialized (select d.frame, d.seq, t.gt, {hav_sql('d.lat','d.lon','t.lat','t.lon')} as dist from md d join tg t on t.frame=d.frame
+where {hav_sql('d.lat','d.lon','t.lat','t.lon')}<=5)""",
+    *greedy_views(),
+    """cnt as (select split_part(frame, '-', 1) as aoi, sum(g) as n_gt, sum(d) as n_det, sum(m) as tp from (
+select frame, 1 as g, 0 as d, 0 as m from tg union all select frame, 0, 1, 0 from md
+union all select frame, 0, 0, len(arg_max(took, i)) from walk group by frame) z group by 1)""",
+    "cn as (select *, n_det-tp as fp, n_gt-tp as fn from cnt)",
+) + score_sql(f"select aoi, {SUMS} from cn group by 1 union all select 'overall', {SUMS} from cn", "aoi,")
+
+
+@query("multi_aoi_report", REPORT_SQL)
 def multi_aoi_report(spark, sf):
     return _rounded(ev.multi_aoi_report(fx.tracks(spark, sf), _aoi_dets(spark, sf), 105, 160))
 
