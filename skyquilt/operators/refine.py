@@ -113,15 +113,18 @@ def score(
     mean: np.ndarray | None = None,
     batch: int = 512,
     out: str = "pred",
+    double: bool = False,
 ) -> DataFrame:
     """Batched prediction on ``px``: replaces it by ``out`` (array<float>).
 
     ``load`` returns a batch function (n, *shape) -> (n, m) and is called once
     per task. ``mean`` (per channel or per element) is subtracted first; its
-    size is fixed by the patch shape.
+    size is fixed by the patch shape. With ``double`` the model gets and gives
+    double precision (array<double>).
     """
+    kind, field = (np.float64, "double") if double else (np.float32, "float")
     if mean is not None:
-        mean = np.asarray(mean, np.float32)
+        mean = np.asarray(mean, kind)
         mean = mean.reshape(-1, *[1] * (len(shape) - 1)) if mean.size == shape[0] else mean.reshape(shape)
     keep = [c for c in df.columns if c != "px"]
     schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
@@ -134,14 +137,14 @@ def score(
             model = model or load()
             preds = []
             for i in range(0, len(pdf), batch):
-                x = np.stack(pdf.px.iloc[i:i + batch].to_numpy()).astype(np.float32).reshape(-1, *shape)
+                x = np.stack(pdf.px.iloc[i:i + batch].to_numpy()).astype(kind).reshape(-1, *shape)
                 if mean is not None:
                     x = x - mean
-                preds.extend(np.asarray(model(x), np.float32).reshape(len(x), -1))
+                preds.extend(np.asarray(model(x), kind).reshape(len(x), -1))
             yield pdf[keep].assign(**{out: preds})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.mapInPandas(run, f"{fields}, {out} array<float>")
+    return df.mapInPandas(run, f"{fields}, {out} array<{field}>")
 
 
 def accept(scored: DataFrame, limit: float = ACCEPT_SCORE) -> DataFrame:

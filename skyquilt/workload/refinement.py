@@ -104,8 +104,8 @@ def d12_model_broadcast(spark, sf):
         return lambda x: np.stack([x[:, 0].mean(axis=(1, 2)), x[:, 3].mean(axis=(1, 2))], axis=1)
 
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("px"))
-    d = refine.score(e, load, (4, 4, 4), mean=np.array([0.5, 0, 0, -1]))
-    return d.select("vec_id", F.transform("pred", lambda v: F.round(v.cast("double"), 3) + 0.0).alias("pred"))
+    d = refine.score(e, load, (4, 4, 4), mean=np.array([0.5, 0, 0, -1]), double=True)
+    return d.select("vec_id", F.transform("pred", lambda v: F.round(v, 3) + 0.0).alias("pred"))
 
 
 @query("c7_score_acceptance", fx.with_(fx.TRACKS, fx.DETS) + "select seq, x, y from dets where cast(score as float)>cast(0.7e0 as float)")
