@@ -94,8 +94,8 @@ def j1_batched_scores(spark, sf):
         return lambda x: np.stack([x[:, 0].mean(axis=(1, 2)) + 0.25, x[:, 1:].mean(axis=(1, 2, 3))], axis=1)
 
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("px"))
-    d = refine.score(e, load, (4, 4, 4))
-    return d.select("vec_id", F.transform("pred", lambda v: F.round(v.cast("double"), 3) + 0.0).alias("pred"))
+    d = refine.score(e, load, (4, 4, 4), double=True)
+    return d.select("vec_id", F.transform("pred", lambda v: F.round(v, 3) + 0.0).alias("pred"))
 
 
 @query("d12_model_broadcast", """select vec_id, [round(list_sum(embedding[1:16])/16-0.5e0,3)+0.0e0, round(list_sum(embedding[49:64])/16+1,3)+0.0e0] as pred from embeddings""")

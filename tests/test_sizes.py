@@ -18,7 +18,7 @@ def _embeddings(folder, vectors, labels=None, ids=None):
     }), f"{folder}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("name", ["d12_model_broadcast"])
+@pytest.mark.parametrize("name", ["d12_model_broadcast", "j1_batched_scores"])
 def test_scores_beside_a_rounding_edge(spark, tmp_path, name):
     edge = ((np.arange(200) + 0.5) / 1000).astype(np.float32)
     sides = np.concatenate([np.nextafter(edge, np.float32(0)), np.nextafter(edge, np.float32(1))])
