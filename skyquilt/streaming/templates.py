@@ -16,6 +16,8 @@ STATE = (
     "win_frame array<int>, win_px array<binary>, wait_frame array<int>, wait_px array<binary>, "
     "wait_status array<string>, last int"
 )
+#: Rows of a file that lands.
+FILE_ROWS = 250_000
 
 
 def frame_arrivals(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -26,6 +28,20 @@ def frame_arrivals(spark: SparkSession, path: str, schema, max_files: int | None
     return reader.parquet(path)
 
 
+def land(frames: DataFrame, path: str, order: str, per_file: int = FILE_ROWS) -> None:
+    """Write ``frames`` as files of about ``per_file`` rows that land in ``order``.
+
+    A stream takes its files by the time they were written. The rows are parted by
+    ranges of ``order`` in one job; the parts are then appended one after another,
+    so that no frame arrives behind a later one.
+    """
+    spark = frames.sparkSession
+    n = max(1, -(-frames.count() // per_file))
+    parts = session.cut(frames.repartitionByRange(n, order).sortWithinPartitions(order), "parts")
+    for part in sorted(parts.inputFiles(), key=lambda f: f.rsplit("/", 1)[1]):
+        spark.read.schema(frames.schema).parquet(part).coalesce(1).write.mode("append").parquet(path)
+
+
 def template_stream(frames: DataFrame, n: int, keys: tuple[str, ...] = ("aoi", "ty", "tx"), delay: int = 0) -> DataFrame:
     """Emit each frame with its ``n`` predecessors once the window is full.
 

@@ -1,10 +1,12 @@
 """Faults that show on larger or odd tables, on small hand-made ones."""
 
+import duckdb
 import numpy as np
 import oracle
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from skyquilt.workload import catalog
 
@@ -25,3 +27,31 @@ def test_scores_beside_a_rounding_edge(spark, tmp_path, name):
     _embeddings(tmp_path, np.repeat(sides[:, None], 64, axis=1))
     error = oracle.compare(spark, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name], oracle.connect(str(tmp_path)))[2]
     assert error is None, error
+
+
+@pytest.mark.parametrize("name", ["k1_template_window"])
+def test_streams_of_files_written_out_of_order(spark, tmp_path, name):
+    rng = np.random.default_rng(3)
+    vectors = rng.uniform(-0.3, 0.3, (120, 64)).astype(np.float32)
+    folder = tmp_path / "embeddings.parquet"
+    folder.mkdir()
+    for i, part in enumerate((2, 0, 1)):
+        at = tmp_path / f"{i}"
+        at.mkdir()
+        ids = np.arange(part * 40, part * 40 + 40)
+        _embeddings(at, vectors[ids], ids % 2, ids)
+        (at / "embeddings.parquet").rename(folder / f"part-{i}.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{folder}/*.parquet'")
+    error = oracle.compare(spark, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name], con)[2]
+    assert error is None, error
+
+
+def test_files_land_in_order(spark, tmp_path):
+    from skyquilt.streaming import templates
+
+    d = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"))
+    templates.land(d, str(tmp_path / "landing"), "k", 100)
+    files = sorted((tmp_path / "landing").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == 10
+    assert [v for f in files for v in pq.read_table(f)["k"].to_pylist()] == list(range(1000))
