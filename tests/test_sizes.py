@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from skyquilt.operators import roads
 from skyquilt.workload import catalog
 
 
@@ -55,3 +56,15 @@ def test_files_land_in_order(spark, tmp_path):
     files = sorted((tmp_path / "landing").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
     assert len(files) == 10
     assert [v for f in files for v in pq.read_table(f)["k"].to_pylist()] == list(range(1000))
+
+
+def test_a_point_on_many_roads_is_never_paired(spark):
+    rng = np.random.default_rng(7)
+    line = "lon1 double, lat1 double, lon2 double, lat2 double"
+    rows = [(i, "motorway" if i % 3 else "service", *(float(v) for v in rng.uniform(0, 2e-3, 4))) for i in range(60)]
+    r = roads.buffered_roads(spark.createDataFrame(rows + [(100 + w, "trunk", *v) for w, _, *v in rows], f"way_id long, highway string, {line}"))
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1e-4, 2.1e-3, (400, 2)))], "id long, lon double, lat double")
+    got = roads.on_road(p, r, ["id"])
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(x.id for x in roads.road_pairs(p, r).select("id").distinct().collect())
+    assert sorted(x.id for x in got.collect()) == want and 0 < len(want) < 400
