@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt import session
+from skyquilt.fixed import EARTH_RADIUS_M
 from skyquilt.functions.geo import haversine_m, sphere_xyz
 from skyquilt.operators.graph import components
 from skyquilt.operators.spatial import radius_pairs
@@ -127,14 +129,166 @@ def geo_edges(
     return near.where(F.col("dist") <= radius_m).select(*keys, "det", "gt", "dist")
 
 
+def _reach(dets: DataFrame, truth: DataFrame, keys: Sequence[str], side: float) -> tuple[DataFrame, DataFrame]:
+    """Detections and truth that may have a partner, with ``part``.
+
+    Points lie in cells of ``side``. Cells of detections are linked with the cells of
+    truth around them, and the cells of one number with each other; parts are the
+    components of these links. So two parts share no partner and no number, and no
+    pair of points is made. Cells are 64-bit hashes; two that agree by chance only
+    make two parts one.
+    """
+    at = ["_x", "_y", "_z"]
+
+    def celled(df):
+        ok = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
+        d = df.where(ok).withColumns({c: F.col(c).cast("double") for c in ("lon", "lat")})
+        d = d.withColumns({a: F.floor(v / F.lit(side)).cast("long") for a, v in zip(at, sphere_xyz("lat", "lon"))})
+        for k in keys:
+            d = d.where(F.col(k).isNotNull())
+        return d.withColumn("_cell", F.xxhash64(*keys, *at))
+
+    d, t = celled(dets), celled(truth)
+    around = F.explode(F.array(*[F.lit(v).cast("long") for v in (-1, 0, 1)]))
+    near = d.select(*keys, *at, F.col("_cell").alias("a")).distinct()
+    for a in at:
+        near = near.withColumn("_s", around).withColumn(a, F.col(a) + F.col("_s")).drop("_s")
+    links = near.join(t.select(*keys, *at, F.col("_cell").alias("b")).distinct(), [*keys, *at]).select("a", "b")
+    for df, name in ((d, "det"), (t, "gt")):
+        same = df.groupBy(*keys, name).agg(F.collect_set("_cell").alias("c")).where(F.size("c") > 1)
+        links = links.unionByName(same.select(F.col("c")[0].alias("a"), F.explode("c").alias("b")))
+    parts = components(links).select(F.col("node").alias("_cell"), F.col("root").alias("part"))
+    return tuple(df.join(parts, "_cell").drop("_cell", *at) for df in (d, t))
+
+
+class _OpenTruth:
+    """Truth of one part that is not taken yet, found by cells of the reach.
+
+    A detection looks at the cells around it; chords find the nearest truth, and
+    what lies within ``NEAR`` of that, or of the radius, is compared by its arc.
+    """
+
+    NEAR = 1e-5
+
+    def __init__(self, rows: list[tuple], radius: float):
+        self.rows, self.radius, self.side = rows, radius, radius * (1 + 1e-6) + 1e-3
+        self.at = _xyz(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        self.open = np.ones(len(rows), bool)
+        self.of: dict = {}
+        cells: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, np.floor(self.at / self.side).astype(np.int64).tolist())):
+            cells.setdefault(c, []).append(i)
+        for i, r in enumerate(rows):
+            self.of.setdefault(r[0], []).append(i)
+        self.cells = {c: np.array(v) for c, v in cells.items()}
+        self.near: dict[tuple, np.ndarray] = {}
+
+    def _around(self, cell: tuple) -> np.ndarray:
+        got = self.near.get(cell)
+        if got is None:
+            x, y, z = cell
+            got = [self.cells[c] for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (c := (x + i, y + j, z + k)) in self.cells]
+            got = np.concatenate(got) if got else np.empty(0, np.int64)
+        got = self.near[cell] = got[self.open[got]]
+        return got
+
+    def take(self, places: list[tuple]) -> tuple | None:
+        """(distance, number, place, truth row) of the nearest open truth of a detection's places."""
+        best = None
+        for lon, lat, at in places:
+            got = self._around(tuple(np.floor(at / self.side).astype(np.int64).tolist()))
+            if not len(got):
+                continue
+            chord = np.sqrt(((self.at[got] - at) ** 2).sum(axis=1))
+            for i in got[chord <= min(chord.min(), self.radius) + self.NEAR].tolist():
+                gt, glon, glat = self.rows[i]
+                dist = _arc_m(lat, lon, glat, glon)
+                if dist <= self.radius and (best is None or (dist, gt) < best[:2]):
+                    best = dist, gt, (lon, lat), (glon, glat)
+        if best:
+            self.open[self.of[best[1]]] = False
+        return best
+
+
+def _xyz(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    lam, phi = np.radians(lon), np.radians(lat)
+    return EARTH_RADIUS_M * np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)], axis=1)
+
+
+def _arc_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """``haversine_m`` of two points."""
+    s1, s2 = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lon2 - lon1) / 2)
+    a = s1 * s1 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * s2 * s2
+    return 2 * EARTH_RADIUS_M * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
+#: Matches that leave a task together.
+MATCHES = 10_000
+
+
 def greedy_geo_match(
     dets: DataFrame,
     truth: DataFrame,
     radius_m: float = 5.0,
     keys: Sequence[str] = ("aoi", "frame"),
 ) -> DataFrame:
-    """Order-dependent one-to-one match within ``radius_m``."""
-    return greedy_pairs(geo_edges(dets, truth, radius_m, keys), keys)
+    """Order-dependent one-to-one match within ``radius_m``: keys, det, gt, dist.
+
+    The same as ``greedy_pairs`` of ``geo_edges``, but the pairs are never made:
+    their number grows with the square of a crowded place. The unit of work is a part
+    that no pair leaves; its truth is held in a grid, and its detections pass in order.
+    """
+    keys = list(keys)
+    unit = [*keys, "part"]
+    d, t = _reach(dets.select(*keys, "det", "lon", "lat"), truth.select(*keys, "gt", "lon", "lat"), keys, 2 * (radius_m * (1 + 1e-6) + 1e-3))
+    kinds = dict(d.dtypes)["det"], dict(t.dtypes)["gt"]
+    rows = t.select(*unit, F.lit(0).alias("_k"), F.lit(None).cast(kinds[0]).alias("det"), "gt", "lon", "lat").unionByName(
+        d.select(*unit, F.lit(1).alias("_k"), "det", F.lit(None).cast(kinds[1]).alias("gt"), "lon", "lat"))
+    fields = ", ".join(f"`{k}` {kind}" for k, kind in d.select(*keys).dtypes)
+    names = [*keys, "det", "gt", "lon", "lat", "glon", "glat"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+        group, held, free, det, places, out = None, [], None, None, [], []
+
+        def settle():
+            if places:
+                got = free.take(places)
+                if got:
+                    out.append((*group[:-1], det, got[1], *got[2], *got[3]))
+
+        for batch in batches:
+            if types is None:
+                types = [batch.schema.field(n).type for n in names[:len(keys) + 2]] + [pa.float64()] * 4
+            lon, lat = (batch.column(n).to_numpy() for n in ("lon", "lat"))
+            xyz = _xyz(lon, lat)
+            cols = [batch.column(n).to_pylist() for n in (*unit, "_k", "det", "gt")]
+            for i, (*key, kind, a, gt) in enumerate(zip(*cols)):
+                if key != group:
+                    settle()
+                    group, held, free, det, places = key, [], None, None, []
+                if kind == 0:
+                    held.append((gt, float(lon[i]), float(lat[i])))
+                    continue
+                if free is None:
+                    free = _OpenTruth(held, radius_m) if held else False
+                if free is False:
+                    continue
+                if places and a != det:
+                    settle()
+                    places = []
+                det = a
+                places.append((float(lon[i]), float(lat[i]), xyz[i]))
+                if len(out) >= MATCHES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names)
+                    out.clear()
+        settle()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names)
+
+    found = _in_order(rows, unit, ["_k", "det", "gt"]).mapInArrow(
+        run, f"{fields}, det {kinds[0]}, gt {kinds[1]}, lon double, lat double, glon double, glat double")
+    return found.select(*keys, "det", "gt", haversine_m("lat", "lon", "glat", "glon").alias("dist"))
 
 
 # ------------------------------------------------------------- point merge

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from skyquilt.operators import roads
+from skyquilt.operators import matching, roads
 from skyquilt.workload import catalog
 
 
@@ -68,3 +68,33 @@ def test_a_point_on_many_roads_is_never_paired(spark):
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
     want = sorted(x.id for x in roads.road_pairs(p, r).select("id").distinct().collect())
     assert sorted(x.id for x in got.collect()) == want and 0 < len(want) < 400
+
+
+def test_geo_match_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, want = {"det": [], "gt": []}, set()
+    for frame in range(3):
+        side = 4e-4 if frame else 2e-5  # a crowded place, and two spread frames
+
+        def points(n, numbers):
+            at = np.round(rng.uniform(0, side, (n, 2)), 6)
+            return [(frame, int(k), float(x) - 84.1, float(y) + 39.7) for k, (x, y) in zip(rng.integers(0, numbers, n), at)]
+
+        d, t = points(150, 130), points(120, 110)  # some numbers have two places
+        rows["det"] += d
+        rows["gt"] += t
+        taken = set()
+        for k in sorted({r[1] for r in d}):
+            near = [(matching._arc_m(a[3], a[2], b[3], b[2]), b[1]) for a in d if a[1] == k for b in t if b[1] not in taken]
+            near = [v for v in near if v[0] <= 9]
+            if near:
+                taken.add(min(near)[1])
+                want.add((frame, k, min(near)[1]))
+    df = {k: spark.createDataFrame(v + [(0, 999, None, 39.7), (0, 998, float("nan"), 39.7)], f"frame int, {k} long, lon double, lat double").repartition(4) for k, v in rows.items()}
+    pairs = matching.greedy_pairs(matching.geo_edges(df["det"], df["gt"], 9.0, ["frame"]), ["frame"])
+    assert {(r.frame, r.det, r.gt) for r in pairs.collect()} == want
+    for made in ("geo_edges", "greedy_pairs"):
+        monkeypatch.setattr(matching, made, None)
+    got = matching.greedy_geo_match(df["det"], df["gt"], 9.0, ["frame"]).collect()
+    assert {(r.frame, r.det, r.gt) for r in got} == want and len(got) == len(want)
+    assert matching.greedy_geo_match(df["det"].limit(0), df["gt"], 9.0, ["frame"]).collect() == []
