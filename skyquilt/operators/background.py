@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import kernels
+from skyquilt.functions.batches import map_slices
 from skyquilt.operators import components, tiles as tl
 
 CURRENT, INVALID, MOTION = -1, -2, -3
@@ -145,7 +146,7 @@ def subtract(
             yield pd.DataFrame(rows, columns=[*tl.COLS, *extra])
 
     aoi = dict(stacks.dtypes)["aoi"]
-    return stacks.mapInPandas(run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}") + fields)
+    return map_slices(stacks, run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}") + fields)
 
 
 # ------------------------------------------------------------- invalid area

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import session
 from skyquilt.functions import kernels
+from skyquilt.functions.batches import map_slices
 
 #: Tiles (then groups) along each side of a group.
 FAN = 4
@@ -73,7 +74,7 @@ def local_components(masks: DataFrame, connectivity: int, keys: Sequence[str] =
             if parts:
                 yield pd.concat(parts)
 
-    return masks.select(*keys, "ty", "tx", "r0", "c0", "h", "w", "width", "px").mapInPandas(
+    return map_slices(masks.select(*keys, "ty", "tx", "r0", "c0", "h", "w", "width", "px"),
         run, f"{_fields(masks, keys)}, ty int, tx int, lab long, area long, sr long, sc long, "
         "r0 int, c0 int, r1 int, c1 int, border array<long>, top int, left int, bottom int, right int, width int"
     )
@@ -190,7 +191,7 @@ def pixel_labels(
                 yield pd.concat(parts)
 
     local = session.cut(local_components(masks, connectivity, keys), "local")
-    px = masks.select(*keys, "r0", "c0", "h", "w", "width", "px").mapInPandas(
+    px = map_slices(masks.select(*keys, "r0", "c0", "h", "w", "width", "px"),
         run, f"r int, c int, lab long, {_fields(masks, keys)}"
     )
     d = _with_root(px, merged_roots(local, connectivity, keys, fan), keys)
@@ -219,4 +220,4 @@ def large_component_masks(
             yield pdf.assign(px=px).drop(columns="keep")
 
     fed = masks.join(keep, [*keys, "ty", "tx"])
-    return fed.mapInPandas(run, masks.select(*fed.columns[:-1]).schema)
+    return map_slices(fed, run, masks.select(*fed.columns[:-1]).schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import kernels
+from skyquilt.functions.batches import map_slices
 from skyquilt.operators import ordering, tiles as tl
 
 METHODS = ("frame_diff", "block")
@@ -90,7 +91,7 @@ def frame_difference(tiles: DataFrame, tile: int, ratio: float = 1.0) -> DataFra
             yield pd.DataFrame(rows, columns=tl.COLS)
 
     aoi = dict(tiles.dtypes)["aoi"]
-    return _pair_stack(tiles, tile, halo).mapInPandas(run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}"))
+    return map_slices(_pair_stack(tiles, tile, halo), run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}"))
 
 
 def block_motion(tiles: DataFrame, tile: int, block: int = 8, reach: int = 4) -> DataFrame:
@@ -136,7 +137,7 @@ def block_motion(tiles: DataFrame, tile: int, block: int = 8, reach: int = 4) ->
                 yield pd.concat(rows)
 
     aoi = dict(tiles.dtypes)["aoi"]
-    return _pair_stack(tiles, tile, reach).mapInPandas(
+    return map_slices(_pair_stack(tiles, tile, reach),
         run, f"aoi {aoi}, frame int, r int, c int, u int, v int, sad long"
     )
 
@@ -160,7 +161,7 @@ def block_magnitude(tiles: DataFrame, flow: DataFrame, tile: int, block: int = 8
 
     fed = tiles.drop("px").join(per_tile, ["aoi", "frame", "ty", "tx"]).withColumn("px", F.lit(None).cast("binary"))
     fed = fed.select(*tl.COLS, "blocks")
-    return fed.mapInPandas(run, tiles.select(*tl.COLS).schema)
+    return map_slices(fed, run, tiles.select(*tl.COLS).schema)
 
 
 def motion_map(magnitude: DataFrame, tile: int, sigma: float = 3.0) -> DataFrame:
@@ -199,7 +200,7 @@ def flow_magnitude(tiles: DataFrame, flow: DataFrame) -> DataFrame:
 
     fed = moving.join(per_tile, ["aoi", "frame", "ty", "tx"], "left")
     fed = fed.select(*[c for c in tl.COLS if c != "px"], *[F.col(f"_{c}").alias(c) for c in ("r", "c", "m")])
-    return fed.mapInPandas(run, tiles.select(*tl.COLS).schema)
+    return map_slices(fed, run, tiles.select(*tl.COLS).schema)
 
 
 def estimate(tiles: DataFrame, tile: int, method: str = "block", sigma: float = 3.0, **kw) -> DataFrame:

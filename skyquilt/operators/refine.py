@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import kernels
+from skyquilt.functions.batches import map_slices
 from skyquilt.operators import background as bg, ordering, tiles as tl
 
 CHANNELS = 4
@@ -55,13 +56,8 @@ def channels(current: DataFrame, compensated: DataFrame, n: int) -> DataFrame:
     return now.select(*cols).unionByName(past.select(*cols))
 
 
-def extract_patches(channel_tiles: DataFrame, points: DataFrame, tile: int, half: int) -> DataFrame:
-    """Patches of side 2 * half + 1 round integer centres, flattened channel-first.
-
-    ``points``: aoi, frame, pid, r, c, info (array<bigint>, carried along). Only
-    tiles with points are unpacked; a tile's strips and points are bounded by
-    its area.
-    """
+def _patches(channel_tiles: DataFrame, points: DataFrame, tile: int, half: int) -> tuple[DataFrame, Callable, str]:
+    """Tiles that have points, the task's function that cuts the patches, and the fields without ``px``."""
     side = 2 * half + 1
     aoi = dict(channel_tiles.dtypes)["aoi"]
     strips = tl.pieces(channel_tiles, tile, half, "u1", ("aoi", "frame", "ch"))
@@ -89,7 +85,26 @@ def extract_patches(channel_tiles: DataFrame, points: DataFrame, tile: int, half
                         rows.append((t.aoi, t.frame, p["pid"], p["r"], p["c"], p["info"], patch.ravel()))
                     yield pd.DataFrame(rows, columns=["aoi", "frame", "pid", "r", "c", "info", "px"])
 
-    return fed.mapInPandas(run, f"aoi {aoi}, frame int, pid long, r int, c int, info array<bigint>, px array<float>")
+    return fed, run, f"aoi {aoi}, frame int, pid long, r int, c int, info array<bigint>"
+
+
+def extract_patches(channel_tiles: DataFrame, points: DataFrame, tile: int, half: int) -> DataFrame:
+    """Patches of side 2 * half + 1 round integer centres, flattened channel-first.
+
+    ``points``: aoi, frame, pid, r, c, info (array<bigint>, carried along). Only
+    tiles with points are unpacked; a tile's strips and points are bounded by
+    its area.
+    """
+    fed, run, fields = _patches(channel_tiles, points, tile, half)
+    return map_slices(fed, run, f"{fields}, px array<float>")
+
+
+def score_patches(channel_tiles: DataFrame, points: DataFrame, tile: int, half: int, load: Callable, mean: np.ndarray | None = None) -> DataFrame:
+    """``score`` of ``extract_patches``, in the task that cuts the patches: no patch leaves it."""
+    fed, cut, fields = _patches(channel_tiles, points, tile, half)
+    side = 2 * half + 1
+    run = _scores(load, (CHANNELS, side, side), mean)
+    return map_slices(fed, lambda batches: run(cut(batches)), f"{fields}, pred array<float>")
 
 
 # ------------------------------------------------------------------ scoring
@@ -106,28 +121,12 @@ def onnx_model(path: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     return load
 
 
-def score(
-    df: DataFrame,
-    load: Callable[[], Callable[[np.ndarray], np.ndarray]],
-    shape: tuple[int, ...],
-    mean: np.ndarray | None = None,
-    batch: int = 512,
-    out: str = "pred",
-    double: bool = False,
-) -> DataFrame:
-    """Batched prediction on ``px``: replaces it by ``out`` (array<float>).
-
-    ``load`` returns a batch function (n, *shape) -> (n, m) and is called once
-    per task. ``mean`` (per channel or per element) is subtracted first; its
-    size is fixed by the patch shape. With ``double`` the model gets and gives
-    double precision (array<double>).
-    """
-    kind, field = (np.float64, "double") if double else (np.float32, "float")
+def _scores(load: Callable, shape: tuple[int, ...], mean: np.ndarray | None, batch: int = 512, out: str = "pred", double: bool = False) -> Callable:
+    """The task's function of ``score``."""
+    kind = np.float64 if double else np.float32
     if mean is not None:
         mean = np.asarray(mean, kind)
         mean = mean.reshape(-1, *[1] * (len(shape) - 1)) if mean.size == shape[0] else mean.reshape(shape)
-    keep = [c for c in df.columns if c != "px"]
-    schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -141,10 +140,30 @@ def score(
                 if mean is not None:
                     x = x - mean
                 preds.extend(np.asarray(model(x), kind).reshape(len(x), -1))
-            yield pdf[keep].assign(**{out: preds})
+            yield pdf.drop(columns="px").assign(**{out: preds})
+
+    return run
 
+
+def score(
+    df: DataFrame,
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    shape: tuple[int, ...],
+    mean: np.ndarray | None = None,
+    batch: int = 512,
+    out: str = "pred",
+    double: bool = False,
+) -> DataFrame:
+    """Batched prediction on ``px``: replaces it by ``out`` (array<float>).
+
+    ``load`` returns a batch function (n, *shape) -> (n, m) and is called once
+    per task. ``mean`` (per channel or per element) is subtracted first; its
+    size is fixed by the patch shape. With ``double`` the model gets and gives
+    double precision (array<double>).
+    """
+    keep = [c for c in df.columns if c != "px"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.mapInPandas(run, f"{fields}, {out} array<{field}>")
+    return map_slices(df, _scores(load, shape, mean, batch, out, double), f"{fields}, {out} array<{'double' if double else 'float'}>")
 
 
 def accept(scored: DataFrame, limit: float = ACCEPT_SCORE) -> DataFrame:
@@ -175,7 +194,7 @@ def region_mask(centres: DataFrame, tile: int, half: int = 3) -> DataFrame:
                 rows.append((t.aoi, t.frame, t.ty, t.tx, r0, c0, *m.shape, t.height, t.width, m.tobytes()))
             yield pd.DataFrame(rows, columns=tl.COLS)
 
-    return d.mapInPandas(run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}"))
+    return map_slices(d, run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}"))
 
 
 def plan_windows(regions: DataFrame) -> DataFrame:
@@ -244,7 +263,7 @@ def peaks(responses: DataFrame, limit: float = PEAK_LIMIT, col: str = "pred", si
             yield pdf[keep].assign(found=[[{"k": i, "pr": r, "pc": c} for i, (r, c) in enumerate(found)] for found in cells])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.select(*keep).schema)
-    d = responses.mapInPandas(run, f"{fields}, found array<struct<k:int,pr:int,pc:int>>")
+    d = map_slices(responses, run, f"{fields}, found array<struct<k:int,pr:int,pc:int>>")
     return d.select(*keep, F.explode("found").alias("p")).select(*keep, "p.k", "p.pr", "p.pc")
 
 
@@ -309,7 +328,7 @@ def prior_inputs(tiles: DataFrame, side: int = 256) -> DataFrame:
             if parts:
                 yield pd.concat(parts)
 
-    d = tiles.select("aoi", "frame", "r0", "c0", "h", "w", "height", "width", "px").mapInPandas(
+    d = map_slices(tiles.select("aoi", "frame", "r0", "c0", "h", "w", "height", "width", "px"),
         run, f"aoi {aoi}, frame int, height int, width int, cell int, v double"
     ).groupBy("aoi", "frame", "height", "width", "cell").agg(F.floor(F.sum("v") + 0.5).alias("v"))
     d = d.groupBy("aoi", "frame", "height", "width").agg(F.sort_array(F.collect_list(F.struct("cell", "v"))).alias("s"))

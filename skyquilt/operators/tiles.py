@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import kernels
+from skyquilt.functions.batches import map_slices
 from skyquilt.operators import ordering
 
 KEY = list(schemas.TILE_KEY)
@@ -50,7 +51,7 @@ def pieces(tiles: DataFrame, tile: int, halo: int, dtype: str = "u1", keys: tupl
                                          rb - ra, cb - ca, part.tobytes()))
             yield pd.DataFrame(rows, columns=cols)
 
-    return tiles.select(*keys, "r0", "c0", "h", "w", "height", "width", "px").mapInPandas(
+    return map_slices(tiles.select(*keys, "r0", "c0", "h", "w", "height", "width", "px"),
         run, f"{fields}, ty int, tx int, height int, width int, pr int, pc int, ph int, pw int, px binary"
     )
 
@@ -99,7 +100,7 @@ def map_halo(
             yield pd.DataFrame(rows, columns=COLS)
 
     types = dict(tiles.dtypes)
-    return gather(tiles, tile, halo, dtype).mapInPandas(
+    return map_slices(gather(tiles, tile, halo, dtype),
         run, schemas.TILE.replace("aoi STRING", f"aoi {types['aoi']}")
     )
 
@@ -248,13 +249,13 @@ def warp(tiles: DataFrame, pairs: DataFrame, tile: int, fill: int = 255) -> Data
                 rows.append((t.aoi, t.dst_frame, t.slot, t.src_frame, t.ty, t.tx, r0, c0, *x.shape, t.height, t.width, out.tobytes()))
             yield pd.DataFrame(rows, columns=["aoi", "dst_frame", "slot", "src_frame", *COLS[2:]])
 
-    wanted = plan.select("aoi", "dst_frame", "slot", "src_frame", "h", "height", "width").mapInPandas(needs, fields + "sy int, sx int")
+    wanted = map_slices(plan.select("aoi", "dst_frame", "slot", "src_frame", "h", "height", "width"), needs, fields + "sy int, sx int")
     src = tiles.select("aoi", F.col("frame").alias("src_frame"), F.col("ty").alias("sy"), F.col("tx").alias("sx"),
                        F.col("h").alias("ph"), F.col("w").alias("pw"), "px")
     met = wanted.join(src, ["aoi", "src_frame", "sy", "sx"], "left").select(*target, "h", "height", "width", "sy", "sx", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ph", "pw")], "px")
-    fed = met.mapInPandas(corners, fields + "part struct<which:binary,v:binary>").groupBy(*target).agg(
+    fed = map_slices(met, corners, fields + "part struct<which:binary,v:binary>").groupBy(*target).agg(
         F.first("h").alias("h"), F.first("height").alias("height"), F.first("width").alias("width"), F.collect_list("part").alias("parts"))
-    return fed.mapInPandas(run, f"aoi {aoi}, dst_frame int, slot int, src_frame int, " + schemas.TILE.split(", ", 2)[2])
+    return map_slices(fed, run, f"aoi {aoi}, dst_frame int, slot int, src_frame int, " + schemas.TILE.split(", ", 2)[2])
 
 
 def crop(tiles: DataFrame, windows: DataFrame, tile: int) -> DataFrame:
@@ -282,7 +283,7 @@ def crop(tiles: DataFrame, windows: DataFrame, tile: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["src_aoi", "frame", "aoi", "ty", "tx", "inv", "oh", "ow", "ra", "rb", "ca", "cb"])
 
     fields = f"src_aoi {dict(windows.dtypes)['src_aoi']}, frame int, aoi {aoi}, ty int, tx int, inv array<double>, oh int, ow int, ra double, rb double, ca double, cb double"
-    need = windows.mapInPandas(matrix, fields)
+    need = map_slices(windows, matrix, fields)
     # tiles are addressed by their index, so the range join is an equi-join
     need = need.withColumn("sy", F.explode(F.sequence(F.greatest(F.floor(F.col("ra") / tile), F.lit(-1)).cast("int"), F.greatest(F.floor(F.col("rb") / tile), F.lit(-1)).cast("int"))))
     need = need.withColumn("sx", F.explode(F.sequence(F.greatest(F.floor(F.col("ca") / tile), F.lit(-1)).cast("int"), F.greatest(F.floor(F.col("cb") / tile), F.lit(-1)).cast("int"))))
@@ -304,4 +305,4 @@ def crop(tiles: DataFrame, windows: DataFrame, tile: int) -> DataFrame:
                 rows.append((t.aoi, t.frame, t.ty, t.tx, r0, c0, hh, ww, t.oh, t.ow, out.tobytes()))
             yield pd.DataFrame(rows, columns=COLS)
 
-    return fed.mapInPandas(run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}"))
+    return map_slices(fed, run, schemas.TILE.replace("aoi STRING", f"aoi {aoi}"))

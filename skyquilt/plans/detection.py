@@ -73,14 +73,14 @@ def refine_stage(
     cand = bg.candidates(bg.set_pixels(subtracted.select(*tl.COLS)), s.use_motion).where(refine.screen_fits())
     points = cand.select("aoi", "frame", F.col("seq").alias("pid"), "r", "c",
                          F.array(F.col("height").cast("long"), F.col("width").cast("long")).alias("info"))
-    screened = refine.score(refine.extract_patches(chan, points, s.tile, refine.SCREEN_HALF), classifier, (4, 21, 21), classifier_mean)
+    screened = refine.score_patches(chan, points, s.tile, refine.SCREEN_HALF, classifier, classifier_mean)
     centres = refine.accept(screened).select(
         "aoi", "frame", "r", "c", F.col("info")[0].cast("int").alias("height"), F.col("info")[1].cast("int").alias("width"))
     mask = session.cut(refine.region_mask(centres, s.tile), "regions")
     size = mask.groupBy("aoi", "frame").agg(F.first("height").alias("height"), F.first("width").alias("width"))
     regs = components.regions(mask, 4).join(size, ["aoi", "frame"])
     windows = refine.window_points(refine.plan_windows(regs))
-    responses = refine.score(refine.extract_patches(chan, windows, s.tile, refine.WINDOW_HALF), regressor, (4, 45, 45), regressor_mean)
+    responses = refine.score_patches(chan, windows, s.tile, refine.WINDOW_HALF, regressor, regressor_mean)
     return refine.window_detections(responses)
 
 

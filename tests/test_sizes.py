@@ -98,3 +98,39 @@ def test_geo_match_makes_no_pairs(spark, monkeypatch):
     got = matching.greedy_geo_match(df["det"], df["gt"], 9.0, ["frame"]).collect()
     assert {(r.frame, r.det, r.gt) for r in got} == want and len(got) == len(want)
     assert matching.greedy_geo_match(df["det"].limit(0), df["gt"], 9.0, ["frame"]).collect() == []
+
+
+def test_tasks_hold_a_slice_of_a_batch(spark):
+    from skyquilt.functions.batches import ROWS, map_slices
+
+    def size(batches):
+        for pdf in batches:
+            yield pdf[["id"]].assign(n=len(pdf), last=[list(v)[-1] for v in pdf["v"]])
+
+    d = spark.range(0, 1000, 1, 1).select("id", F.array(F.lit(0), F.col("id")).alias("v"))
+    got = map_slices(d, size, "id long, n int, last long").collect()
+    assert sorted(r.id for r in got) == list(range(1000)) and all(r.last == r.id for r in got)
+    assert max(r.n for r in got) == ROWS
+
+
+@pytest.mark.parametrize("half", [10, 22])
+def test_patches_are_scored_where_they_are_cut(spark, half):
+    from skyquilt.operators import refine
+
+    rng = np.random.default_rng(half)
+    px = "aoi int, frame int, ch int, ty int, tx int, r0 int, c0 int, h int, w int, height int, width int, px binary"
+    tiles = spark.createDataFrame([(0, 0, ch, ty, tx, ty * 48, tx * 48, 48, 48, 96, 96, bytearray(rng.integers(0, 256, 2304, np.uint8).tobytes()))
+                                   for ch in range(4) for ty in range(2) for tx in range(2)], px)
+    points = spark.createDataFrame([(0, 0, i, int(r), int(c), [i]) for i, (r, c) in enumerate(rng.integers(23, 73, (700, 2)))],
+                                   "aoi int, frame int, pid long, r int, c int, info array<bigint>")
+
+    def load():
+        return lambda x: np.stack([x.mean(axis=(1, 2, 3)), x[:, 3, 0, 1], x[:, 0, -1, -2]], axis=1)
+
+    mean, side = np.arange(4.0), 2 * half + 1
+    want = refine.score(refine.extract_patches(tiles, points, 48, half), load, (4, side, side), mean)
+    got = refine.score_patches(tiles, points, 48, half, load, mean)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.select("pid", "r", "c", "info", "pred").collect())) == sorted(map(tuple, want.select("pid", "r", "c", "info", "pred").collect()))
+    assert got.count() == 700
+    assert str(got._jdf.queryExecution().optimizedPlan().toString()).count("MapInArrow") == 2  # strips, then patches with scores
