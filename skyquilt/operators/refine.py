@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyquilt import schemas
 from skyquilt.functions import kernels
-from skyquilt.functions.batches import map_slices
+from skyquilt.functions.batches import ROWS, map_slices
 from skyquilt.operators import background as bg, ordering, tiles as tl
 
 CHANNELS = 4
@@ -236,12 +236,14 @@ def window_points(windows: DataFrame) -> DataFrame:
 def resize_heatmap(heat: Column, side: int = 45) -> Column:
     """15x15 response -> side x side by bilinear resize (array<float>)."""
     @F.pandas_udf("array<float>")
-    def grow(h: pd.Series) -> pd.Series:
+    def grow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(v):
             n = int(round(len(v) ** 0.5))
             return kernels.bilinear(np.asarray(v, np.float32).reshape(n, n), side, side).astype(np.float32).ravel()
 
-        return h.map(one)
+        for h in batches:
+            for at in range(0, len(h), ROWS):
+                yield h.iloc[at:at + ROWS].map(one)
 
     return grow(heat)
 
