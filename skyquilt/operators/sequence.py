@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquilt import session
+from skyquilt.functions.batches import map_slices
 from skyquilt.functions.geo import IDENTITY3, bound, inverse3, matmul3, project
 from skyquilt.operators import ordering
 
@@ -231,8 +232,8 @@ def mutual_matches(keypoints: DataFrame, pairs: DataFrame, block: int = 512) ->
                 })
 
     aoi = dict(pairs.dtypes)["aoi"]
-    found = both.mapInPandas(
-        search, f"aoi {aoi}, src_frame int, dst_frame int, side int, kp long, other long, dist long"
+    found = map_slices(
+        both, search, f"aoi {aoi}, src_frame int, dst_frame int, side int, kp long, other long, dist long"
     )
     key = ["aoi", "src_frame", "dst_frame"]
     best = found.groupBy(*key, "side", "kp").agg(F.min(F.struct("dist", "other")).alias("b"))
@@ -343,7 +344,7 @@ def _per_block(df: DataFrame, fn, fields: str) -> DataFrame:
             rows = [(*(getattr(t, k) for k in PAIR), *r) for t in pdf.itertuples(index=False) for r in fn(t)]
             yield pd.DataFrame(rows, columns=names)
 
-    return df.mapInPandas(run, schema)
+    return map_slices(df, run, schema)
 
 
 def estimate_homographies(
