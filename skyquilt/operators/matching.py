@@ -15,11 +15,15 @@ from skyquilt import session
 from skyquilt.fixed import EARTH_RADIUS_M
 from skyquilt.functions.geo import haversine_m, sphere_xyz
 from skyquilt.operators.graph import components
-from skyquilt.operators.spatial import radius_pairs
+from skyquilt.operators.spatial import radius_cells, radius_pairs
 
 
 # ------------------------------------------------------------ nearest match
 
+#: Truth positions of a cell that one row holds.
+BLOCK = 256
+
+
 def nearest_truth(
     dets: DataFrame, truth: DataFrame, radius: float, keys: Sequence[str] = ("frame",)
 ) -> DataFrame:
@@ -27,22 +31,30 @@ def nearest_truth(
 
     Returns ``keys, x, y, n`` (copies of that position) and ``best`` =
     struct(dist, gt), null when none is near. Copies are collapsed on both
-    sides before the join, and the minimum is taken where the join left the
-    rows, without another shuffle.
+    sides before the join. A cell's truth lies in blocks, and a position meets
+    each block as one row, so pairs are looked at but never made or sorted; the
+    minimum over blocks is taken where the join left the rows, without another
+    shuffle.
     """
     d = dets.select(*keys, F.col("x").cast("float").cast("double").alias("x"),
                     F.col("y").cast("float").cast("double").alias("y"))
     d = d.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n"))
     t = truth.select(*keys, F.col("x").alias("gx"), F.col("y").alias("gy"), "gt")
     t = t.groupBy(*keys, "gx", "gy").agg(F.min("gt").alias("gt"))
-    near, cells = radius_pairs(
-        d, t, keys, [F.col("x"), F.col("y")], [F.col("gx"), F.col("gy")], radius, "left"
+    d, t, cells = radius_cells(d, t, [F.col("x"), F.col("y")], [F.col("gx"), F.col("gy")], radius)
+    place = [*keys, *cells]
+    nth = F.row_number().over(Window.partitionBy(*place).orderBy("gx", "gy"))
+    t = t.withColumn("_block", F.floor((nth - 1) / BLOCK)).groupBy(*place, "_block").agg(
+        F.collect_list(F.struct("gx", "gy", "gt")).alias("_near")
     )
-    dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
-    near = near.withColumn("dist", F.sqrt(dx * dx + dy * dy))
-    return near.groupBy(*keys, *cells, "x", "y", "n").agg(
-        F.min(F.when(F.col("dist") <= radius, F.struct("dist", "gt"))).alias("best")
-    ).drop(*cells)
+
+    def reach(g):
+        dx, dy = F.col("x") - g["gx"], F.col("y") - g["gy"]
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("dist"), g["gt"].alias("gt"))
+
+    best = F.array_min(F.filter(F.transform("_near", reach), lambda b: b["dist"] <= radius))
+    near = d.join(t, place, "left").select(*place, "x", "y", "n", best.alias("best"))
+    return near.groupBy(*place, "x", "y", "n").agg(F.min("best").alias("best")).drop(*cells)
 
 
 def nn_match(

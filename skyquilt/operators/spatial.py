@@ -14,6 +14,27 @@ def _cell(c: Column, side: Column) -> Column:
     return F.floor(c / side).cast("long")
 
 
+def grid_cells(
+    left: DataFrame,
+    right: DataFrame,
+    left_at: Sequence[Column],
+    right_low: Sequence[Column],
+    right_high: Sequence[Column],
+    side: float,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the cells of ``side`` they meet in, and the names of the cell columns.
+
+    A left point lies in one cell; a right box is copied to every cell it touches.
+    """
+    s = F.lit(float(side))
+    names = [f"_g{i}" for i in range(len(left_at))]
+    l = left.select("*", *[_cell(c, s).alias(n) for c, n in zip(left_at, names)])
+    r = right
+    for n, lo, hi in zip(names, right_low, right_high):
+        r = r.withColumn(n, F.explode(F.sequence(_cell(lo, s), _cell(hi, s))))
+    return l, r, names
+
+
 def grid_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -26,24 +47,29 @@ def grid_pairs(
 ) -> tuple[DataFrame, list[str]]:
     """Join each left point to the right boxes that may contain it.
 
-    Space is cut into cells of ``side``; a left point lies in one cell and a
-    right box is copied to every cell it touches, so only rows of the same cell
-    meet and each (point, box) pair is produced once. The caller filters with
-    the exact distance. Cells are small, and callers collapse exact copies
-    first, so no key group is joined all-to-all.
+    Only rows of the same cell of ``grid_cells`` meet, and each (point, box) pair is
+    produced once. The caller filters with the exact distance. Cells are small, and
+    callers collapse exact copies first, so no key group is joined all-to-all.
 
     Also returns the cell column names: a later grouping of left points that
     includes ``keys`` and the cells needs no further shuffle.
     """
-    s = F.lit(float(side))
-    l, r = left, right
-    names = [f"_g{i}" for i in range(len(left_at))]
-    l = l.select("*", *[_cell(c, s).alias(n) for c, n in zip(left_at, names)])
-    for n, lo, hi in zip(names, right_low, right_high):
-        r = r.withColumn(n, F.explode(F.sequence(_cell(lo, s), _cell(hi, s))))
+    l, r, names = grid_cells(left, right, left_at, right_low, right_high, side)
     return l.join(r, [*keys, *names], how), names
 
 
+def _radius_boxes(right_at: Sequence[Column], radius: float) -> tuple[list[Column], list[Column], float]:
+    slack = radius * (1 + 1e-6) + 1e-3
+    return [c - slack for c in right_at], [c + slack for c in right_at], 2 * slack
+
+
+def radius_cells(
+    left: DataFrame, right: DataFrame, left_at: Sequence[Column], right_at: Sequence[Column], radius: float
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``grid_cells`` of points and of the boxes that reach ``radius`` around the right points."""
+    return grid_cells(left, right, left_at, *_radius_boxes(right_at, radius))
+
+
 def radius_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -54,11 +80,7 @@ def radius_pairs(
     how: str = "inner",
 ) -> tuple[DataFrame, list[str]]:
     """Candidate pairs within ``radius`` on every axis (a superset; filter after)."""
-    slack = radius * (1 + 1e-6) + 1e-3
-    return grid_pairs(
-        left, right, keys, left_at,
-        [c - slack for c in right_at], [c + slack for c in right_at], 2 * slack, how,
-    )
+    return grid_pairs(left, right, keys, left_at, *_radius_boxes(right_at, radius), how)
 
 
 def aoi_dim(spark) -> DataFrame:

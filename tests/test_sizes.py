@@ -100,6 +100,36 @@ def test_geo_match_makes_no_pairs(spark, monkeypatch):
     assert matching.greedy_geo_match(df["det"].limit(0), df["gt"], 9.0, ["frame"]).collect() == []
 
 
+def _joined(plan) -> list[int]:
+    """Rows that each join of a plan gave when it ran."""
+    while plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.finalPhysicalPlan()
+    if plan.nodeName().endswith("QueryStage"):
+        return _joined(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    below = plan.children()
+    return own + [n for i in range(below.size()) for n in _joined(below.apply(i))]
+
+
+def test_nearest_truth_of_a_crowded_cell_makes_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    # halves of a metre in one place, so many are equally near; a frame without truth, and a place far from all
+    at = {k: np.unique(rng.integers(0, 50, (2000, 2)), axis=0)[:n] / 2 for k, n in (("det", 700), ("gt", 600))}
+    t = [(0, float(x), float(y), int(g)) for (x, y), g in zip(at["gt"], rng.permutation(600))]
+    d = [(0, float(x), float(y)) for x, y in at["det"]] + [(1, 3.0, 3.0), (0, 900.0, 900.0), (0, None, 1.0)]
+    got = matching.nearest_truth(spark.createDataFrame(d, "frame int, x double, y double"), spark.createDataFrame(t, "frame int, x double, y double, gt int"), 6.0)
+    rows = {(r.frame, r.x, r.y): r.best and tuple(r.best) for r in got.collect()}
+    want = {}
+    for f, x, y in d:
+        near = [] if x is None else [(float(np.hypot(x - a, y - b)), g) for e, a, b, g in t if e == f]
+        want[f, x, y] = min((v for v in near if v[0] <= 6), default=None)
+    assert {k: v and v[1] for k, v in rows.items()} == {k: v and v[1] for k, v in want.items()}
+    assert all(v is None or abs(v[0] - want[k][0]) < 1e-9 for k, v in rows.items())
+    # a position meets blocks of its own cell, not its truth one by one
+    joined = _joined(got._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) <= len(d) * -(-len(t) // matching.BLOCK)
+
+
 def test_tasks_hold_a_slice_of_a_batch(spark):
     from skyquilt.functions.batches import ROWS, map_slices
 
