@@ -65,6 +65,7 @@ class Encoder(dict):
         self.runs = re.compile(r"\s ").search
         self.plain = re.compile(f"[A-Za-z{LATIN}]+").fullmatch
         self.simple = re.compile(f"[!-~{LATIN}]+").fullmatch
+        self.closed = re.compile(f"([A-Za-z{LATIN}]+)([!-/:-@\\[-`{{-~]+)").fullmatch
         # the splitter's rule on such words: short forms, then runs with the space before them
         self.runs_of = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^A-Za-z{LATIN}0-9 ]+").findall
         self.by_word = self._parts_at_spaces()
@@ -85,7 +86,9 @@ class Encoder(dict):
         return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _made(self, piece: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+        # of ASCII only the space has another letter, and a table is slow to ask
+        letters = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         made = self.pieces.get(piece)
@@ -99,23 +102,25 @@ class Encoder(dict):
         """Ids of a word with the space before it."""
         if self.plain(word):
             return self._made(f" {word}")
-        if word[-1:] in (".", ",") and (known := self.get(word[:-1]) or self.older.get(word[:-1])) and self.plain(word[:-1]):
-            return known + self._piece(word[-1])
-        lines = word.split("\n")
-        if not all(map(self.simple, lines)):
+        if parts := self.closed(word):  # letters, then signs: the letters are known in any company
+            return self[parts[1]] + self._piece(parts[2])
+        first, *lines = word.split("\n")
+        if not all(map(self.simple, (first, *lines))):
             return self._whole(f" {word}")
-        known = (self.get(lines[0]) or self.older.get(lines[0])) if len(lines) > 1 else None
-        out = [known or b"".join(map(self._piece, self.runs_of(f" {lines[0]}")))]
-        for line in lines[1:]:
+        if not lines:
+            return b"".join(map(self._piece, self.runs_of(f" {word}")))
+        out = [self[first]]
+        for line in lines:
             out.append(self.line)
             out.extend(map(self._piece, self.runs_of(line)))
         return b"".join(out)
 
     def __missing__(self, word: str) -> bytes:
+        if "\n" in word:  # two words that a line break joins hardly come again
+            return self._word(word)
         if len(self) >= CACHE_WORDS:  # two generations: words in use are carried over
             self.older = dict(self)
             self.clear()
-            self.pieces.clear()
         made = self.older.get(word)
         self[word] = made = self._word(word) if made is None else made
         return made

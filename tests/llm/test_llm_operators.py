@@ -87,6 +87,17 @@ def test_words_are_encoded_as_by_the_library(documents):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == want
 
 
+def test_letters_are_encoded_once_in_any_company():
+    enc, asked = token_files.Encoder(token_files.public_vocabulary()), Counter()
+    made = enc._made
+    enc._made = lambda piece: asked.update([piece]) or made(piece)
+    signs = ("", "!!", ".", ",", "###", "'", ".\nRest", "\nRest", "!!\nRest.\nEnd")
+    text = "start " + " ".join(f"{word}{s}" for word in ("thonre", "gechö", "ÈAT") for s in signs)
+    assert enc.encode(text) == enc._whole(text)
+    assert {" thonre", " gechö", " ÈAT", "Rest", "!!"} <= set(asked) and max(asked.values()) == 1
+    assert not any("\n" in word for word in enc)
+
+
 def test_added_tokens_are_encoded_as_by_a_fresh_library(spark):
     from tokenizers import Tokenizer
 
