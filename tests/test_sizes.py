@@ -70,6 +70,35 @@ def test_a_point_on_many_roads_is_never_paired(spark):
     assert sorted(x.id for x in got.collect()) == want and 0 < len(want) < 400
 
 
+def test_roads_meet_points_without_a_broadcast(spark):
+    rng = np.random.default_rng(13)
+    line = "lon1 double, lat1 double, lon2 double, lat2 double"
+    rows = [(i, ("motorway", "service")[i % 2], *(float(v) for v in rng.uniform(-1e-3, 2e-3, 4))) for i in range(60)]
+    rows += [(100, "trunk", 0.0, 0.0, 0.0, 2e-3), (101, "trunk", 2e-3, 1e-3, -1e-3, 1e-3), (102, "trunk", 6e-4, 6e-4, 6e-4, 6e-4), rows[0]]  # straight, a point, a copy
+    r = roads.buffered_roads(spark.createDataFrame(rows, f"way_id long, highway string, {line}"))
+    cells = roads._cells(r.where("way_id > 0"))
+    assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+    side = F.lit(roads.CELL_DEG)
+    boxes = roads._pieces(r.where("way_id > 0"), side).select("way_id", *[F.floor(F.col(c) / side).alias(c) for c in ("west", "east", "south", "north")]).collect()
+    want = {(b.way_id, x, y) for b in boxes for x in range(b.west, b.east + 1) for y in range(b.south, b.north + 1)}
+    assert sorted((c.way_id, c.gx, c.gy) for c in cells.collect()) == sorted(want) and len(boxes) < len(want)
+
+    at = rng.uniform(-1e-3, 2e-3, (300, 2))
+    got = roads.road_pairs(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, lon double, lat double"), r)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    width = dict(roads.ROAD_BUFFER_M)
+    near = []
+    for i, (x, y) in enumerate(at):
+        k = np.array([np.cos(np.radians(y)) * roads.M_PER_DEG, roads.M_PER_DEG])
+        for way, name, *ends in rows:
+            a, v = (np.array(ends[:2]) - (x, y)) * k, (np.array(ends[2:]) - ends[:2]) * k
+            t = np.clip(-(a @ v) / (v @ v), 0, 1) if v @ v else 0
+            if np.linalg.norm(a + t * v) <= width[name]:
+                near.append((i, way))
+    assert sorted((p.id, p.way_id) for p in got.collect()) == sorted(near) and len(set(near)) < len(near)
+
+
 def test_geo_match_makes_no_pairs(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows, want = {"det": [], "gt": []}, set()
