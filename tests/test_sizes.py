@@ -1,5 +1,7 @@
 """Faults that show on larger or odd tables, on small hand-made ones."""
 
+import math
+
 import duckdb
 import numpy as np
 import oracle
@@ -99,6 +101,35 @@ def test_roads_meet_points_without_a_broadcast(spark):
     assert sorted((p.id, p.way_id) for p in got.collect()) == sorted(near) and len(set(near)) < len(near)
 
 
+def test_pairs_of_a_road_and_a_track_stand_together(spark):
+    rng = np.random.default_rng(17)
+    line = "lon1 double, lat1 double, lon2 double, lat2 double"
+    ways = [(i, ("motorway", "tertiary")[i % 2], *(float(v) for v in rng.uniform(-2e-4, 1e-3, 4))) for i in range(40)]
+    at = rng.uniform(0, 8e-4, (6, 2))
+    rows = [(k, f, float(x + f * 5e-7), float(y)) for k, (x, y) in enumerate(at) for f in range(600)]
+    rows += [rows[0], (None, 7, *rows[0][2:]), (1, 9, None, 0.0), (1, 9, 0.0, None), (2, None, *rows[0][2:]), (9, 0, float("nan"), 0.0), (9, 1, 0.0, float("nan"))]
+    p = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "id long, frame int, lon double, lat double").repartition(3)
+    got = roads.road_pairs(p, roads.buffered_roads(spark.createDataFrame(ways, f"way_id long, highway string, {line}")), frame="frame")
+    assert got.columns == ["id", "frame", "lon", "lat", "way_id", "highway", "buffer_m", "dist_m"]
+
+    width, want = dict(roads.ROAD_BUFFER_M), []
+    for key, frame, x, y in rows:
+        if x is None or y is None:
+            continue
+        k = np.array([np.cos(np.radians(y)) * roads.M_PER_DEG, roads.M_PER_DEG])
+        for way, name, *ends in ways:
+            a, v = (np.array(ends[:2]) - (x, y)) * k, (np.array(ends[2:]) - ends[:2]) * k
+            if np.linalg.norm(a + np.clip(-(a @ v) / (v @ v), 0, 1) * v) <= width[name]:
+                want.append((key, frame, way))
+    found = [(r.id, r.frame, r.way_id) for r in got.collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, want)) and len(set(want)) < len(want)
+
+    cell = [(r.id, r.way_id, math.floor(r.lon / roads.CELL_DEG), math.floor(r.lat / roads.CELL_DEG), r.frame and r.frame // roads.TRACK_FRAMES) for r in got.collect()]
+    runs = 1 + sum(a != b for a, b in zip(cell, cell[1:]))
+    assert runs == len(set(cell)) and 10 * runs < len(cell)
+    assert all(a[1] <= b[1] for a, b, c, d in zip(found, found[1:], cell, cell[1:]) if c == d and a[1] is not None)
+
+
 def test_geo_match_makes_no_pairs(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows, want = {"det": [], "gt": []}, set()
